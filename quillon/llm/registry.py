@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import substrings, token_files
 
 
 def queries() -> dict:
     return {
         "op3_token_files": token_files.op3_token_files,
+        "op5_substring_dedup": substrings.op5_substring_dedup,
     }
 
 
