@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import substrings, token_files
+from . import near_dups, substrings, token_files
 
 
 def queries() -> dict:
     return {
         "op3_token_files": token_files.op3_token_files,
+        "op4_near_dups": near_dups.op4_near_dups,
         "op5_substring_dedup": substrings.op5_substring_dedup,
     }
 
