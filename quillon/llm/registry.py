@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import near_dups, substrings, token_files
+from . import lines, mixing, near_dups, substrings, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_token_files": token_files.op3_token_files,
         "op4_near_dups": near_dups.op4_near_dups,
         "op5_substring_dedup": substrings.op5_substring_dedup,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": lines.SQL, "op10_mixing": mixing.sql()}
