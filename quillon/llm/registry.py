@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, near_dups, substrings, token_files
+from . import lines, media, mixing, near_dups, quality, substrings, token_files, topk
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_token_files": token_files.op3_token_files,
         "op4_near_dups": near_dups.op4_near_dups,
         "op5_substring_dedup": substrings.op5_substring_dedup,
+        "op6_media": media.op6_media,
+        "op9_topk": topk.op9_topk,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.SQL, "op10_mixing": mixing.sql()}
+    return {"op2_line_dedup": lines.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.sql()}
