@@ -14,7 +14,8 @@ so a window can repeat only if its anchor is seen in two documents. The steps ar
 No pair of documents is made: a seed or window names its smallest document only, so a passage in
 every document costs one row for each block of documents. Documents are dealt into blocks by hash
 (``BLOCKS`` for each shuffle partition) and seeds and windows are reduced inside a block before
-they are shuffled, so one hot passage sends at most one row per block. The text is shuffled once
+they are shuffled, so one hot passage sends one row per block. A row packs the block, a mark for two
+documents of the block that share it, and 32 of a window's 96 bits into one number. The text is shuffled once
 and this exchange is used by all three steps.
 
 Null text has no words. A row with a null doc_id neither removes words nor loses any. Rows that
@@ -96,7 +97,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
     ).repartition(n, "block")
 
     def seeds(batches):
-        schema = pa.schema([("block", pa.int32()), ("h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+        schema = pa.schema([("h", pa.int64()), ("x", pa.int64())])
         for batch in batches:
             hs, blocks, ids = [], [], []
             for b, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -110,14 +111,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
                 ids.append(np.full(len(m), i, np.int64))
             if hs:
                 (b, h), lo, hi = _reduced([np.concatenate(blocks), np.concatenate(hs)], np.concatenate(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(h.view(np.int64)), pa.array(lo), pa.array(hi)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b.astype(np.int64) << 1 | (lo < hi))], schema=schema)
 
     by = W.partitionBy("h")
     found = (
-        rows.mapInArrow(seeds, "block int, h long, lo long, hi long")
+        rows.mapInArrow(seeds, "h long, x long")
         .repartition(n, "h")
-        .select("block", "h", F.min("lo").over(by).alias("lo"), F.max("hi").over(by).alias("hi"))
-        .filter("lo < hi")
+        .select((F.col("x") / 2).cast("int").alias("block"), "h", (F.count(F.lit(1)).over(by) + F.max(F.col("x") % 2).over(by)).alias("seen"))
+        .filter("seen > 1")
         .select("block", "h")
     )
 
@@ -143,42 +144,34 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
             (one, two), lo, hi = _reduced([np.concatenate(ones), np.concatenate(twos)], np.concatenate(ids))
         else:
             one, two, lo, hi = (np.empty(0, k) for k in (np.int64, np.int32, np.int64, np.int64))
-        return pa.table({"block": pa.array(np.full(len(one), b, np.int32)), "w1": one, "w2": two, "lo": lo, "hi": hi})
+        return pa.table({"w1": one, "x": two.astype(np.int64) << 32 | np.int64(b) << 1 | (lo < hi), "lo": lo})
 
-    by = W.partitionBy("w1", "w2")
+    by = W.partitionBy("w1", F.shiftright("x", 32))
     windows = (
         rows.groupBy("block")
         .cogroup(found.groupBy("block"))
-        .applyInArrow(extend, "block int, w1 long, w2 int, lo long, hi long")
-        .repartition(n, "w1", "w2")
-        .select("block", "w1", "w2", F.min("lo").over(by).alias("first"), "hi")
-        .filter("first < hi")
-        .select("block", "w1", "w2", "first")
+        .applyInArrow(extend, "w1 long, x long, lo long")
+        .repartition(n, "w1")
+        .select("w1", "x", "lo", F.min("lo").over(by).alias("first"))
+        .filter("first < lo or x % 2 <> 0")
+        .select(F.shiftright(F.col("x").bitwiseAND(2**32 - 1), 1).cast("int").alias("block"), "w1", "first")
     )
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        # Windows of one 64-bit key and another 32-bit key are told apart by both.
-        one, two = right.column("w1").to_numpy(), right.column("w2").to_numpy()
-        order = np.lexsort([two, one])
-        one, two, first = one[order], two[order], right.column("first").to_numpy()[order]
-        key = np.empty(len(one), [("a", "i8"), ("b", "i4")])
-        key["a"], key["b"] = one, two
-        single = bool((one[1:] > one[:-1]).all())
+        # Inside one block 64 bits tell windows apart.
+        one, first = right.column("w1").to_numpy(), right.column("first").to_numpy()
+        order = np.argsort(one, kind="stable")
+        one, first = one[order], first[order]
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []} | ({"kept": []} if keep_text else {})
         for i, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
             words = (t or b"").split()
             gone = None
-            if i is not None and len(words) >= length and len(key):
-                a, b = window_keys(_HASH.of(words), length)
-                at = np.minimum(np.searchsorted(one, a), len(one) - 1)
-                may = np.flatnonzero(one[at] == a)
-                if len(may):
-                    probe = np.empty(len(may), key.dtype)
-                    probe["a"], probe["b"] = a[may], b[may]
-                    at = at[may] if single else np.minimum(np.searchsorted(key, probe), len(key) - 1)
-                    starts = may[(two[at] == b[may]) & (one[at] == a[may]) & (first[at] < i)]
-                    if len(starts):
-                        gone = covered(starts, len(words), length)
+            if i is not None and len(words) >= length and len(one):
+                key = window_keys(_HASH.of(words), length)[0]
+                at = np.minimum(np.searchsorted(one, key), len(one) - 1)
+                starts = np.flatnonzero((one[at] == key) & (first[at] < i))
+                if len(starts):
+                    gone = covered(starts, len(words), length)
             kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             text = b" ".join(kept)
             out["doc_id"].append(i)
