@@ -1,6 +1,64 @@
-STAGES = []
+"""A training corpus in five stages, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import lines, mixing, near_dups, pieces, quality, shared
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: The classifier and the mixing draw keep no SQL form of their results; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; it is trained on this input."""
+    model = quality.train(docs.select("doc_id", "text"))
+    return quality.score(docs.select(*COLUMNS), model).filter("_keep").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are cut; documents of which nothing is left go."""
+    kept = lines.dedup(docs.select(*COLUMNS)).filter("n_removed = 0 or text <> ''")
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (similarity of 0.8 or more) stays: the smallest doc_id.
+
+    A row without a doc_id stays. Rows that repeat a doc_id are copies of one document: one stays.
+    """
+    marks = near_dups.near_duplicates(docs.select("doc_id", "text"), num=80, den=100)
+    keep = marks.filter("kept").select("doc_id").distinct()
+    known = docs.select(*COLUMNS).filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return known.join(keep, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).filter("doc_id is null")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample by the probabilities that rake source, language and topic to their targets."""
+    return mixing.mixed(docs.select(*COLUMNS)).filter("_kept").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_ids and the ids of each document."""
+    made = pieces.encoded(docs.select(*COLUMNS))
+    return made.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("quality", drop_low_quality),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    base, docs = shared.shared_dir(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = shared.stored(stage(spark, docs, sf_dir), f"stage_{k}", base)
+    return docs
