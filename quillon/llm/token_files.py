@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,12 @@ from . import shared
 
 SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 1
-LEVEL = 3
+SHARDS = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+LEVEL = 1
+#: Bytes of text that are encoded together.
+CHUNK = 2 << 20
 #: A word's ids are remembered until so many words are; then the memo starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
@@ -41,33 +45,84 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Whole-text encoding with the tokenizers library.
+    """Whole-text encoding with the tokenizers library, word by word.
 
     The vocabulary's pre-tokenizer never joins characters across white space, its normalizer maps
     each character alone (NFC composes nothing across a space) and its special strings hold no
-    space, so a text's ids are the ids of its space-separated parts in order. Parts are encoded by
-    the library once and remembered.
+    space, so a text's ids are the ids of its words (parts between ASCII white space) in order.
+    The library encodes each word once as long as it is remembered, many in one call: plain words
+    are joined by spaces and told apart by the vocabulary's end-of-word pieces, of which a word of
+    letters has one and a word with punctuation behind it two; all others are joined by a special
+    string, whose id parts them.
     """
 
-    GAP = re.compile("[ \n]+")
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    PLAIN = re.compile(f"[{LETTERS}]+([.,!*$#&%|:;?]+)?")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        parts = self.GAP.split(text or "")
-        memo = self.memo
-        new = [p for p in dict.fromkeys(parts) if p not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(memo.__getitem__, parts))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
+        self.bar, self.bar_id = next((p, i) for p, i in vocabulary.items() if p == "<|startoftext|>")
+        self.forget()
+
+    def forget(self) -> None:
+        memo, new = {}, []
+
+        class Places(dict):
+            def __missing__(self, word):
+                new.append(word)
+                at = self[word] = len(self)
+                return at
+
+        self.places, self.new, self.ids = Places(memo), new, []
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self) -> None:
+        """Encode the words that were asked for and aren't known."""
+        words = [w.decode("utf-8", "surrogatepass") for w in self.new]
+        got: list = [b""] * len(words)
+        groups: tuple[list, list, list] = ([], [], [])
+        for k, w in enumerate(words):
+            m = self.PLAIN.fullmatch(w)
+            groups[0 if m is None else 1 if m[1] is None else 2].append(k)
+        for pieces, group in enumerate(groups):
+            if not group:
+                continue
+            if pieces:
+                ids = self._ids(" ".join([words[k] for k in group]))
+                cut = np.flatnonzero(self.ends[ids])[pieces - 1 :: pieces] + 1
+                stop, skip = cut * 4, 0
+            else:
+                if any(self.bar in words[k] for k in group):
+                    for k in group:
+                        got[k] = self._ids(words[k]).tobytes()
+                    continue
+                ids = self._ids(self.bar.join([words[k] for k in group]))
+                stop, skip = np.append(np.flatnonzero(ids == self.bar_id), len(ids)) * 4, 4
+            if len(stop) != len(group):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            data, at = ids.tobytes(), 0
+            for k, to in zip(group, stop.tolist(), strict=True):
+                got[k] = data[at:to]
+                at = to + skip
+        self.ids += got
+        self.new.clear()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.ids) > MEMO_WORDS:
+            self.forget()
+        place = self.places.__getitem__
+        at = [list(map(place, t.split())) for t in texts]
+        self.learn()
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, a)) for a in at]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -156,6 +211,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     tokenizer = tokenizer or default_tokenizer()
     end = struct.pack("<I", end_id)
 
+    def encoded(batch):
+        enc, some, size = encoder(tokenizer), [], 0
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            some.append((i, t or b""))
+            size += len(some[-1][1])
+            if size > CHUNK:
+                yield from zip([x[0] for x in some], enc.encode([x[1] for x in some]), strict=True)
+                some, size = [], 0
+        yield from zip([x[0] for x in some], enc.encode([x[1] for x in some]), strict=True)
+
     def work(batches):
         from pyspark import TaskContext
 
@@ -164,17 +229,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         fs, base = shared.filesystem(folder)
         fs.create_dir(base, recursive=True)
         name = f"shard-{shard:06d}-{task.taskAttemptId()}.zst"
-        enc, ids, null, spans, total = encoder(tokenizer), [], [], [], 0
+        ids, null, total = [], [], 0
         # The directory comes first, so the frames of documents are spooled beside it.
         with fs.open_output_stream(f"{base}/{name}.part", compression=None) as spool:
             out = ShardWriter(spool)
-            for pdf in batches:
-                for i, t in zip(pdf.doc_id, pdf.text, strict=True):
-                    data = enc.encode(t) + end
+            for batch in batches:
+                for i, data in encoded(batch):
+                    data += end
                     out.frame(data)
                     total += len(data) // 4
-                    ids.append(0 if pd.isna(i) else int(i))
-                    null.append(pd.isna(i))
+                    ids.append(i or 0)
+                    null.append(i is None)
         if not ids:
             fs.delete_file(f"{base}/{name}.part")
             return
@@ -186,12 +251,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             head.table += out.table
             head.close()
         fs.delete_file(f"{base}/{name}.part")
-        yield pd.DataFrame({"shard": [shard], "uri": [f"{folder}/{name}"], "n_docs": [len(ids)], "n_tokens": [total]})
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": f"{folder}/{name}", "n_docs": len(ids), "n_tokens": total}], SHARDS)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInPandas(work, "shard int, uri string, n_docs long, n_tokens long")
+    made = rows.mapInArrow(work, "shard int, uri string, n_docs long, n_tokens long")
     return shared.stored(made, "shards", folder)
 
 
