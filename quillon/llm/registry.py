@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, media, mixing, near_dups, pieces, quality, substrings, token_files, topk
+from . import lines, media, mixing, near_dups, pieces, quality, scoring, substrings, token_files, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_near_dups": near_dups.op4_near_dups,
         "op5_substring_dedup": substrings.op5_substring_dedup,
         "op6_media": media.op6_media,
+        "op7_lm_scoring": scoring.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_topk": topk.op9_topk,
         "op10_mixing": mixing.op10_mixing,
