@@ -107,6 +107,7 @@ def parse(html: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with html replaced by items, in document order."""
+    pages = pages.drop("items")
     shared.ship(pages.sparkSession)
     at, keep = pages.columns.index(html), [k for k, c in enumerate(pages.columns) if c != html]
     item = pa.struct([("pos", pa.int32()), *((k, pa.string()) for k in ("kind", "text", "src", "digest", "caption"))])

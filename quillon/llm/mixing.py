@@ -16,7 +16,8 @@ languages by their code). Sources stay in the table.
 A topic is the form of the text: 'lists' (a bar in every 200 characters), 'figures' (a digit in
 every 60), 'letters' (an at sign or a link) or 'prose'. Null source or language is the group ''.
 Null text has no tokens; documents without tokens get their cell's probability if it has tokens,
-else 0. A null doc_id draws as the text 'null'. Repeated rows draw alike.
+else 0. A null doc_id draws as the text 'null'. Repeated rows draw alike. Columns of
+the result's names (_source, _lang, _topic, _tokens, _weight, _probability, _kept) are replaced.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None) ->
     cells = probabilities(docs, share, powers)
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    rows = described(docs).join(cells, ["_source", "_lang", "_topic"], "left").fillna(0.0, ["_weight", "_probability"])
+    rows = described(docs.drop("_weight", "_probability", "_kept")).join(cells, ["_source", "_lang", "_topic"], "left").fillna(0.0, ["_weight", "_probability"])
     return rows.withColumn("_kept", draw(F.col("doc_id")) < F.col("_probability"))
 
 

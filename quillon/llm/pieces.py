@@ -20,6 +20,7 @@ several times the corpus. The dictionary decides where a unit is solved, never i
 
 Null and empty texts have no ids. U+2581 in a text can't be told from a space when decoded; such
 documents have ``exact`` false. Repeated rows give repeated results.
+A column ids is replaced where it exists.
 """
 
 from __future__ import annotations
@@ -351,7 +352,7 @@ def dictionary(docs: DataFrame, model: str, most: int = WORDS) -> str:
 
 def encoded(docs: DataFrame, model: str | None = None, most: int = WORDS) -> DataFrame:
     """``docs`` with text replaced by its ids (array of int)."""
-    model = model or default_model()
+    docs, model = docs.drop("ids"), model or default_model()
     folder = dictionary(docs.select("text"), model, most)
     at, keep = docs.columns.index("text"), [k for k, c in enumerate(docs.columns) if c != "text"]
 

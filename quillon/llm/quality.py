@@ -13,6 +13,7 @@ features, once to be scored with the weights, which have a fixed size.
 
 Null and empty texts and texts without words are not voted on; their score is 1 and they are
 rejected. A null doc_id is never in the sample. Repeated rows get equal scores.
+Columns _score and _keep are replaced where they exist.
 """
 
 from __future__ import annotations
@@ -167,6 +168,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with _score, the probability of being bad, and _keep."""
     shared.ship(docs.sparkSession)
+    docs = docs.drop("_score", "_keep")
     w, bias = model["weights"], model["bias"]
     fields = docs.columns
     at = fields.index("text")
