@@ -81,7 +81,7 @@ def report(tables: dict[str, DataFrame]) -> DataFrame:
     for k, side in ((7, "missing"), (8, "added")):
         f = tables["facts"].select("pair_id", F.posexplode(side).alias("row_ix", "token"))
         row(f, k, F.col("row_ix"), _line("FACT", side, F.col("token")))
-    row(tables["warnings"], 9, F.col("kind_ord") * 1_000_000_000 + F.col("row_ord"), _line("WARNING", F.col("warning")))
+    row(tables["warnings"], 9, F.col("kind_ord").cast("long") * 1_000_000_000 + F.col("row_ord"), _line("WARNING", F.col("warning")))
     for k, name in ((10, "tokens"), (11, "bigrams"), (12, "trigrams")):
         from pyspark.sql import Window as W
 

@@ -31,7 +31,7 @@ def decoded(content):
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files."""
+    """(path, text) of whole files; Spark lists no files without bytes."""
     return spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("text"))
 
 

@@ -30,7 +30,7 @@ def audit_stream(pairs: DataFrame, targets: dict[str, DataFrame], path: str, che
 
 
 def without_repeats(requests: DataFrame, key: list[str], ts: str, window: str = "15 minutes") -> DataFrame:
-    """Requests without those that equal one within the window before (a stream or a table with event time)."""
+    """Requests without those that equal one within the window before; for streams (``content.repeated_requests`` does it for tables)."""
     return requests.withWatermark(ts, window).dropDuplicatesWithinWatermark(key)
 
 
