@@ -7,10 +7,10 @@ possible rest (product of the two remaining norms, rounded up) reaches the query
 so far, and the survivors are compacted into smaller matrices. Ties are kept, so the bound drops
 no row that could win by its smaller vec_id.
 
-Queries are written once to the shared folder in blocks of ``QUERIES``; every task reads its
-candidates as Arrow batches and goes over the query blocks one at a time, so memory is bounded by
-one candidate block and one query block. A task returns at most k rows per query, and the last
-step takes the k best of these. A query set is given (the rows whose vec_id is divisible by
+Queries are written once to the shared folder in blocks of ``QUERIES``; every task holds the
+candidates of its input split and goes over the query blocks one at a time, so memory is bounded
+by a split and one query block. A task returns at most k rows per query, block by block, and the
+last step takes the k best of these. A query set is given (the rows whose vec_id is divisible by
 ``EVERY``); this isn't a join of all pairs.
 
 Rows whose vec_id is null, or whose vector is null or empty or holds null or non-finite
@@ -61,7 +61,8 @@ def rest_norms(m: np.ndarray, dims: int) -> list[np.ndarray]:
 def best(q_ids, q, c_ids, c, k: int, floor: np.ndarray, dims: int = DIMS):
     """(query position, candidate position, score) of the k best candidates of each query, if at least ``floor``.
 
-    Scores are whole numbers below 2 ** 53 and so exact in double precision, whatever the order of additions.
+    Components are whole numbers, exact in single precision below 2 ** 24, and scores below 2 ** 53
+    are exact in double precision, whatever the order of additions.
     """
     qn, cn = rest_norms(q, dims), rest_norms(c, dims)
     blocks = [np.ascontiguousarray(c[:, lo : lo + dims].T) for lo in range(0, c.shape[1], dims)]
@@ -115,22 +116,20 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
                     yield from _matrices(batch)
 
     def search(batches):
-        top: dict[int, list] = {}
-        for batch in batches:
-            for c_ids, c in _matrices(batch):
-                for lo in range(0, len(c), ROWS):
-                    ids, block = c_ids[lo : lo + ROWS], c[lo : lo + ROWS]
-                    for q_ids, q in blocks():
-                        if q.shape[1] != block.shape[1]:
-                            continue
-                        floor = np.array([top[x][-1][0] if len(top.get(x, ())) >= k else -np.inf for x in q_ids.tolist()])
-                        qi, ci, s = best(q_ids, q, ids, block, k, floor)
-                        for x, y, z in zip(q_ids[qi].tolist(), ids[ci].tolist(), s.tolist(), strict=True):
-                            top.setdefault(x, []).append((z, y))
-                        for x in set(q_ids[qi].tolist()):
-                            top[x] = sorted(top[x], key=lambda t: (-t[0], t[1]))[:k]
-        flat = [(x, y, int(z)) for x, t in top.items() for z, y in t]
-        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+        own = [(i[lo : lo + ROWS], m[lo : lo + ROWS].astype(np.float32)) for batch in batches for i, m in _matrices(batch) for lo in range(0, len(m), ROWS)]
+        for q_ids, q in blocks() if own else ():
+            top: list[list[tuple]] = [[] for _ in q_ids]
+            for c_ids, c in own:
+                if c.shape[1] != q.shape[1]:
+                    continue
+                floor = np.array([t[-1][0] if len(t) >= k else -np.inf for t in top])
+                qi, ci, s = best(q_ids, q, c_ids, c.astype(np.float64), k, floor)
+                for x, y, z in zip(qi.tolist(), c_ids[ci].tolist(), s.tolist(), strict=True):
+                    top[x].append((z, y))
+                for x in np.unique(qi).tolist():
+                    top[x] = sorted(top[x], key=lambda t: (-t[0], t[1]))[:k]
+            flat = [(x, y, int(z)) for x, t in zip(q_ids.tolist(), top, strict=True) for z, y in t]
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
