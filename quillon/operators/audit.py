@@ -224,3 +224,13 @@ def audit(pairs: DataFrame, groups: DataFrame, depth=None, phrases=None, irrelev
     total = total.withColumn("introduced_frame_flags", F.col("introduced_bigrams") + F.col("introduced_trigrams")).withColumnRenamed("introduced_tokens", "introduced_token_flags").drop("introduced_bigrams", "introduced_trigrams")
     out["summary"] = total.withColumn("failed", verdict())
     return out
+
+
+def sync_checks(depth: DataFrame, groups: DataFrame | None = None, scope: str = "scope") -> DataFrame:
+    """(scope, word, check): depth rows whose repeats and delta don't give the maximum, and words with another median in the group table."""
+    first = depth.filter((F.col("repeats") + F.col("delta")) != F.col("maximum")).select(scope, "word", F.lit("repeats + delta differs from maximum").alias("check"))
+    if groups is None or "median" not in depth.columns:
+        return first
+    other = groups.select(scope, T.normalize_header("word").alias("key"), F.col("median").alias("_other"))
+    differ = depth.withColumn("key", T.normalize_header("word")).join(other, [scope, "key"]).filter("median <> _other")
+    return first.unionByName(differ.select(scope, "word", F.lit("median differs between tables").alias("check")))

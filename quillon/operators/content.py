@@ -162,3 +162,42 @@ def repeated_requests(requests: DataFrame, key: list[str], ts: str, minutes: int
     before = F.lag(ts).over(W.partitionBy(*key).orderBy(ts, *[c for c in requests.columns if c not in (*key, ts)][:1]))
     near = F.col(ts) <= before + F.expr(f"INTERVAL {minutes} MINUTES")
     return requests.withColumn("reused", F.coalesce(near, F.lit(False)))
+
+
+#: One claim with its evidence; every field is text but the date.
+CLAIM_CARD = "claim string, status string, source string, source_type string, date date, scope string, quote string, confidence string, note string"
+#: Layers that are never added up: what the platform says, what is seen in the sample, what is assumed.
+LAYERS = ("platform", "sample", "assumption")
+
+
+def layered(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with the layer of their kind of source; an unknown kind is an assumption."""
+    k = F.col(kind)
+    layer = F.when(k.isin("documentation", "rules", "announcement"), LAYERS[0]).when(k.isin("post", "comment", "metric", "review"), LAYERS[1]).otherwise(LAYERS[2])
+    return rows.withColumn("layer", layer)
+
+
+def aligned_claims(claims: DataFrame, signals: DataFrame, competitors: DataFrame, key: str) -> DataFrame:
+    """Each claim with the number of customer signals for and against it and of competitors that claim it too.
+
+    signals: (key, agrees); competitors: (key, name). ``gap`` marks a promise that experience contradicts.
+    """
+    s = signals.groupBy(key).agg(F.count_if("agrees").alias("agree"), F.count_if(~F.col("agrees")).alias("contradict"))
+    c = competitors.groupBy(key).agg(F.countDistinct("name").alias("competitors"))
+    out = claims.join(s, key, "left").join(c, key, "left").fillna(0, ["agree", "contradict", "competitors"])
+    return out.withColumn("gap", F.col("contradict") > F.col("agree"))
+
+
+def review_profile(reviews: DataFrame, by: list[str], text: str, date: str) -> DataFrame:
+    """Size, period and exact repeats (case and white space apart) of each corpus of reviews."""
+    same = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"\s+", " ")
+    n = F.count(F.lit(1))
+    distinct = F.countDistinct(F.sha2(same, 256))
+    return reviews.groupBy(*by).agg(n.alias("n"), F.min(date).alias("first"), F.max(date).alias("last"), (n - distinct).alias("repeats"))
+
+
+def complete_chain(rows: DataFrame, key: str, steps: list[str], step: str) -> DataFrame:
+    """(key, missing, complete): which steps of a decision path or segment chain a key lacks."""
+    have = rows.groupBy(key).agg(F.collect_set(step).alias("have"))
+    lost = F.array_except(F.array(*map(F.lit, steps)), F.col("have"))
+    return have.select(key, lost.alias("missing"), (F.size(lost) == 0).alias("complete"))

@@ -96,3 +96,12 @@ def report(tables: dict[str, DataFrame]) -> DataFrame:
 def exit_codes(summary: DataFrame, strict: bool = True) -> DataFrame:
     """(pair_id, code): 0, or 1 where a strict audit fails; errors (2) are raised instead."""
     return summary.select("pair_id", F.when(F.lit(strict) & F.col("failed"), 1).otherwise(0).alias("code"))
+
+
+def answer_json(answers: DataFrame) -> DataFrame:
+    """(json, code) of normalised answers: the answer with its sources and meta data, or an error record."""
+    meta = F.struct("id", "model", "created", "usage")
+    good = F.to_json(F.struct(F.lit(True).alias("ok"), "answer", "sources", meta.alias("meta")), {"ignoreNullFields": "false"})
+    error = F.struct(F.lit("invalid_response").alias("type"), F.lit("the response is not a JSON object").alias("message"))
+    bad = F.to_json(F.struct(F.lit(False).alias("ok"), error.alias("error")))
+    return answers.select(F.when(F.col("ok"), good).otherwise(bad).alias("json"), F.when(F.col("ok"), 0).otherwise(1).alias("code"))
