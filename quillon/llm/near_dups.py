@@ -38,7 +38,7 @@ from . import shared
 SHINGLE = 5
 COORDINATES = 64
 MISS = 1e-7
-HUB_ROUNDS = 6
+HUB_ROUNDS = 4
 
 
 def match_threshold(num: int, den: int, k: int = COORDINATES, miss: float = MISS) -> int:
@@ -126,8 +126,8 @@ def _agree(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
 
 
-def links(classes: DataFrame, docs: DataFrame, num: int, den: int, base: str, k: int = COORDINATES, size: int = SHINGLE) -> DataFrame:
-    """Confirmed links (a, b) between classes that join all components of the similarity graph.
+def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, base: str, k: int = COORDINATES, size: int = SHINGLE) -> DataFrame:
+    """(node, comp): the components of the similarity graph between classes; nodes without a link are left out.
 
     ``classes``: rep (doc_id of the class), n, set_id, signature. A link holds if
     den * |intersection| >= num * |union|.
@@ -143,10 +143,11 @@ def links(classes: DataFrame, docs: DataFrame, num: int, den: int, base: str, k:
     # Two documents that agree often have a common token in both prefixes; others' tokens there fall out.
     again = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
     prefix = shared.stored(prefix.join(again, "token"), "prefix", base)
+    comp = classes.sparkSession.createDataFrame([], "node long, comp long")
     if prefix.isEmpty():
-        return classes.sparkSession.createDataFrame([], "a long, b long")
+        return comp
     sig = shared.stored(classes.join(prefix.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "set_id", "signature"), "sig", base)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    sets = shared.stored(_sets(docs, sig, size), "sets", base)
     done = None  # pairs looked at
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
@@ -157,69 +158,100 @@ def links(classes: DataFrame, docs: DataFrame, num: int, den: int, base: str, k:
             .filter(_agree("sa", "sb") >= t)
             .select("a", "b")
         )
-        counted = shared.stored(counted, f"counted_{tag}", base)
-        if counted.isEmpty():
-            return counted
-        return shared.stored(_confirm(counted, sig, texts, num, den, size), f"links_{tag}", base)
+        return shared.stored(_confirm(counted, sets, num, den), f"links_{tag}", base)
 
-    found, comp = None, None
-    lines = prefix.withColumn("comp", F.col("rep"))
+    lines = prefix.select("rep", "token", "n", F.col("rep").alias("comp"), F.lit(None).cast("double").alias("most"))
+    fits = lambda p, q: F.coalesce(F.col(f"{q}n") <= F.col(f"{p}most"), F.lit(True)) & F.coalesce(F.col(f"{p}n") <= F.col(f"{q}most"), F.lit(True))
+    similar = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
     for r in range(HUB_ROUNDS + 1):
+        x = lines.alias("x")
         if r == HUB_ROUNDS:
-            # what is left: all pairs between different components
+            # What is left: all pairs between different components, each at its first common token
+            # only, and if the signatures agree often enough.
+            own = lines.groupBy("rep").agg(F.collect_set("token").alias("tokens")).join(sig.select("rep", "signature"), "rep")
+            lines = shared.stored(lines.join(own, "rep"), "rest", base)
             x, y = lines.alias("x"), lines.alias("y")
-            pairs = x.join(y, "token").filter("x.comp < y.comp").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.n", "y.n").alias("p"), F.greatest("x.n", "y.n").alias("q"))
         else:
             # hubs differ by round and token, so a member meets many of its group
             order = F.struct(F.xxhash64("rep", "token", F.lit(r)) if r else F.col("rep").cast("long"), F.col("rep"))
-            hub = lines.groupBy("token").agg(F.min_by(F.struct("rep", "n", "comp"), order).alias("hub"))
-            pairs = lines.join(hub, "token").filter("comp <> hub.comp").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.least("n", "hub.n").alias("p"), F.greatest("n", "hub.n").alias("q"))
-        pairs = pairs.filter(F.col("p") * den >= F.col("q") * num).select("a", "b").distinct()
+            y = lines.groupBy("token").agg(F.min_by(F.struct("rep", "n", "comp", "most"), order).alias("hub")).select("token", "hub.*").alias("y")
+        apart = (F.col("x.comp") < F.col("y.comp")) if r == HUB_ROUNDS else (F.col("x.comp") != F.col("y.comp"))
+        if r == HUB_ROUNDS:
+            apart = apart & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")) & (_agree("x.signature", "y.signature") >= t)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & similar & fits("x.", "y."))
+        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = shared.stored(pairs, f"pairs_{r}", base)
-        if r == HUB_ROUNDS or not pairs.isEmpty():
-            new = confirmed(pairs, str(r))
-            found = new if found is None else found.unionByName(new)
+        new = confirmed(pairs, str(r))
         done = pairs if done is None else done.unionByName(pairs)
+        linked = not new.isEmpty()
+        if linked:
+            # components so far are stars, so only what the new links join has to move
+            stars = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            comp = shared.stored(components(stars.unionByName(new), base, f"cc_{r}"), f"comp_{r}", base)
         if r == HUB_ROUNDS:
             break
-        if found is not None and not found.isEmpty():
-            comp = shared.stored(components(found, base, f"cc_{r}"), f"comp_{r}", base)
-            lines = prefix.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        several = lines.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-        lines = shared.stored(lines.join(several, "token", "left_semi"), f"lines_{r}", base)
+        if linked:
+            lines = lines.drop("comp").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        if r in BOUND_ROUNDS:
+            # shingles that no other document in question has can't be in an intersection
+            lines = shared.stored(_open(lines), f"open_{r}", base)
+            lines = lines.drop("most").join(_largest_partner(lines, sets, num, den), "rep", "left")
+        lines = shared.stored(_open(lines), f"lines_{r}", base)
         if lines.isEmpty():
             break
-    return found if found is not None else classes.sparkSession.createDataFrame([], "a long, b long")
+    return comp
+
+
+#: Hub rounds after which the bound on partners' sizes is computed from what is left.
+BOUND_ROUNDS = (1, 3)
+
+
+def _open(lines: DataFrame) -> DataFrame:
+    """Lines whose token still joins components, and that some other member's size allows."""
+    of = lines.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("least"))
+    keep = (F.col("c1") < F.col("c2")) & F.coalesce(F.col("most") >= F.col("least"), F.lit(True))
+    return lines.join(of, "token").filter(keep).select(lines.columns)
 
 
-def _confirm(pairs: DataFrame, sig: DataFrame, texts: DataFrame, num: int, den: int, size: int) -> DataFrame:
-    """Links whose full sets hold the threshold. Sets travel once per document, as a binary of hashes."""
+def _largest_partner(lines: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, most): no set larger than ``most`` can be linked with rep's.
+
+    Of rep's n shingles, u are in no other set in question, so an intersection has at most n - u.
+    A link with a set of m needs an intersection of num / (num + den) * (n + m) or more.
+    """
+    of = sets.join(lines.select("rep").distinct(), "rep", "left_semi")
+    each = of.select("rep", F.explode("hashes").alias("h"))
+    alone = each.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).filter("rep = other")
+    alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    n = F.size("hashes")
+    return of.join(alone, "rep", "left").select("rep", ((n - F.coalesce("u", F.lit(0))) * (num + den) / num - n).alias("most"))
+
+
+def _sets(docs: DataFrame, sig: DataFrame, size: int) -> DataFrame:
+    """(rep, hashes): the full sets of the documents in ``sig``."""
 
     def work(batches):
         for batch in batches:
-            data = [shingles(t or b"", size).tobytes() for t in batch.column(1).to_pylist()]
-            own = [hashlib.blake2b(d, digest_size=16).digest() == s for d, s in zip(data, batch.column(2).to_pylist(), strict=True)]
-            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["rep", "hashes"])
+            data = [shingles(t or b"", size) for t in batch.column(1).to_pylist()]
+            own = [hashlib.blake2b(d.tobytes(), digest_size=16).digest() == s for d, s in zip(data, batch.column(2).to_pylist(), strict=True)]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.view(np.int64) for d in data], pa.list_(pa.int64()))], names=["rep", "hashes"])
             yield rows.filter(pa.array(own, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sig.select("rep", "set_id"), "rep")
-    sets = texts.join(used, "rep").select("rep", "text", "set_id").mapInArrow(work, "rep long, hashes binary")
-    sets = sets.groupBy("rep").agg(F.first("hashes").alias("hashes"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    sets = texts.join(sig.select("rep", "set_id"), "rep").select("rep", "text", "set_id").mapInArrow(work, "rep long, hashes array<long>")
+    return sets.groupBy("rep").agg(F.first("hashes").alias("hashes"))
 
-    def holds(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
+def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links whose full sets hold the threshold."""
     a = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     b = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(holds, "a long, b long")
+    # Arrays are sorted and distinct; array_intersect hashes them once.
+    both = F.size(F.array_intersect("x", "y"))
+    holds = both * den >= (F.size("x") + F.size("y") - both) * num
+    return pairs.join(a, "a").join(b, "b").filter(holds).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = COORDINATES, size: int = SHINGLE) -> DataFrame:
@@ -235,12 +267,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = COO
     # One doc_id may carry several sets: its classes are one document.
     of = F.struct("n", "signature", "set_id")
     reps = classes.groupBy("rep").agg(F.min_by(of, "set_id").alias("x")).select("rep", "x.*")
-    found = links(reps, docs, num, den, base, k, size)
+    comp = linked_components(reps, docs, num, den, base, k, size).withColumnRenamed("node", "rep")
     member = rows.join(classes.select("set_id", "rep"), "set_id", "left")
-    if found.isEmpty():
-        comp = spark.createDataFrame([], "rep long, comp long")
-    else:
-        comp = components(found, base, "cc").withColumnRenamed("node", "rep")
     out = member.join(comp, "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
