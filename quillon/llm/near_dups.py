@@ -51,7 +51,6 @@ def match_threshold(num: int, den: int, k: int = COORDINATES, miss: float = MISS
     return k
 
 
-_HASH = shared.WordHash(seed=7)
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 2**63, 512, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 512, dtype=np.uint64)
@@ -59,10 +58,9 @@ _ADD = _RNG.integers(0, 2**63, 512, dtype=np.uint64)
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.lower().split()  # bytes.lower() maps A-Z only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _HASH.of(words)
+    h = shared.word_hashes(text.lower())  # bytes.lower() maps A-Z only
+    if not len(h):
+        return h
     return np.unique(shared.grams(h, min(size, len(h)), 0x9E3779B97F4A7C15 + 2 * min(size, len(h))))
 
 

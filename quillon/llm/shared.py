@@ -68,6 +68,33 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def parts(batch, rows: int = 1000):
+    """A batch in slices of so many rows, so that few texts are Python objects at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def tidy(work):
+    """``work`` for a worker that lives on: what a task freed goes back to the system at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def utf8(text) -> bytes:
     """UTF-8 of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -82,25 +109,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHash(dict):
-    """64-bit hash of each word; a bounded memo that is emptied when full."""
+_RNG = np.random.default_rng(11)
+_BYTES = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GAPS = np.zeros(256, bool)
+_GAPS[[9, 10, 11, 12, 13, 32]] = True
+_GAP_BYTES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+_BASE = 0x9E3779B97F4A7C15
+#: Powers of the base and of its inverse, modulo 2 ** 64; they grow with the longest stretch seen.
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+STRETCH = 1 << 20
 
-    LIMIT = 1_000_000
 
-    def __init__(self, seed: int = 0):
-        super().__init__()
-        self.seed = seed
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            x = np.full(max(n, 1 << 16), base, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.multiply.accumulate(x)
+    return _POWERS
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return h
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, in order.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    A word's hash is a polynomial of random numbers for its bytes, taken as a difference of prefix
+    sums and moved to the word's start by the inverse of the base. Long texts go in stretches that
+    end between words.
+    """
+    parts, at = [], 0
+    while len(text) - at > STRETCH:
+        ends = [k for c in _GAP_BYTES if (k := text.rfind(c, at, at + STRETCH)) >= 0]
+        ends = [max(ends)] if ends else [k for c in _GAP_BYTES if (k := text.find(c, at + STRETCH)) >= 0]
+        stop = min(ends, default=len(text) - 1) + 1
+        parts.append(_stretch_hashes(text[at:stop]))
+        at = stop
+    parts.append(_stretch_hashes(text[at:]))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _stretch_hashes(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, np.uint8)
+    gap = np.ones(len(b) + 2, bool)
+    np.take(_GAPS, b, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, stop = edge[0::2], edge[1::2]
+    up, down = _powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
+    return mix64((sums[stop] - sums[start]) * down[start])
 
 
 def grams(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -80,9 +80,6 @@ def _reduced(keys: list[np.ndarray], ids: np.ndarray) -> tuple[list[np.ndarray],
     return [k[at] for k in keys], ids[at], ids[end]
 
 
-_HASH = shared.WordHash()
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept: the words left, joined by one space) of each row of ``docs`` (doc_id, text)."""
     if length < GRAM:
@@ -101,10 +98,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
         for batch in batches:
             hs, blocks, ids = [], [], []
             for b, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = (t or b"").split()
-                if i is None or len(words) < length:
+                h = shared.word_hashes(t or b"")
+                if i is None or len(h) < length:
                     continue
-                m = window_anchors(_HASH.of(words), length)
+                m = window_anchors(h, length)
                 m = m[np.append(True, m[1:] != m[:-1])]
                 hs.append(m)
                 blocks.append(np.full(len(m), b, np.int32))
@@ -127,10 +124,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
         want.sort()
         ones, twos, ids = [], [], []
         for i, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True) if len(want) else ():
-            words = (t or b"").split()
-            if i is None or len(words) < length:
+            h = shared.word_hashes(t or b"")
+            if i is None or len(h) < length:
                 continue
-            h = _HASH.of(words)
             m = window_anchors(h, length)
             at = np.searchsorted(want, m)
             hit = want[np.minimum(at, len(want) - 1)] == m
@@ -167,7 +163,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
             words = (t or b"").split()
             gone = None
             if i is not None and len(words) >= length and len(one):
-                key = window_keys(_HASH.of(words), length)[0]
+                key = window_keys(shared.word_hashes(t), length)[0]
                 at = np.minimum(np.searchsorted(one, key), len(one) - 1)
                 starts = np.flatnonzero((one[at] == key) & (first[at] < i))
                 if len(starts):
