@@ -26,17 +26,24 @@ def _column(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _folded(x, one: dict[str, str]) -> Column:
+    """Lower case with letters mapped; texts without such letters, most of all, are only searched for them."""
+    low = F.lower(_column(x))
+    mapped = F.when(F.rlike(low, F.lit(f"[{''.join(one)}]")), F.translate(low, "".join(one), "".join(one.values()))).otherwise(low)
+    many = mapped
+    for a, b in FOLD_MANY.items():
+        many = F.replace(many, F.lit(a), F.lit(b))
+    return F.when(F.rlike(mapped, F.lit(f"[{''.join(FOLD_MANY)}]")), many).otherwise(mapped)
+
+
 def casefold(x) -> Column:
     """Full case folding of the letters below U+0530; null stays null."""
-    out = F.translate(F.lower(_column(x)), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
-    for a, b in FOLD_MANY.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return _folded(x, FOLD_ONE)
 
 
 def normalize(x) -> Column:
     """Case-folded text with U+0451 as U+0435; null is ''."""
-    return F.coalesce(F.translate(casefold(x), "ё", "е"), F.lit(""))
+    return F.coalesce(_folded(x, {**FOLD_ONE, "ё": "е"}), F.lit(""))
 
 
 def strip(x) -> Column:
@@ -104,8 +111,7 @@ def fact_tokens(raw, decimal_aware: bool = False) -> Column:
 
 
 def letter_count(raw, letters: str = "Ёё") -> Column:
-    t = F.coalesce(_column(raw), F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, letters, ""))).cast("long")
+    return F.regexp_count(F.coalesce(_column(raw), F.lit("")), F.lit(f"[{letters}]")).cast("long")
 
 
 def column_ordinal(reference) -> Column:
