@@ -34,8 +34,8 @@ SHARDS = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.i
 LEVEL = 1
 #: Bytes of text that are encoded together.
 CHUNK = 2 << 20
-#: A word's ids are remembered until so many words are; then the memo starts anew.
-MEMO_WORDS = 800_000
+#: A word's ids are remembered until so many words are; then all but the first are dropped.
+MEMO_WORDS, KEPT_WORDS = 800_000, 300_000
 
 
 def default_tokenizer() -> str:
@@ -44,6 +44,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Places(dict):
+    """Numbers words in the order in which they are first asked for, and notes the new ones."""
+
+    def __init__(self, new: list[bytes]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        at = self[word] = len(self)
+        return at
+
+
 class Encoder:
     """Whole-text encoding with the tokenizers library, word by word.
 
@@ -67,18 +80,14 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
         self.bar, self.bar_id = next((p, i) for p, i in vocabulary.items() if p == "<|startoftext|>")
-        self.forget()
+        self.new: list[bytes] = []
+        self.places, self.ids = Places(self.new), []
 
     def forget(self) -> None:
-        memo, new = {}, []
-
-        class Places(dict):
-            def __missing__(self, word):
-                new.append(word)
-                at = self[word] = len(self)
-                return at
-
-        self.places, self.new, self.ids = Places(memo), new, []
+        """Drop all but the words seen first, which are the frequent ones."""
+        kept = Places(self.new)
+        kept.update(itertools.islice(self.places.items(), KEPT_WORDS))
+        self.places, self.ids = kept, self.ids[:KEPT_WORDS]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
