@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
-_PY_WORD = r"\w"
 #: Class C forms a literal list may hold; more are taken from a table, list by list.
 LITERALS = 200
 
