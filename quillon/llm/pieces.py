@@ -45,8 +45,8 @@ WORDS = 131_072
 LONGEST = 48
 UNKNOWN = -4e9
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: A worker's memo starts anew at so many units.
-MEMO = 500_000
+#: A worker's memo starts anew at so many units; its counts go out at so many.
+MEMO, COUNTED = 400_000, 150_000
 
 
 def default_model() -> str:
@@ -216,6 +216,7 @@ def frequent(docs: DataFrame, most: int = WORDS) -> DataFrame:
     shared.ship(docs.sparkSession)
 
     def work(batches):
+        _ENCODERS.clear()  # of an earlier corpus
         seen: Counter = Counter()
 
         def flush():
@@ -224,13 +225,14 @@ def frequent(docs: DataFrame, most: int = WORDS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], names=["unit", "uses"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(units(t or ""))
-                if len(seen) > MEMO:
+            for part in shared.parts(batch):
+                for t in part.column(0).to_pylist():
+                    seen.update(units(t or ""))
+                if len(seen) > COUNTED:
                     yield flush()
         yield flush()
 
-    counts = shared.stored(docs.select(F.col("text").cast("string")).mapInArrow(work, "unit string, uses long").groupBy("unit").agg(F.sum("uses").alias("uses")), "units")
+    counts = shared.stored(docs.select(F.col("text").cast("string")).mapInArrow(shared.tidy(work), "unit string, uses long").groupBy("unit").agg(F.sum("uses").alias("uses")), "units")
     # The least number of uses by which no more than ``most`` units are left, from a table of powers.
     sizes = counts.groupBy(F.floor(F.log2("uses") * 8).cast("int").alias("octave")).count().orderBy(F.desc("octave")).collect()
     total, least = 0, None
@@ -359,15 +361,14 @@ def encoded(docs: DataFrame, model: str | None = None, most: int = WORDS) -> Dat
     def work(batches):
         for batch in batches:
             enc = encoder(model, folder)
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in shared.parts(batch):
                 data = [enc.encode(t) for t in part.column(at).to_pylist()]
                 ends = np.cumsum([0, *(len(d) // 4 for d in data)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids], names=[*(part.schema.names[k] for k in keep), "ids"])
 
     schema = ", ".join([f"`{docs.columns[k]}` {docs.dtypes[k][1]}" for k in keep] + ["ids array<int>"])
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(work, schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(shared.tidy(work), schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,11 +380,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             enc, rows = encoder(model, folder), []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(t)
-                text = enc.pieces.decode(np.frombuffer(ids, "<u4").tolist())
-                rows.append((i, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text).hexdigest(), text == shared.utf8(t)))
+            for part in shared.parts(batch):
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = enc.encode(t)
+                    text = enc.pieces.decode(np.frombuffer(ids, "<u4").tolist())
+                    rows.append((i, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text).hexdigest(), text == shared.utf8(t)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=["doc_id", "n_ids", "ids_crc32", "text_sha256", "exact"])
 
-    return docs.mapInArrow(work, "doc_id long, n_ids long, ids_crc32 long, text_sha256 string, exact boolean")
+    return docs.mapInArrow(shared.tidy(work), "doc_id long, n_ids long, ids_crc32 long, text_sha256 string, exact boolean")

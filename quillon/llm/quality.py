@@ -72,7 +72,7 @@ class Shapes(dict):
     """Number of a word's shape: runs of upper case, lower case, digits and symbols; bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         shape = re.sub(r"(.)\1+", r"\1\1", word.translate(_SHAPE)[:24])
         n = self[word] = zlib.crc32(shape.encode("utf-8", "surrogatepass"))
@@ -139,7 +139,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     limit = int(min(1.0, sample / max(1, docs.count())) * 2**32)
 
     def vote(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in shared.parts(whole)):
             ids, draws, pats, idxs, vals = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (t or "").split()
@@ -156,7 +156,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(draws, pa.int64()), pa.array(pats, pa.string()), pa.array(idxs, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], names=["doc_id", "draw", "pattern", "idx", "val"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    voted = shared.stored(rows.mapInArrow(vote, "doc_id long, draw long, pattern string, idx array<int>, val array<float>"), "votes")
+    voted = shared.stored(rows.mapInArrow(shared.tidy(vote), "doc_id long, draw long, pattern string, idx array<int>, val array<float>"), "votes")
     patterns = {r[0]: r[1] for r in voted.groupBy("pattern").count().collect()}
     posterior, labellers, prior = fit_label_model(patterns)
     drawn = voted.filter("draw is not null").orderBy("draw", "doc_id", "pattern").limit(sample).select("pattern", "idx", "val").toArrow()
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     schema = StructType([*docs.schema.fields]).add("_score", DoubleType())
 
     def work(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in shared.parts(whole)):
             out = np.ones(batch.num_rows)
             for k, t in enumerate(batch.column(at).to_pylist()):
                 words = (t or "").split()
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     out[k] = 1 / (1 + np.exp(-(float(np.dot(w[idx], val)) + bias)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(work, schema).withColumn("_keep", F.col("_score") <= REJECT)
+    return docs.mapInArrow(shared.tidy(work), schema).withColumn("_keep", F.col("_score") <= REJECT)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

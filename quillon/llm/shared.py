@@ -9,25 +9,23 @@ import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than space and \\x09-\\x0D; bytes.split() splits at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests, a single machine) a folder of the machine is used and
-    set as the checkpoint folder of the session's context.
+    A path without a scheme lies in the default file system, as it does for Spark. Where the
+    setting is absent (tests, a single machine) a folder of the machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
+    if ":/" not in root:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        root = ("file://" if default.startswith("file:") else default.rstrip("/")) + "/" + root.lstrip("/")
     return f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
@@ -168,11 +166,3 @@ def grams(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     for k in range(1, n):
         out = out * b + h[k : len(h) - n + 1 + k]
     return mix64(out)
-
-
-def words_column(text, lower: bool = False):
-    """Array of the words of a text column, natively; null text has none."""
-    t = F.coalesce(text, F.lit(""))
-    if lower:
-        t = F.translate(t, UPPER, LOWER)
-    return F.filter(F.split(t, GAP), lambda w: w != F.lit(""))
