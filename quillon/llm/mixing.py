@@ -36,8 +36,8 @@ BROADCAST_CELLS = 100_000
 
 def topic(text):
     n = F.length(text)
-    bars = n - F.length(F.translate(text, "|", ""))
-    digits = n - F.length(F.translate(text, "0123456789", ""))
+    bars = n - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    digits = F.regexp_count(text, F.lit("[0-9]"))
     return (
         F.when(bars * 200 >= F.greatest(n, F.lit(1)), F.lit("lists"))
         .when(digits * 60 >= F.greatest(n, F.lit(1)), F.lit("figures"))
@@ -53,7 +53,7 @@ def described(docs: DataFrame) -> DataFrame:
             "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
             "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
             "_topic": topic(F.coalesce("text", F.lit(""))),
-            "_tokens": F.size(shared.words_column(F.col("text"))).cast("long"),
+            "_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(shared.WORD)).cast("long"),
         }
     )
 
