@@ -11,10 +11,13 @@ full sets.
 Postings of copies would hold all pairs of a group. So documents of equal sets are one class from
 the start, and a posting links its members to one hub at a time: after each round the confirmed
 links are folded into components, a posting keeps one line for each member whose component still
-differs from another's in the posting, and the next round takes another hub. When few lines are
-left (or after ``HUB_ROUNDS`` rounds), the rest of the pairs between different components is joined
-outright. Pairs inside one component need no look: they can't change any component_id. No link is
-lost by this; nothing is capped.
+differs from another's in the posting, and the next round takes another hub. Shingles that only
+one of the documents in question has can't be shared; what they leave bounds the size of any
+partner, and most members of a loose group then have none. After ``HUB_ROUNDS`` rounds the rest of
+the pairs between different components is joined outright, each at its first common token, if its
+parts inside and outside a common hub allow for enough common shingles. Pairs
+inside one component need no look: they can't change any component_id. Nothing is capped; a pair
+at the threshold is lost with a probability below ``MISS`` by its signature.
 
 Empty or null texts have no shingles and link with nothing. Fewer than five words make one
 shingle. A row whose doc_id is null links with nothing but joins the component of an equal set;
@@ -28,7 +31,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,19 +82,18 @@ def signed(docs: DataFrame, k: int = COORDINATES, size: int = SHINGLE) -> DataFr
 
     def work(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                sets = [shingles(t or b"", size) for t in texts[lo : lo + 500]]
+            for part in shared.parts(batch, 500):
+                sets = [shingles(t or b"", size) for t in part.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full, k).view(np.int32)) if full else iter(())
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 500), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32()))],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32()))],
                     names=["doc_id", "n_shingles", "set_id", "signature"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, set_id binary, signature array<int>")
+    return rows.mapInArrow(shared.tidy(work), "doc_id long, n_shingles long, set_id binary, signature array<int>")
 
 
 def components(edges: DataFrame, base: str, tag: str) -> DataFrame:
@@ -167,7 +168,8 @@ def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, b
             # What is left: all pairs between different components, each at its first common token
             # only, and if the signatures agree often enough.
             own = lines.groupBy("rep").agg(F.collect_set("token").alias("tokens")).join(sig.select("rep", "signature"), "rep")
-            lines = shared.stored(lines.join(own, "rep"), "rest", base)
+            lines = lines.join(own, "rep").join(_against_hubs(lines, sets), "rep")
+            lines = shared.stored(lines, "rest", base)
             x, y = lines.alias("x"), lines.alias("y")
         else:
             # hubs differ by round and token, so a member meets many of its group
@@ -176,6 +178,9 @@ def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, b
         apart = (F.col("x.comp") < F.col("y.comp")) if r == HUB_ROUNDS else (F.col("x.comp") != F.col("y.comp"))
         if r == HUB_ROUNDS:
             apart = apart & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")) & (_agree("x.signature", "y.signature") >= t)
+            # With one hub, a common shingle lies in both's parts of the hub or in both's own parts.
+            most = F.least("x.inside", "y.inside") + F.size(F.array_intersect("x.outside", "y.outside"))
+            apart = apart & ((F.col("x.hub") != F.col("y.hub")) | (most * (num + den) >= (F.col("x.n") + F.col("y.n")) * num))
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & similar & fits("x.", "y."))
         pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         if done is not None:
@@ -227,6 +232,15 @@ def _largest_partner(lines: DataFrame, sets: DataFrame, num: int, den: int) -> D
     return of.join(alone, "rep", "left").select("rep", ((n - F.coalesce("u", F.lit(0))) * (num + den) / num - n).alias("most"))
 
 
+def _against_hubs(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, hub, inside, outside): one hub of rep's postings, how many of rep's shingles it has, and the others."""
+    hubs = lines.join(lines.groupBy("token").agg(F.min("rep").alias("hub")), "token").groupBy("rep").agg(F.min("hub").alias("hub"))
+    theirs = sets.select(F.col("rep").alias("hub"), F.col("hashes").alias("_hub"))
+    both = hubs.join(sets, "rep").join(theirs, "hub")
+    outside = F.array_except("hashes", "_hub")
+    return both.select("rep", "hub", (F.size("hashes") - F.size(outside)).alias("inside"), outside.alias("outside"))
+
+
 def _sets(docs: DataFrame, sig: DataFrame, size: int) -> DataFrame:
     """(rep, hashes): the full sets of the documents in ``sig``."""
 
@@ -238,7 +252,7 @@ def _sets(docs: DataFrame, sig: DataFrame, size: int) -> DataFrame:
             yield rows.filter(pa.array(own, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(sig.select("rep", "set_id"), "rep").select("rep", "text", "set_id").mapInArrow(work, "rep long, hashes array<long>")
+    sets = texts.join(sig.select("rep", "set_id"), "rep").select("rep", "text", "set_id").mapInArrow(shared.tidy(work), "rep long, hashes array<long>")
     return sets.groupBy("rep").agg(F.first("hashes").alias("hashes"))
 
 
