@@ -8,9 +8,10 @@ the end and an escape get a Huffman code, and each bit of a token's code is pred
   training documents;
 * mixing: the predictors' log odds are summed with weights picked by a gate (place in the code,
   and whether the two-word context was seen). Weights start from a fit over a fold of the training
-  documents that the counts leave out, and adapt online in each document, block by block;
-* refinement: a table over (place in the code, mixed odds), counted in the same fold, corrects
-  the mixed probability.
+  documents that the counts leave out, and adapt online in each document: after 1, 2, 4 and 8
+  tokens, then after every ``BLOCK_TOKENS``;
+* refinement: a table over (place in the code, mixed odds), counted in the same fold and then, at
+  the same steps, in each document, corrects the mixed probability.
 
 An escaped token has probability (c + 1) / (C + U + 1) among escaped ones, where c is its count in
 the training documents, C all escaped training tokens and U the distinct ones; as in the base
@@ -47,14 +48,16 @@ CODED, KNOWN = 8192, 262_144
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 14, 21, 14
 INPUTS, PLACES, FUNCTION_WORDS = 5, 16, 256
 GATES = PLACES * 2
-#: Tokens of a document between changes of its weights, and between those after the first FINE_TOKENS; tokens that are scored
-#: together; bits that wait to be counted.
-BLOCK_TOKENS, FINE_TOKENS, COARSE_TOKENS, SCORE_TOKENS, COUNT_BITS = 128, 1024, 1024, 24_000, 4_000_000
+#: Tokens of a document between changes of its weights (the first ones come after 1, 2, 4 and 8 tokens); tokens that are
+#: scored together, where a text counts as LEAST_TOKENS at least; bits that wait to be counted.
+BLOCK_TOKENS, SCORE_TOKENS, LEAST_TOKENS, COUNT_BITS = 16, 24_000, 16, 4_000_000
 CLIP, BUCKETS = 8.0, 33
 #: Predictors' log odds are kept as whole 127ths of CLIP.
 STEPS = 127 / CLIP
 FLUSH = 500_000
 ONLINE_RATE, ONLINE_INERTIA = 0.4, 30.0
+#: Bits that the fitted refinement counts for in each text, against the text's own.
+REFINE_INERTIA = 60.0
 
 
 def remainder(doc_id) -> int:
@@ -200,7 +203,7 @@ def batched(batches, wanted, most: int):
             if wanted(remainder(i)):
                 w = tokens(t)
                 some.append((i, w, len(t or b"")))
-                size += len(w) + 1
+                size += max(len(w) + 1, LEAST_TOKENS)
                 if size > most:
                     yield some
                     some, size = [], 0
@@ -367,30 +370,49 @@ def fit_mixer(docs: DataFrame, code, folder: str, bits: int) -> tuple[np.ndarray
     return w.reshape(GATES, INPUTS), refined
 
 
+def steps(at: np.ndarray) -> np.ndarray:
+    """The step of each token by its place in its text; weights change between steps."""
+    early = np.ceil(np.log2(np.minimum(at, BLOCK_TOKENS) + 1)).astype(np.int64)
+    return np.where(at < BLOCK_TOKENS, early, at // BLOCK_TOKENS + int(np.log2(BLOCK_TOKENS)))
+
+
 def coded_scores(code: Code, states, w0, refined, number: np.ndarray, doc: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """log10 probability of the code bits of ``n`` texts (numbers with ends), with weights that adapt inside each text."""
+    """log10 probability of the code bits of ``n`` texts (numbers with ends), with weights and a refinement that adapt inside each text."""
     begin = np.searchsorted(doc, np.arange(n))
     at = np.arange(len(number)) - begin[doc]
-    step = np.where(at < FINE_TOKENS, at // BLOCK_TOKENS, (at - FINE_TOKENS) // COARSE_TOKENS + FINE_TOKENS // BLOCK_TOKENS)
+    step = steps(at)
     order = np.argsort(step, kind="stable")
     token, bit, place, slots = spread(code, number, doc, bits, order)
     x, gate = inputs(states, place, slots)
-    of = doc[token]
+    # the longest texts first, so that those still running are the first rows of what adapts
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(-np.bincount(doc, minlength=n), kind="stable")] = np.arange(n)
+    of = rank[doc[token]]
     keys = of * GATES + gate
+    cells = place * BUCKETS
     cuts = np.searchsorted(step[token], np.arange(int(step.max(initial=0)) + 2))
     w = np.tile(w0, (n, 1)).astype(np.float32)  # row: text * GATES + gate
+    ones, alls = np.zeros((2, n * PLACES * BUCKETS), np.float32)
     total = np.zeros(n)
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if lo == hi:
+            continue
         xs, b, key = x[lo:hi], bit[lo:hi], keys[lo:hi]
+        running = int(of[lo:hi].max()) + 1
         odds = np.einsum("ij,ij->i", xs, w[key])
         p = squash(odds)
         err = b - p
-        p = np.clip(0.5 * (p + refined[place[lo:hi] * BUCKETS + bucket(odds)]), 1e-6, 1 - 1e-6)
-        total += np.bincount(of[lo:hi], np.log10(np.where(b == 1, p, 1 - p)), n)
-        rate = ONLINE_RATE / (np.bincount(key, minlength=len(w)) + ONLINE_INERTIA)
+        cell = cells[lo:hi] + bucket(odds)
+        own = of[lo:hi] * (PLACES * BUCKETS) + cell
+        r = (refined[cell] * REFINE_INERTIA + ones[own]) / (REFINE_INERTIA + alls[own])
+        p = np.clip(0.5 * (p + r), 1e-6, 1 - 1e-6)
+        total[:running] += np.bincount(of[lo:hi], np.log10(np.where(b == 1, p, 1 - p)), running)
+        np.add.at(ones, own, b.astype(np.float32))
+        np.add.at(alls, own, np.float32(1))
+        rate = ONLINE_RATE / (np.bincount(key, minlength=running * GATES) + ONLINE_INERTIA)
         for k in range(INPUTS):
-            w[:, k] += rate * np.bincount(key, err * xs[:, k], len(w))
-    return total
+            w[: running * GATES, k] += rate * np.bincount(key, err * xs[:, k], running * GATES)
+    return total[rank]
 
 
 class Known:

@@ -112,6 +112,22 @@ def test_scoring_odd_rows(spark, tmp_path):
     assert scoring.op7_lm_scoring(spark, saved(empty(spark), tmp_path)).count() == 0
 
 
+def test_short_texts_adapt_online():
+    code = scoring.Code([(b"a", 9), (b"b", 3), (b"c", 1)], 4, 2)
+    w0, refined = np.full((scoring.GATES, scoring.INPUTS), 0.3), np.tile(scoring.squash(np.linspace(-scoring.CLIP, scoring.CLIP, scoring.BUCKETS)), scoring.PLACES)
+    for odds in (0, 40):  # nothing for the weights to learn, so the refinement alone; a predictor that is wrong at each one
+        states = [np.full(code.inner if k == 0 else 1 << 14, odds if k == 0 else 0, np.int8) for k in range(scoring.INPUTS)]
+
+        def score(*lengths, states=states):
+            number, doc = scoring.with_ends(np.full(sum(lengths), 4), np.array(lengths))
+            return scoring.coded_scores(code, states, w0, refined, number, doc, len(lengths), 14)
+
+        s = {n: float(score(n)[0]) for n in (0, 2, 4, 20, 40)}
+        assert s[40] - s[20] > s[20] - s[0] + 0.1
+        assert s[4] - s[2] > s[2] - s[0] + 1e-3
+        assert np.allclose(score(20, 0, 40, 2), [s[20], s[0], s[40], s[2]])
+
+
 def test_code_is_a_distribution():
     code = scoring.Code([(b"a", 9), (b"b", 3), (b"c", 1)], 4, 2)
     lengths = np.diff(code.start)
