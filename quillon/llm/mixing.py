@@ -3,9 +3,16 @@
 Tokens are summed by cell (source, language, topic). Raking finds factors a(source) * b(language) *
 c(topic) for the cells so that the token shares of every source, language and topic meet their
 targets; by default a target is the observed share to a power below one, which lifts what is rare.
-A document of a cell is kept with probability min(1, scale * factor), where the scale makes the
-expected tokens the wanted share of all; a document's draw is a hash of its doc_id, so runs and
-retries agree.
+A document's draw is a hash of its doc_id, so runs and retries agree.
+
+A document of a cell is kept with probability min(1, d(source) * e(language) * f(topic)): the
+factors are raked on the tokens that the bound leaves, so that the expected tokens of every source,
+language and topic meet their targets and those of all the wanted share. A group whose target
+exceeds the tokens it has is kept whole, and the other targets of its kind share what it can't
+give in their proportions. Where the targets of two kinds can't be met together, the last round
+stays. ``op10_mixing`` keeps the draw that its SQL defines instead, min(1, scale * weight) with one
+scale for all: the wanted share of all tokens is met, but where weights are cut at 1 groups get less
+or more than their targets.
 
 Cells are pre-aggregated, so a source that holds a third of all rows is one row for each language
 and topic after the first step. Cells of one source form one row; a raking round is one scan of
@@ -28,6 +35,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 ROUNDS, SCALE_ROUNDS = 20, 12
+#: Rounds of bounded raking at most, and the largest relative error of a group at which they end.
+BOUNDED_ROUNDS, BOUNDED_ERROR = 60, 1e-7
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 SHARE = 0.6
 #: Cells up to which their table is broadcast (each under 200 bytes); beyond it the join shuffles.
@@ -69,7 +78,61 @@ def _shares(totals: dict, power: float) -> dict:
     return {k: v / all_ for k, v in tempered.items()}
 
 
-def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = None, rounds: int = ROUNDS) -> DataFrame:
+def _reachable(totals: dict, goals: dict, wanted: float) -> dict:
+    """min(total, level * goal) of each group, with the level at which they sum to ``wanted``."""
+    level, full = wanted, None
+    while full != (now := {k for k in goals if level * goals[k] >= totals[k]}) and len(now) < len(goals):
+        full = now
+        level = (wanted - sum(totals[k] for k in full)) / sum(v for k, v in goals.items() if k not in full)
+    return {k: min(float(totals[k]), level * goals[k]) for k in goals}
+
+
+def _bounded(rows: DataFrame, base: str, langs: dict, topics: dict, source_goal, wanted: float) -> DataFrame:
+    """_source, _lang, _topic, _probability: factors raked under the bound of 1; ``langs`` and ``topics`` are tokens to expect."""
+    goal, level, full = source_goal, wanted, -1
+    while True:
+        over = goal * level >= F.col("tokens")
+        n, kept, rest = rows.agg(F.count_if(over), F.sum(F.when(over, F.col("tokens")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(goal))).first()
+        if n == full or not rest:
+            break
+        full, level = n, (wanted - kept) / rest
+    aims = shared.stored(rows.withColumn("aim", F.least(F.col("tokens").cast("double"), goal * level)), "aims", base)
+    e, f = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
+
+    def factored():
+        """The cells by falling factor, and the source's own factor: those that it lifts to 1 are taken off one by one."""
+        falling = F.array_sort(F.transform("cells", lambda x: F.struct((-_lookup(e, x._lang) * _lookup(f, x._topic)).alias("v"), x._lang.alias("_lang"), x._topic.alias("_topic"), x.m.alias("m"))))
+        start = F.struct(F.lit(0.0).alias("full"), F.aggregate("falling", F.lit(0.0), lambda acc, x: acc - x.m * x.v).alias("rest"))
+        step = lambda acc, x: F.when((F.col("aim") - acc.full) * -x.v >= acc.rest, F.struct((acc.full + x.m).alias("full"), (acc.rest + x.m * x.v).alias("rest"))).otherwise(acc)
+        whole = F.col("aim") >= F.col("tokens")
+        d = F.when(whole, F.lit(-1.0) / F.element_at("falling", -1).v).otherwise((F.col("aim") - F.col("s").full) / F.col("s").rest)
+        solved = aims.withColumn("falling", falling).withColumn("s", F.when(~whole, F.aggregate("falling", start, step))).withColumn("d", d)
+        return solved.select("_source", "d", F.inline("falling")).withColumn("u", -F.col("d") * F.col("v"))
+
+    sums = []
+
+    def miss(aims_of, k) -> dict:
+        """By group of kind ``k`` the error of its tokens and the factor that would mend it."""
+        out = {}
+        for g, aim in aims_of.items():
+            full, rest = (sum(r[x] for r in sums if r[k] == g) for x in ("full", "rest"))
+            mend = (aim - full) / rest if rest > 0 and aim > full else aim / (full + rest)
+            out[g] = abs(full + rest - aim) / aim, min(10.0, max(0.1, mend))
+        return out
+
+    for r in range(2 * BOUNDED_ROUNDS):
+        cut = F.col("u") >= 1
+        sums = factored().groupBy("_lang", "_topic").agg(F.sum(F.when(cut, F.col("m")).otherwise(0)).alias("full"), F.sum(F.when(cut, 0.0).otherwise(F.col("u") * F.col("m"))).alias("rest")).collect()
+        by_lang, by_topic = miss(langs, "_lang"), miss(topics, "_topic")
+        if max(x for x, _ in (*by_lang.values(), *by_topic.values())) < BOUNDED_ERROR:
+            break
+        for factors, found in ((e, by_lang), (f, by_topic))[r % 2 : r % 2 + 1]:
+            for g, (_, mend) in found.items():
+                factors[g] = min(1e100, max(1e-100, factors[g] * mend))
+    return factored().select("_source", "_lang", "_topic", F.least(F.lit(1.0), F.col("u")).alias("_probability"))
+
+
+def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = None, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
     """_source, _lang, _topic, _weight (raked share over observed share), _probability of every cell."""
     powers = powers or POWERS
     base = shared.shared_dir(docs.sparkSession)
@@ -78,7 +141,8 @@ def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = N
     rows = cells.filter("m > 0").groupBy("_source").agg(F.sum("m").alias("tokens"), F.collect_list(F.struct("_lang", "_topic", "m")).alias("cells"))
     rows = shared.stored(rows, "sources", base)
     of = lambda k: {r[0]: r[1] for r in cells.groupBy(k).agg(F.sum("m")).collect()}
-    langs, topics = _shares(of("_lang"), powers["lang"]), _shares(of("_topic"), powers["topic"])
+    by_lang, by_topic = of("_lang"), of("_topic")
+    langs, topics = _shares(by_lang, powers["lang"]), _shares(by_topic, powers["topic"])
     total, tempered = rows.agg(F.sum("tokens"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(powers["source"])))).first()
     if not total:
         return cells.select("_source", "_lang", "_topic", F.lit(0.0).alias("_weight"), F.lit(0.0).alias("_probability"))
@@ -98,6 +162,9 @@ def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = N
     weight = F.col("a") * _lookup(b, F.col("_lang")) * _lookup(c, F.col("_topic")) * F.lit(float(total))
     fitted = factored(b, c).select("_source", "a", F.inline("cells")).select("_source", "_lang", "_topic", "m", weight.alias("_weight"))
     fitted = shared.stored(fitted, "fitted", base)
+    if bounded:
+        drawn = _bounded(rows, base, _reachable(by_lang, langs, share * total), _reachable(by_topic, topics, share * total), target, share * total)
+        return fitted.select("_source", "_lang", "_topic", "_weight").join(drawn, ["_source", "_lang", "_topic"])
     scale = share
     for _ in range(SCALE_ROUNDS):
         capped = F.col("_weight") * scale >= 1
@@ -116,9 +183,9 @@ def draw(doc_id):
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None) -> DataFrame:
+def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None, bounded: bool = True) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, _weight, _probability and _kept."""
-    cells = probabilities(docs, share, powers)
+    cells = shared.stored(probabilities(docs, share, powers, bounded=bounded), "probabilities", shared.shared_dir(docs.sparkSession))
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     rows = described(docs.drop("_weight", "_probability", "_kept")).join(cells, ["_source", "_lang", "_topic"], "left").fillna(0.0, ["_weight", "_probability"])
@@ -127,7 +194,7 @@ def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None) ->
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    r = mixed(docs)
+    r = mixed(docs, bounded=False)  # as its SQL
     return r.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"),

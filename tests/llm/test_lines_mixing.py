@@ -63,6 +63,28 @@ def test_mixing_meets_targets(spark):
     assert abs(kept / total - 0.4) < 0.05
 
 
+def test_mixing_draws_meet_targets_at_production_share(spark):
+    """The sources are lifted past 1 in many cells, and lists have fewer tokens than their target."""
+    made = [(i, "w " * (5 + i % 11) + ("| " * 9 if i % 16 == 0 else ""), "en" if i % 3 else "de", "big" if i % 7 < 4 else f"s{i % 35 % 6}", 0) for i in range(3000)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    r = mixing.mixed(df).cache()
+    total = r.agg(F.sum("_tokens")).first()[0]
+    assert r.filter("_probability = 1").count() > 0
+    short = 0
+    for k in ("_source", "_lang", "_topic"):
+        seen = {x[0]: (x[1], x[2]) for x in r.groupBy(k).agg(F.sum("_tokens"), F.sum(F.col("_probability") * F.col("_tokens"))).collect()}
+        left, goals, want = mixing.SHARE * total, {g: n ** mixing.POWERS[k[1:]] for g, (n, _) in seen.items()}, {}
+        while over := [g for g in goals if left * goals[g] / sum(goals.values()) >= seen[g][0]]:
+            for g in over:  # kept whole
+                want[g], short = seen[g][0], short + 1
+                left -= want[g]
+                del goals[g]
+        want |= {g: left * v / sum(goals.values()) for g, v in goals.items()}
+        for g, (_, got) in seen.items():
+            assert abs(got - want[g]) < 1e-5 * total
+    assert short > 0
+
+
 def test_mixing_odd_rows_and_sql(spark, tmp_path):
     r = mixing.mixed(odd(spark))
     assert r.count() == 13 and r.filter("_probability is null or _kept is null").count() == 0
