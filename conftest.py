@@ -3,7 +3,7 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(__file__))
+sys.path[:0] = [os.path.dirname(__file__), os.path.join(os.path.dirname(__file__), "tests")]
 
 
 @pytest.fixture(scope="session")

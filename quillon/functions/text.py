@@ -10,13 +10,39 @@ WORD = r"[\p{L}\p{N}_]"
 RUN = WORD + "+"
 RUNS = rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"
 TOKEN = rf"({WORD}(?:[\p{{L}}\p{{N}}_-]*{WORD})?)"
-FACT = r"([a-zа-я]*\p{Nd}+[a-zа-я\p{Nd}-]*|[%₽])"
-DECIMAL_FACT = r"(\p{Nd}+[.,]\p{Nd}+|[a-zа-я]*\p{Nd}+[a-zа-я\p{Nd}-]*|[%₽])"
+# The letters of fact tokens, both cases, with those that fold to one of them; a token is
+# letters, digits of any script, then letters, plain digits and hyphens; or one of two signs.
+LETTERS = "a-zA-Zа-яА-ЯıİſKᲀ-ᲆ"
+FACT = rf"([{LETTERS}]*\p{{Nd}}+[{LETTERS}0-9-]*|[%₽])"
+DECIMAL_FACT = rf"(\p{{Nd}}+[.,]\p{{Nd}}+|[{LETTERS}]*\p{{Nd}}+[{LETTERS}0-9-]*|[%₽])"
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
-# Letters whose case folding isn't their lower case, one for one and one for many.
-FOLD_ONE = {"ς": "σ", "µ": "μ", "ſ": "s", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ͅ": "ι"}
-FOLD_MANY = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ΐ": "ΐ", "ΰ": "ΰ", "և": "եւ"}
+
+
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters whose case folding is another letter, and those whose folding is several."""
+    one, many = {}, {}
+    for c in map(chr, range(0x80, 0x1F000)):
+        low, folded = c.lower(), c.casefold()
+        if len(low) == 1 and folded != low:
+            (one if len(folded) == 1 else many)[low] = folded
+    return one, many
+
+
+def _ranges(letters, gap: int = 8) -> str:
+    """A pattern of few ranges that hold the letters, for a quick search: long lists of letters are slow to match."""
+    codes, ranges = sorted(map(ord, letters)), []
+    for c in codes:
+        if ranges and c - ranges[-1][1] <= gap:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+FOLD_ONE, FOLD_MANY = _foldings()
+#: Signs that count as digits beside decimal ones: superscripts, circled digits and the like.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x1F200)) if c.isdigit() and not c.isdecimal())
 
 # Words that are never reported as newly introduced.
 FUNCTION_WORDS = ("а", "без", "в", "во", "для", "до", "за", "и", "из", "или", "к", "как", "на", "над", "но", "о", "об", "от", "по", "под", "при", "про", "с", "со", "у")
@@ -29,15 +55,17 @@ def _column(x) -> Column:
 def _folded(x, one: dict[str, str]) -> Column:
     """Lower case with letters mapped; texts without such letters, most of all, are only searched for them."""
     low = F.lower(_column(x))
-    mapped = F.when(F.rlike(low, F.lit(f"[{''.join(one)}]")), F.translate(low, "".join(one), "".join(one.values()))).otherwise(low)
-    many = mapped
-    for a, b in FOLD_MANY.items():
-        many = F.replace(many, F.lit(a), F.lit(b))
-    return F.when(F.rlike(mapped, F.lit(f"[{''.join(FOLD_MANY)}]")), many).otherwise(mapped)
+    beyond = F.rlike(low, F.lit(r"[\xB5\x{130}-\x{10FFFF}]"))  # beside sharp s, nothing below folds otherwise
+    mapped = F.when(beyond & F.rlike(low, F.lit(_ranges(one))), F.translate(low, "".join(one), "".join(one.values()))).otherwise(low)
+    common = F.replace(mapped, F.lit("ß"), F.lit("ss"))
+    rare = {k: v for k, v in FOLD_MANY.items() if k != "ß"}
+    table = F.create_map(*[F.lit(v) for kv in rare.items() for v in kv])
+    spelled = F.array_join(F.transform(F.regexp_extract_all(common, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(beyond & F.rlike(common, F.lit(_ranges(rare))), spelled).otherwise(common)
 
 
 def casefold(x) -> Column:
-    """Full case folding of the letters below U+0530; null stays null."""
+    """Full case folding; null stays null."""
     return _folded(x, FOLD_ONE)
 
 
@@ -105,9 +133,9 @@ def bounded(form) -> Column:
 
 
 def fact_tokens(raw, decimal_aware: bool = False) -> Column:
-    """Sorted distinct number-bearing tokens and the signs % and U+20BD of raw text."""
-    found = F.regexp_extract_all(casefold(F.coalesce(_column(raw), F.lit(""))), F.lit(DECIMAL_FACT if decimal_aware else FACT), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.translate(t, "ё,", "е."))))
+    """Sorted distinct number-bearing tokens and the signs % and U+20BD: found in the raw text, then normalised."""
+    found = F.regexp_extract_all(F.coalesce(_column(raw), F.lit("")), F.lit(DECIMAL_FACT if decimal_aware else FACT), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.replace(normalize(t), F.lit(","), F.lit(".")))))
 
 
 def letter_count(raw, letters: str = "Ёё") -> Column:
@@ -122,9 +150,25 @@ def column_ordinal(reference) -> Column:
 
 
 def is_digits(x) -> Column:
-    return F.rlike(_column(x), F.lit(r"^\p{Nd}+$"))
+    """Digits only: decimal ones of any script, and superscripts and their like."""
+    return F.rlike(_column(x), F.lit(rf"^[\p{{Nd}}{OTHER_DIGITS}]+$"))
+
+
+# Kinds of tasks that are simple up to the simple length, whatever else is said of them.
+NARROW = ("rewrite", "proofreading", "translation", "title", "caption")
+
 
+def route_by_length(n_chars, simple: int = 2500, complex_: int = 6000, kind=None, quality_first=None, asked=None) -> Column:
+    """Class of a request by its length, with what overrides it.
 
-def route_by_length(n_chars, simple: int = 2500, complex_: int = 6000) -> Column:
+    ``asked``: a class named by the user wins. ``quality_first``: a wish for the best quality, whatever the cost,
+    makes it complex. ``kind``: a narrow task is simple unless it is long, a short one of another kind is standard.
+    """
     n = _column(n_chars)
-    return F.when(n <= simple, "simple").when(n > complex_, "complex").otherwise("standard")
+    by_length = F.when(n <= simple, "simple").when(n > complex_, "complex").otherwise("standard")
+    if kind is not None:
+        narrow = F.coalesce(_column(kind).isin(*NARROW), F.lit(False))
+        by_length = F.when(n > complex_, "complex").when(narrow, "simple").when(_column(kind).isNotNull(), "standard").otherwise(by_length)
+    if quality_first is not None:
+        by_length = F.when(F.coalesce(_column(quality_first), F.lit(False)), "complex").otherwise(by_length)
+    return by_length if asked is None else F.coalesce(_column(asked), by_length)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon import storage
 from quillon.functions import text as T
 from quillon.operators import counting
 
@@ -28,13 +29,20 @@ class AuditConfig:
             raise ValueError("breadth_limit must lie in 140..150")
 
 
-def _item_counts(pairs: DataFrame, items: DataFrame, key: str, scope: str) -> DataFrame:
+def _counts(pairs: DataFrame, items: DataFrame, by: list[str], scope: str) -> DataFrame:
+    """(pair_id, scope, by, before, after) for the items (scope, by, forms) that occur in a text of their scope."""
+    forms = items.select(scope, *by, F.explode(F.array_distinct(F.transform("forms", lambda f: T.strip(T.normalize(f))))).alias("form")).filter("form <> ''")
+    forms = storage.stored(forms, "forms")
+    found = counting.count_forms(counting.sides(pairs, [scope]), forms.select(scope, "form").distinct(), ["pair_id", "side"], within=[scope])
+    return counting.before_after(found.join(forms, [scope, "form"]), ["pair_id", scope, *by])
+
+
+def _item_counts(pairs: DataFrame, items: DataFrame, key: str, scope: str, counts: DataFrame | None = None) -> DataFrame:
     """(pair_id, scope, key, before, after) for every item of the pair's scope; items: (scope, key, forms)."""
-    forms = items.select(scope, key, F.explode(F.array_distinct(F.transform("forms", lambda f: T.strip(T.normalize(f))))).alias("form")).filter("form <> ''")
-    texts = counting.sides(pairs, [scope])
-    found = counting.count_forms(texts, forms.select(scope, "form").distinct(), ["pair_id", "side"], within=[scope])
-    each = found.join(forms, [scope, "form"])
-    counts = counting.before_after(each, ["pair_id", scope, key])
+    items = items.select(scope, key, "forms") if counts is None else items.select(scope, key)
+    if counts is None:
+        items = storage.stored(items, "items")
+        counts = _counts(pairs, items, [key], scope)
     grid = pairs.select("pair_id", scope).join(items.select(scope, key), scope)
     return grid.join(counts, ["pair_id", scope, key], "left").fillna(0, ["before", "after"])
 
@@ -46,13 +54,13 @@ def group_status(median="median", before="before", after="after"):
     return F.when(m > 0, with_median).otherwise(without)
 
 
-def group_rows(pairs: DataFrame, groups: DataFrame, scope: str = "scope") -> DataFrame:
+def group_rows(pairs: DataFrame, groups: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
     """Groups (scope, breadth_rank, word, forms, median, analyzer_current) with before, after, status per pair.
 
-    Also the remainder to the median and the group's class if the groups have one.
+    Also the remainder to the median and the group's class if the groups have one. ``counts``: (pair_id,
+    scope, breadth_rank, before, after), if they are known.
     """
-    counts = _item_counts(pairs, groups, "breadth_rank", scope)
-    out = counts.join(groups.drop("forms"), [scope, "breadth_rank"])
+    out = _item_counts(pairs, groups, "breadth_rank", scope, counts).join(groups.drop("forms"), [scope, "breadth_rank"])
     return out.withColumn("status", group_status()).withColumn("free", F.greatest(F.lit(0.0), F.col("median") - F.col("after")))
 
 
@@ -64,9 +72,9 @@ def depth_target(delta="delta", maximum="maximum", repeats="repeats", before="be
     return sync, F.when(d < 0, cut).when(m.isNotNull() & (b > m), m)
 
 
-def counted_depth(pairs: DataFrame, depth: DataFrame, scope: str = "scope") -> DataFrame:
+def counted_depth(pairs: DataFrame, depth: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
     """Depth rows (scope, row_ix, word, forms, repeats, minimum, maximum, delta) with before and after."""
-    return _item_counts(pairs, depth, "row_ix", scope).join(depth.drop("forms"), [scope, "row_ix"])
+    return _item_counts(pairs, depth, "row_ix", scope, counts).join(depth.drop("forms"), [scope, "row_ix"])
 
 
 def depth_rows(counted: DataFrame) -> DataFrame:
@@ -87,20 +95,20 @@ def _single(items: DataFrame, form: str) -> DataFrame:
     return items.withColumn("forms", F.array(form))
 
 
-def phrase_rows(pairs: DataFrame, phrases: DataFrame, scope: str = "scope") -> DataFrame:
+def phrase_rows(pairs: DataFrame, phrases: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
     """Phrases (scope, row_ix, phrase, median, ...) that occur on a side, with their status."""
-    out = _item_counts(pairs, _single(phrases, "phrase"), "row_ix", scope).filter("before > 0 or after > 0").join(phrases, [scope, "row_ix"])
+    out = _item_counts(pairs, _single(phrases, "phrase"), "row_ix", scope, counts).filter("before > 0 or after > 0").join(phrases, [scope, "row_ix"])
     return out.withColumn("status", F.when(F.col("after") > F.col("median"), "over").when(F.col("after") == F.col("median"), "at").otherwise("under"))
 
 
-def irrelevant_rows(pairs: DataFrame, forms: DataFrame, scope: str = "scope") -> DataFrame:
+def irrelevant_rows(pairs: DataFrame, forms: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
     """Unwanted forms (scope, row_ix, form, reported_current, target) with their status."""
-    out = _item_counts(pairs, _single(forms, "form"), "row_ix", scope).join(forms, [scope, "row_ix"])
+    out = _item_counts(pairs, _single(forms, "form"), "row_ix", scope, counts).join(forms, [scope, "row_ix"])
     return out.withColumn("status", F.when(F.col("after") <= F.col("target"), "at").otherwise("above"))
 
 
-def width_rows(pairs: DataFrame, words: DataFrame, scope: str = "scope") -> DataFrame:
-    out = _item_counts(pairs, _single(words, "word"), "row_ix", scope).join(words, [scope, "row_ix"])
+def width_rows(pairs: DataFrame, words: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
+    out = _item_counts(pairs, _single(words, "word"), "row_ix", scope, counts).join(words, [scope, "row_ix"])
     return out.withColumn("status", F.when(F.col("after") > 0, "covered").otherwise("uncovered"))
 
 
@@ -122,31 +130,33 @@ def coverage(rows: DataFrame, by: list[str], prefix: str = "", when=None) -> lis
     ]
 
 
-def introduced(pairs: DataFrame, n: int) -> DataFrame:
-    """(pair_id, pattern, before, after, added): token n-grams that the edited text gained.
+def introduced_patterns(pairs: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
+    """(pair_id, size, pattern, before, after, added): token n-grams that the edited text gained.
 
-    n = 1: no digits, no function words, three or more uses and two more than before; else two
-    uses and two more. N-grams cross the ends of sentences.
+    Of one token: no digits, no function words, three or more uses and two more than before; of
+    more: two uses and two more. N-grams cross the ends of sentences. Each text is cut once.
     """
     t = counting.sides(pairs).select("pair_id", "side", T.tokens("text").alias("t"))
-    if n == 1:
-        gram = F.col("t")
-    else:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i + n - 1 <= F.size("t"))
-        gram = F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))
-    each = t.select("pair_id", "side", F.explode(gram).alias("pattern"))
+    at = t.select("pair_id", "side", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1)))).alias("at"))
+    i = F.col("at")
+    grams = F.array(*[F.when(i + n - 1 <= F.size("t"), F.struct(F.lit(n).alias("size"), F.concat_ws(" ", *[F.get("t", i - 1 + k) for k in range(n)]).alias("pattern"))) for n in sizes])
+    each = at.select("pair_id", "side", F.inline(F.filter(grams, lambda x: x.isNotNull())))
     of = lambda s: F.count_if(F.col("side") == s).alias(s)
-    out = each.groupBy("pair_id", "pattern").agg(of("before"), of("after")).withColumn("added", F.col("after") - F.col("before"))
-    keep = (F.col("added") >= 2) & (F.col("after") >= (3 if n == 1 else 2))
-    if n == 1:
-        keep = keep & ~T.is_digits("pattern") & ~F.col("pattern").isin(*T.FUNCTION_WORDS)
-    return out.filter(keep)
+    out = each.groupBy("pair_id", "size", "pattern").agg(of("before"), of("after")).withColumn("added", F.col("after") - F.col("before"))
+    one = (F.col("after") >= 3) & ~T.is_digits("pattern") & ~F.col("pattern").isin(*T.FUNCTION_WORDS)
+    return out.filter((F.col("added") >= 2) & F.when(F.col("size") == 1, one).otherwise(F.col("after") >= 2))
 
 
-def fact_diff(pairs: DataFrame, decimal_aware: bool = False) -> DataFrame:
-    """(pair_id, missing, added): sorted fact tokens of one side only."""
+def introduced(pairs: DataFrame, n: int) -> DataFrame:
+    """(pair_id, pattern, before, after, added): the introduced patterns of ``n`` tokens."""
+    return introduced_patterns(pairs, (n,)).drop("size")
+
+
+def fact_diff(pairs: DataFrame, decimal_aware: bool = False, keep: list | None = None) -> DataFrame:
+    """(pair_id, missing, added): sorted fact tokens of one side only; ``keep`` names further columns."""
     a, b = T.fact_tokens("source_text", decimal_aware), T.fact_tokens("edited_text", decimal_aware)
-    return pairs.select("pair_id", a.alias("a"), b.alias("b")).select("pair_id", F.array_sort(F.array_except("a", "b")).alias("missing"), F.array_sort(F.array_except("b", "a")).alias("added"))
+    both = pairs.select("pair_id", *(keep or []), a.alias("a"), b.alias("b"))
+    return both.select("pair_id", *both.columns[1:-2], F.array_sort(F.array_except("a", "b")).alias("missing"), F.array_sort(F.array_except("b", "a")).alias("added"))
 
 
 def warnings(groups: DataFrame, depth: DataFrame | None = None, irrelevant: DataFrame | None = None, unmatched: DataFrame | None = None) -> DataFrame:
@@ -187,41 +197,62 @@ def audit(pairs: DataFrame, groups: DataFrame, depth=None, phrases=None, irrelev
     """All result tables of an audit by name; summary has one row per pair."""
     config = config or AuditConfig(enforce_limit_range=False)
     groups = groups.filter(F.col("breadth_rank") <= config.breadth_limit)
-    out = {"groups": group_rows(pairs, groups, scope)}
+    # All lists of targets are counted together, so each text is cut into runs once for each shape of form.
+    lists = {"groups": (groups, "breadth_rank"), "depth": (depth, "row_ix"), "phrases": (phrases and _single(phrases, "phrase"), "row_ix"), "irrelevant": (irrelevant and _single(irrelevant, "form"), "row_ix"), "width": (width and _single(width, "word"), "row_ix")}
+    base = storage.shared_dir(pairs.sparkSession)
+    tables = {k: storage.stored(df, k, base) for k, (df, _) in lists.items() if df is not None}
+    items = [df.select(scope, F.lit(k).alias("list"), F.col(lists[k][1]).cast("long").alias("item"), "forms") for k, df in tables.items()]
+    every = items[0]
+    for df in items[1:]:
+        every = every.unionByName(df)
+    counts = storage.stored(_counts(pairs, every, ["list", "item"], scope), "counts", base)
+    of = lambda k: counts.filter(F.col("list") == k).select("pair_id", scope, F.col("item").cast(tables[k].schema[lists[k][1]].dataType).alias(lists[k][1]), "before", "after")
+
+    out = {"groups": group_rows(pairs, tables["groups"], scope, of("groups"))}
     g = out["groups"].withColumn("key", T.normalize_header("word"))
     aggs = [*coverage(g, ["pair_id"], "raw_"), F.count_if(F.col("status") == "over").alias("lsi_over"), F.count_if(F.col("status") == "breadth-over").alias("breadth_over")]
     if relevant is not None:
-        g = g.join(relevant.select(scope, "key", F.lit(True).alias("_relevant")).distinct(), [scope, "key"], "left")
+        relevant = storage.stored(relevant.select(scope, "key").distinct(), "relevant", base)
+        g = g.join(relevant.withColumn("_relevant", F.lit(True)), [scope, "key"], "left")
         aggs += coverage(g, ["pair_id"], "filtered_", F.coalesce("_relevant", F.lit(False)))
-    total = pairs.select("pair_id", scope).join(g.groupBy("pair_id").agg(*aggs), "pair_id", "left")
 
-    def add(name: str, rows: DataFrame, **counts):
-        nonlocal total
+    # Every other table adds rows (pair_id, name of a counter), which are counted in one aggregate.
+    counted: list[tuple[DataFrame, dict]] = []
+
+    def add(name: str, rows: DataFrame, **counters):
         out[name] = rows
-        total = total.join(rows.groupBy("pair_id").agg(*[c.alias(k) for k, c in counts.items()]), "pair_id", "left").fillna(0, list(counts))
+        counted.append((rows, counters))
 
-    is_ = lambda s: F.count_if(F.col("status") == s)
-    n = F.count(F.lit(1))
+    is_ = lambda s: F.col("status") == s
+    each = F.lit(True)
     if depth is not None:
-        counted = counted_depth(pairs, depth, scope)
-        add("depth", depth_rows(counted), negative_groups=n, negative_above=is_("above"))
-        add("minimum", minimum_rows(counted, relevant, scope), minimum_groups=n, minimum_below=is_("below"))
+        rows = counted_depth(pairs, tables["depth"], scope, of("depth"))
+        add("depth", depth_rows(rows), negative_groups=each, negative_above=is_("above"))
+        add("minimum", minimum_rows(rows, relevant, scope), minimum_groups=each, minimum_below=is_("below"))
     if phrases is not None:
-        out["phrases"] = phrase_rows(pairs, phrases, scope)
+        out["phrases"] = phrase_rows(pairs, tables["phrases"].drop("forms"), scope, of("phrases"))
     if irrelevant is not None:
-        add("irrelevant", irrelevant_rows(pairs, irrelevant, scope), irrelevant_groups=n, irrelevant_above=is_("above"))
+        add("irrelevant", irrelevant_rows(pairs, tables["irrelevant"].drop("forms"), scope, of("irrelevant")), irrelevant_groups=each, irrelevant_above=is_("above"))
     if width is not None:
-        add("width", width_rows(pairs, width, scope), width_words=n, width_covered_before=F.count_if(F.col("before") > 0), width_covered_after=F.count_if(F.col("after") > 0))
-    for k, name in ((1, "tokens"), (2, "bigrams"), (3, "trigrams")):
-        add(name, introduced(pairs, k), **{f"introduced_{name}": n})
-    out["facts"] = fact_diff(pairs)
-    total = total.join(out["facts"].select("pair_id", F.size("missing").cast("long").alias("missing_fact_tokens"), F.size("added").cast("long").alias("added_fact_tokens")), "pair_id")
-    total = total.join(pairs.select("pair_id", T.letter_count("source_text", letters).alias("source_yo"), T.letter_count("edited_text", letters).alias("edited_yo")), "pair_id")
-    lost = None if relevant is None else pairs.select("pair_id", scope).join(unmatched_relevant(groups, relevant, scope), scope).select("pair_id", "key")
-    add("warnings", warnings(out["groups"], out.get("depth"), out.get("irrelevant"), lost), warnings=n)
-    zeros = [c for c in ("negative_groups", "negative_above", "minimum_groups", "minimum_below", "irrelevant_groups", "irrelevant_above", "width_words", "width_covered_before", "width_covered_after") if c not in total.columns]
-    total = total.withColumns({c: F.lit(0).cast("long") for c in zeros})
-    total = total.withColumn("introduced_frame_flags", F.col("introduced_bigrams") + F.col("introduced_trigrams")).withColumnRenamed("introduced_tokens", "introduced_token_flags").drop("introduced_bigrams", "introduced_trigrams")
+        add("width", width_rows(pairs, tables["width"].drop("forms"), scope, of("width")), width_words=each, width_covered_before=F.col("before") > 0, width_covered_after=F.col("after") > 0)
+    patterns = storage.stored(introduced_patterns(pairs), "introduced", base)
+    for n, name in ((1, "tokens"), (2, "bigrams"), (3, "trigrams")):
+        add(name, patterns.filter(F.col("size") == n).drop("size"), **{"introduced_token_flags" if n == 1 else "introduced_frame_flags": each})
+    lost = None if relevant is None else pairs.select("pair_id", scope).join(unmatched_relevant(tables["groups"], relevant, scope), scope).select("pair_id", "key")
+    add("warnings", warnings(out["groups"], out.get("depth"), out.get("irrelevant"), lost), warnings=each)
+
+    letter_counts = [T.letter_count("source_text", letters).alias("source_yo"), T.letter_count("edited_text", letters).alias("edited_yo")]
+    facts = fact_diff(pairs, keep=[scope, *letter_counts])
+    out["facts"] = facts.select("pair_id", "missing", "added")
+    long = None
+    for rows, counters in counted:
+        names = F.array_compact(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.lit(k)) for k, on in counters.items()]))
+        part = rows.select("pair_id", F.explode(names).alias("counter"))
+        long = part if long is None else long.unionByName(part)
+    names = ("negative_groups", "negative_above", "minimum_groups", "minimum_below", "irrelevant_groups", "irrelevant_above", "width_words", "width_covered_before", "width_covered_after", "introduced_token_flags", "introduced_frame_flags", "warnings")
+    sums = long.groupBy("pair_id").agg(*[F.count_if(F.col("counter") == k).alias(k) for k in names])
+    total = facts.select("pair_id", scope, F.size("missing").cast("long").alias("missing_fact_tokens"), F.size("added").cast("long").alias("added_fact_tokens"), "source_yo", "edited_yo")
+    total = total.join(g.groupBy("pair_id").agg(*aggs), "pair_id", "left").join(sums, "pair_id", "left").fillna(0, list(names))
     out["summary"] = total.withColumn("failed", verdict())
     return out
 

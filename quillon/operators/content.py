@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+
 # The evidence and confidence vocabularies.
 EVIDENCE = ("confirmed", "observed", "reported", "hypothesis", "conflicting")
 CONFIDENCE = ("high", "medium", "low")
@@ -23,6 +25,29 @@ def strata(rows: DataFrame, by: list[str], order: list[Column], names=("top", "m
     return rows.withColumn("stratum", F.get(F.array(*map(F.lit, names)), part - 1))
 
 
+def comparable(rows: DataFrame, by: list[str], ts: str, audience: str | None = None, period: str = "month") -> DataFrame:
+    """``rows`` with the group in which they may be compared: the same keys, a near period, and an audience of the same power of two."""
+    out = rows.withColumn("period", F.date_trunc(period, F.col(ts)).cast("date"))
+    size = F.when(F.col(audience) > 0, F.floor(F.log2(F.col(audience).cast("double")))).otherwise(F.lit(-1)) if audience else F.lit(0)
+    out = out.withColumn("audience_power", size.cast("long"))
+    return out.withColumn("peers", F.count(F.lit(1)).over(W.partitionBy(*by, "period", "audience_power")))
+
+
+def feature_table(rows: DataFrame, key: str, features: dict[str, list[str] | None]) -> DataFrame:
+    """(key, feature, value, status) in long form: every publication is coded on the same features.
+
+    ``features``: allowed values of each, or None for free text. A value that isn't there is 'not coded',
+    one that isn't allowed is 'unknown value'; nothing is inferred.
+    """
+    cells = []
+    for name, allowed in features.items():
+        v = F.trim(F.col(name).cast("string"))
+        blank = F.coalesce(v, F.lit("")) == ""
+        status = F.when(blank, "not coded").when(v.isin(*allowed) if allowed else F.lit(True), "coded").otherwise("unknown value")
+        cells.append(F.struct(F.lit(name).alias("feature"), F.when(~blank, v).alias("value"), status.alias("status")))
+    return rows.select(key, F.inline(F.array(*cells)))
+
+
 def stratified_sample(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of every stratum."""
     place = F.row_number().over(W.partitionBy(*by, "stratum").orderBy(*order))
@@ -54,6 +79,11 @@ def shares(rows: DataFrame, category: str) -> DataFrame:
     return per.join(F.broadcast(total)).select(category, "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
 
 
+def check_totals(have: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """(key, n, given, agrees): counted positions against totals that were given; a side without the key is null."""
+    return have.select(key, "n").join(given.select(key, F.col("n").alias("given")), key, "full").withColumn("agrees", F.coalesce(F.col("n") == F.col("given"), F.lit(False)))
+
+
 def gaps(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has."""
     a, b = have.select(key).distinct(), want.select(key).distinct()
@@ -81,8 +111,9 @@ def segment_evidence(signals: DataFrame, segment: str, kind: str, least: int = 2
 
 def precedence(claims: DataFrame, claim: list[str], value: str, tier: str, date: str, tie: str) -> DataFrame:
     """The claim of the best tier, the newest of it; ``conflict`` says that sources disagree, and nothing is averaged."""
-    best = F.row_number().over(W.partitionBy(*claim).orderBy(F.asc(tier), F.desc(date), F.asc(tie)))
-    differ = F.size(F.collect_set(value).over(W.partitionBy(*claim))) > 1
+    of = W.partitionBy(*claim)
+    best = F.row_number().over(of.orderBy(F.asc(tier), F.desc(date), F.asc(tie)))
+    differ = F.coalesce(F.min(value).over(of) < F.max(value).over(of), F.lit(False))
     return claims.withColumns({"_best": best, "conflict": differ}).filter("_best = 1").drop("_best")
 
 
@@ -108,9 +139,20 @@ def advantage_class(claimed: Column, confirmed: Column, competitors_share: Colum
 
 
 def themes(rows: DataFrame, corpus: str, theme: str, least: int = 1) -> DataFrame:
-    """Theme frequency by corpus, with its rank; below ``least`` documents a theme isn't counted."""
+    """Theme frequency by corpus, with its rank; below ``least`` documents a theme isn't counted.
+
+    A corpus may hold any number of themes, so no task ranks a whole one: themes are ranked within slices of (corpus,
+    frequency), and slices, which are as many as there are different frequencies, give the places before them.
+    """
     per = rows.groupBy(corpus, theme).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return per.withColumn("place", F.row_number().over(W.partitionBy(corpus).orderBy(F.desc("n"), F.asc(theme))).cast("long"))
+    # the rarest frequencies hold most themes, so a slice is cut by the theme's beginning too
+    per = per.withColumn("_slice", F.substring(theme, 1, 2))
+    sizes = per.groupBy(corpus, "n", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(W.partitionBy(corpus).orderBy(F.desc("n"), F.asc("_slice")).rowsBetween(W.unboundedPreceding, -1))
+    ahead = sizes.withColumn("_ahead", F.coalesce(before, F.lit(0))).drop("_size")
+    inside = F.row_number().over(W.partitionBy(corpus, "n", "_slice").orderBy(F.asc(theme)))
+    ranked = per.withColumn("_inside", inside).join(ahead, [corpus, "n", "_slice"])
+    return ranked.select(corpus, theme, "n", (F.col("_ahead") + F.col("_inside")).cast("long").alias("place"))
 
 
 def class_mix(rows: DataFrame, by: list[str], kind: str, kinds: list[str]) -> DataFrame:
@@ -145,12 +187,32 @@ def changed_one(plan: DataFrame, series: str, order: str, parameters: list[str])
     return plan.withColumn("changed", F.when(first, 0).otherwise(changed).cast("long")).withColumn("valid", first | (F.col("changed") == 1))
 
 
-def search_gate(answers: DataFrame, categories: list[str]) -> DataFrame:
-    """Answers (ok, answer, sources) with the reasons why they don't suffice."""
+def search_gate(answers: DataFrame, categories: list[str], brand: str | None = None, primary: list[str] | None = None, contradictions: DataFrame | None = None, least_known: int = 1) -> DataFrame:
+    """Answers (key, ok, answer, sources) with the six reasons for which they don't suffice.
+
+    A failed or empty answer; another brand (its name isn't in the answer); no source on a primary site
+    (without a list, no source at all); categories of the shop that the answer lacks; contradictions
+    with official documents (rows of ``contradictions`` (key)); fewer than ``least_known`` categories known.
+    """
     said = F.lower(F.coalesce("answer", F.lit("")))
     lost = F.array_compact(F.array(*[F.when(~F.contains(said, F.lit(c.lower())), F.lit(c)) for c in categories])) if categories else F.array().cast("array<string>")
-    out = answers.withColumns({"no_answer": F.trim(said) == "", "no_sources": F.coalesce(F.size("sources"), F.lit(0)) < 1, "failed": ~F.coalesce("ok", F.lit(False)), "missing_categories": lost})
-    return out.withColumn("sufficient", ~F.col("no_answer") & ~F.col("no_sources") & ~F.col("failed") & (F.size("missing_categories") == 0))
+    sources = F.coalesce("sources", F.expr("array()").cast("array<struct<url:string>>")) if "sources" not in answers.columns else F.col("sources")
+    own = F.filter(sources, lambda x: F.rlike(F.lower(x.url), F.lit("^https?://([^/]*\\.)?(" + "|".join(p.lower().replace(".", "\\.") for p in primary) + ")(/|$)")) if primary else x.url.isNotNull())
+    out = answers.withColumns(
+        {
+            "failed": ~F.coalesce("ok", F.lit(False)) | (F.trim(said) == ""),
+            "other_brand": ~F.contains(said, F.lit(brand.lower())) if brand else F.lit(False),
+            "no_primary_source": F.coalesce(F.size(own), F.lit(0)) < 1,
+            "missing_categories": lost,
+            "too_little": F.size(lost) > len(categories) - min(least_known, len(categories)) if categories else F.lit(False),
+        }
+    )
+    if contradictions is None:
+        out = out.withColumn("contradicted", F.lit(False))
+    else:
+        out = out.join(contradictions.select("key").distinct().withColumn("contradicted", F.lit(True)), "key", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
+    bad = F.col("failed") | F.col("other_brand") | F.col("no_primary_source") | F.col("contradicted") | F.col("too_little")
+    return out.withColumn("sufficient", ~bad & (F.size("missing_categories") == 0))
 
 
 def usage_totals(answers: DataFrame, keys=("prompt_tokens", "completion_tokens", "total_tokens")) -> DataFrame:
@@ -166,6 +228,21 @@ def repeated_requests(requests: DataFrame, key: list[str], ts: str, minutes: int
 
 #: One claim with its evidence; every field is text but the date.
 CLAIM_CARD = "claim string, status string, source string, source_type string, date date, scope string, quote string, confidence string, note string"
+
+
+def claim_cards(rows: DataFrame) -> DataFrame:
+    """``rows`` as claim cards: the fields of ``CLAIM_CARD`` in their types, null where a row lacks one.
+
+    ``problems`` names what a card may not lack (claim, status, source), and a status or confidence that isn't in the vocabulary.
+    """
+    fields = [f.split() for f in CLAIM_CARD.split(", ")]
+    cards = rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).try_cast(t).alias(n) for n, t in fields])
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    checks = [F.when(blank(c), F.lit(f"no {c}")) for c in ("claim", "status", "source")]
+    checks += [F.when(~blank(c) & ~F.col(c).isin(*known), F.lit(f"unknown {c}")) for c, known in (("status", EVIDENCE), ("confidence", CONFIDENCE))]
+    return cards.withColumn("problems", F.array_compact(F.array(*checks)))
+
+
 #: Layers that are never added up: what the platform says, what is seen in the sample, what is assumed.
 LAYERS = ("platform", "sample", "assumption")
 
@@ -188,12 +265,28 @@ def aligned_claims(claims: DataFrame, signals: DataFrame, competitors: DataFrame
     return out.withColumn("gap", F.col("contradict") > F.col("agree"))
 
 
-def review_profile(reviews: DataFrame, by: list[str], text: str, date: str) -> DataFrame:
-    """Size, period and exact repeats (case and white space apart) of each corpus of reviews."""
-    same = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"\s+", " ")
+def review_profile(reviews: DataFrame, by: list[str], text: str, date: str, themes: DataFrame | None = None, stage: str | None = None) -> DataFrame:
+    """Size, period, exact repeats and near copies of each corpus of reviews; themes and stages if they are given.
+
+    Exact repeats differ by case and white space only; near copies have the same words in any order and number.
+    ``themes``: (theme, word); a review counts once for each theme of which it holds a word. ``stage``: a
+    column with the stage of the way to the purchase. Both come as maps from name to number of reviews.
+    """
+    low = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    exact, near = F.sha2(F.regexp_replace(low, r"\s+", " "), 256), F.sha2(F.array_join(F.array_sort(F.array_distinct(T.tokens(T.normalize(text)))), " "), 256)
     n = F.count(F.lit(1))
-    distinct = F.countDistinct(F.sha2(same, 256))
-    return reviews.groupBy(*by).agg(n.alias("n"), F.min(date).alias("first"), F.max(date).alias("last"), (n - distinct).alias("repeats"))
+    out = reviews.groupBy(*by).agg(n.alias("n"), F.min(date).alias("first"), F.max(date).alias("last"), (n - F.countDistinct(exact)).alias("repeats"), (n - F.countDistinct(near)).alias("near_copies"))
+    entries = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "n"))))
+    if themes is not None:
+        numbered = reviews.select(*by, F.monotonically_increasing_id().alias("_row"), F.array_distinct(T.tokens(T.normalize(text))).alias("_words"))
+        numbered = numbered.select(*by, "_row", F.explode("_words").alias("word"))
+        hits = numbered.join(themes.select("theme", T.normalize("word").alias("word")).distinct(), "word").select(*by, "_row", "theme").distinct()
+        per = hits.groupBy(*by, "theme").agg(n.alias("n")).groupBy(*by).agg(entries("theme").alias("themes"))
+        out = out.join(per, by, "left")
+    if stage is not None:
+        per = reviews.filter(F.col(stage).isNotNull()).groupBy(*by, stage).agg(n.alias("n")).groupBy(*by).agg(entries(stage).alias("stages"))
+        out = out.join(per, by, "left")
+    return out
 
 
 def complete_chain(rows: DataFrame, key: str, steps: list[str], step: str) -> DataFrame:

@@ -1,10 +1,19 @@
 """How often forms occur in texts, at word borders and without overlap.
 
-A form is routed by its shape. One word run (class A) equals a whole run of the text, so runs are
-counted and joined by equality. A form of several runs that starts and ends with a word character
-and can't overlap itself (class B) equals a sequence of runs with what lies between; sequences of
-that many runs are joined by equality. All others (class C: signs, self-overlapping forms) are few
-and are counted by a pattern with borders, from a literal list.
+A text is a row of word runs and the runs between them. A form is routed by its shape:
+
+* A, one word run: it equals a whole run of the text, so runs are counted and joined by equality;
+* B, several runs that start and end with a word and can't overlap themselves: it equals a sequence
+  of runs; sequences of as many runs are joined by equality;
+* C, other forms with a word in them: their core, from the first word to the last, equals a sequence
+  of runs; what stands around it has to fit the signs before and behind, and of matches that
+  overlap the earlier one counts;
+* D, signs alone: they lie inside a run between words, so the different runs between words are
+  counted, and joined with the forms by their first character.
+
+All joins are by equality, and no form is brought to the driver. Forms are few next to texts; their
+table is stored once, so that nothing of their lineage reaches the plan of the texts, and Spark
+broadcasts it only if its measured size allows.
 """
 
 from __future__ import annotations
@@ -14,17 +23,15 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon import storage
 from quillon.functions import text as T
 
-#: Class C forms a literal list may hold; more are taken from a table, list by list.
-LITERALS = 200
-
 
 def shape(form: str) -> tuple[str, int]:
-    """('A' | 'B' | 'C', number of alternating runs) of a normalised form."""
+    """(class, number of alternating runs) of a normalised form, as ``routed`` finds it."""
     parts = re.findall(r"\w+|\W+", form)
-    if len(parts) == 1 and re.match(r"\w", form):
-        return "A", 1
+    if len(parts) == 1:
+        return ("A" if re.match(r"\w", form) else "D"), 1
     words = bool(form) and re.match(r"\w", form) and re.match(r"\w", form[-1])
     if words and not any(parts[k:] == parts[: len(parts) - k] for k in range(2, len(parts), 2)):
         return "B", len(parts)
@@ -32,48 +39,85 @@ def shape(form: str) -> tuple[str, int]:
 
 
 def routed(forms: DataFrame, form: str = "form") -> DataFrame:
-    """``forms`` with normalised form, _class and _runs, natively."""
-    f = F.trim(T.normalize(form))
-    parts = T.all_runs("_form")
-    n = F.size(parts)
-    out = forms.withColumn("_form", T.strip(f)).filter("_form <> ''").withColumn("_parts", parts).withColumn("_runs", n)
-    word = F.rlike("_form", F.lit(f"^{T.WORD}")) & F.rlike("_form", F.lit(f"{T.WORD}$"))
-    overlap = F.exists(F.sequence(F.lit(1), F.greatest(F.col("_runs"), F.lit(1))), lambda k: (k % 2 == 0) & (k < F.col("_runs")) & (F.slice("_parts", k + 1, F.greatest(F.col("_runs") - k, F.lit(1))) == F.slice("_parts", F.lit(1), F.greatest(F.col("_runs") - k, F.lit(1)))))
-    kind = F.when(word & (F.col("_runs") == 1), "A").when(word & ~overlap, "B").otherwise("C")
-    return out.withColumn("_class", kind).drop("_parts")
+    """``forms`` with the normalised form, its class, and the runs, text, and surroundings of its core."""
+    out = forms.withColumn("_form", T.strip(T.normalize(form))).filter("_form <> ''").withColumn("_parts", T.all_runs("_form"))
+    n = F.size("_parts")
+    starts, ends = F.rlike("_form", F.lit(f"^{T.WORD}")), F.rlike("_form", F.lit(f"{T.WORD}$"))
+    overlap = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k % 2 == 0) & (k < n) & (F.slice("_parts", k + 1, F.greatest(n - k, F.lit(1))) == F.slice("_parts", F.lit(1), F.greatest(n - k, F.lit(1)))))
+    kind = F.when(n == 1, F.when(starts, "A").otherwise("D")).when(starts & ends & ~overlap, "B").otherwise("C")
+    before = F.when(starts, "").otherwise(F.get("_parts", F.lit(0)))
+    behind = F.when(ends, "").otherwise(F.get("_parts", n - 1))
+    core = F.substring("_form", F.length(before) + 1, F.length("_form") - F.length(before) - F.length(behind))
+    runs = n - F.when(starts, 0).otherwise(1) - F.when(ends, 0).otherwise(1)
+    return out.withColumns({"_class": kind, "_runs": runs, "_core": core, "_before": before, "_behind": behind}).drop("_parts")
+
+
+def _positions(r, m: int = 1):
+    """1-based places in the runs ``r`` from which ``m`` runs, a word first, lie in the text."""
+    first = F.when(F.rlike(F.coalesce(F.get(r, F.lit(0)), F.lit("")), F.lit(f"^{T.WORD}")), 1).otherwise(2)
+    last = F.size(r) - m + 1
+    return F.when(last >= first, F.sequence(first, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+
+def _joined(r, at, m: int):
+    """The text of ``m`` runs from place ``at``."""
+    return F.concat(*[F.get(r, at - 1 + k) for k in range(m)])
 
 
 def count_forms(texts: DataFrame, forms: DataFrame, keys: list[str], text: str = "text", within: list[str] | None = None) -> DataFrame:
     """(keys, [within], form, n) for forms (form, [within]) that occur in ``texts`` (keys, [within], normalised text).
 
-    Forms are few next to texts; their table is small by nature and adaptive execution broadcasts
-    it by its measured size. ``within`` names columns that text and form must share.
+    ``within`` names columns that text and form must share. What kinds of forms there are (a class and
+    a number of runs) is looked up in the stored table before the plan is made.
     """
     within = within or []
-    f = routed(forms).select(*within, "_form", "_class", "_runs").distinct()
-    kinds = {(r[0], r[1]) for r in f.select("_class", "_runs").distinct().collect()}
-    t = texts.select(*keys, *within, F.col(text).alias("_text"))
-    parts = []
+    f = storage.stored(routed(forms).select(*within, "_form", "_class", "_runs", "_core", "_before", "_behind").distinct(), "forms")
+    kinds = sorted((r[0], r[1]) for r in f.select("_class", "_runs").distinct().collect())
     by = [*within, "_form"]
-    if any(k == "A" for k, _ in kinds):
-        each = t.select(*keys, *within, F.explode(T.runs("_text")).alias("_form")).groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(each.join(f.filter("_class = 'A'").select(*by), by, "left_semi"))
-    for m in sorted(m for k, m in kinds if k == "B"):
-        r = t.select(*keys, *within, T.all_runs("_text").alias("_r"))
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_r") - m + 1, F.lit(1))), lambda i: (i + m - 1) <= F.size("_r"))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice("_r", i, m), ""))
-        each = r.select(*keys, *within, F.explode(grams).alias("_form")).groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(each.join(f.filter((F.col("_class") == "B") & (F.col("_runs") == m)).select(*by), by, "left_semi"))
-    if any(k == "C" for k, _ in kinds):
-        rest = [tuple(r) for r in f.filter("_class = 'C'").select(*by).collect()]
-        for lo in range(0, len(rest), LITERALS):
-            listed = F.array(*[F.struct(*[F.lit(v).alias(b) for b, v in zip(by, r, strict=True)]) for r in rest[lo : lo + LITERALS]])
-            each = t.select(*keys, *[F.col(w).alias(f"_own_{w}") for w in within], "_text", F.inline(listed))
-            for w in within:
-                each = each.filter(F.col(f"_own_{w}") == F.col(w))
-            parts.append(each.select(*keys, *by, F.regexp_count("_text", T.bounded("_form")).cast("long").alias("n")).filter("n > 0"))
+    count = F.count(F.lit(1)).alias("n")
+    texts = texts.select(*keys, *within, F.col(text).alias("_text"))
+    runs = texts.select(*keys, *within, T.all_runs("_text").alias("_r"))
+    parts = []
+    for kind, m in kinds:
+        mine = f.filter((F.col("_class") == kind) & (F.col("_runs") == m))
+        if kind == "A":
+            each = texts.select(*keys, *within, F.explode(T.runs("_text")).alias("_form")).groupBy(*keys, *by).agg(count)
+            parts.append(each.join(mine.select(*by), by, "left_semi"))
+        elif kind == "B":
+            at = runs.select(*keys, *within, "_r", F.explode(_positions("_r", m)).alias("_at"))
+            each = at.select(*keys, *within, _joined("_r", F.col("_at"), m).alias("_form")).groupBy(*keys, *by).agg(count)
+            parts.append(each.join(mine.select(*by), by, "left_semi"))
+        elif kind == "C":
+            at = runs.select(*keys, *within, "_r", F.explode(_positions("_r", m)).alias("_at"))
+            i, n = F.col("_at"), F.size("_r")
+            near = at.select(
+                *keys, *within, _joined("_r", i, m).alias("_core"), i.alias("_at"), n.alias("_size"),
+                F.coalesce(F.get("_r", i - 2), F.lit("")).alias("_left"), F.coalesce(F.get("_r", i - 1 + m), F.lit("")).alias("_right"),
+                F.aggregate(F.slice("_r", F.lit(1), i - 1), F.lit(0), lambda acc, x: acc + F.length(x)).alias("_start"),
+            )
+            found = near.join(mine.select(*within, "_form", "_core", "_before", "_behind"), [*within, "_core"])
+            # signs that reach a word before or behind aren't at a border; at the ends of the text they are
+            p, q = F.col("_before"), F.col("_behind")
+            left = F.endswith("_left", p) & ((p == "") | (F.length("_left") > F.length(p)) | (F.col("_at") <= 2))
+            right = F.startswith("_right", q) & ((q == "") | (F.length("_right") > F.length(q)) | (F.col("_at") + m >= F.col("_size")))
+            starts = F.array_sort(F.collect_list(F.col("_start") - F.length(p)))
+            hits = found.filter(left & right).groupBy(*keys, *by).agg(starts.alias("_starts"))
+            state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("free"))
+            step = lambda acc, x: F.when(x >= acc.free, F.struct((acc.n + 1).alias("n"), (x + F.length("_form")).alias("free"))).otherwise(acc)
+            parts.append(hits.select(*keys, *by, F.aggregate("_starts", state, step).n.alias("n")))
+        else:
+            # the runs between words without the characters that touch words
+            i, n = F.col("_at"), F.size("_r")
+            at = runs.select(*keys, *within, "_r", F.posexplode("_r").alias("_at", "_run")).filter(~F.rlike("_run", F.lit(f"^{T.WORD}")))
+            cut_left, cut_right = F.when(i > 0, 1).otherwise(0), F.when(i < n - 1, 1).otherwise(0)
+            inner = F.substring("_run", cut_left + 1, F.greatest(F.length("_run") - cut_left - cut_right, F.lit(0)))
+            each = at.select(*keys, *within, inner.alias("_inner")).filter("_inner <> ''").groupBy(*keys, *within, "_inner").agg(F.count(F.lit(1)).alias("_times"))
+            each = each.withColumn("_first", F.explode(F.array_distinct(F.regexp_extract_all("_inner", F.lit("(?s)."), F.lit(0)))))
+            found = each.join(mine.select(*within, "_form", F.substring("_form", 1, 1).alias("_first")), [*within, "_first"]).filter(F.contains("_inner", F.col("_form")))
+            hits = F.floor((F.length("_inner") - F.length(F.replace("_inner", F.col("_form"), F.lit("")))) / F.length("_form"))
+            parts.append(found.groupBy(*keys, *by).agg(F.sum(hits * F.col("_times")).cast("long").alias("n")))
     if not parts:
-        return t.select(*keys, *within, F.lit("").alias("_form"), F.lit(0).cast("long").alias("n")).filter("false").withColumnRenamed("_form", "form")
+        return texts.select(*keys, *within, F.lit("").alias("form"), F.lit(0).cast("long").alias("n")).filter("false")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -81,7 +125,7 @@ def count_forms(texts: DataFrame, forms: DataFrame, keys: list[str], text: str =
 
 
 def sides(pairs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(pair_id, side, keep, raw, text): the source and the edited text of each pair, normalised once."""
+    """(pair_id, side, keep, raw, text): the source and the edited text of each pair, normalised."""
     keep = keep or []
     both = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("source_text").alias("raw")), F.struct(F.lit("after").alias("side"), F.col("edited_text").alias("raw"))))
     return pairs.select("pair_id", *keep, both.alias("x")).select("pair_id", *keep, "x.side", F.coalesce("x.raw", F.lit("")).alias("raw"), T.normalize("x.raw").alias("text"))

@@ -102,9 +102,10 @@ dr AS (SELECT *, CASE WHEN after = target THEN 'at' WHEN after > target THEN 'ab
 def phrases(docs: DataFrame, k: int = 40) -> DataFrame:
     """(scope, row_ix, phrase, median): the most frequent two different words with one space between, by language."""
     r = docs.select(F.col("lang").alias("scope"), T.all_runs(T.normalize("text")).alias("r"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("r"), F.lit(1))), lambda i: (i + 2 <= F.size("r")))
-    grams = F.filter(F.transform(starts, lambda i: F.slice("r", i, 3)), lambda g: (F.get(g, F.lit(1)) == " ") & (F.get(g, F.lit(0)) != F.get(g, F.lit(2))))
-    each = r.select("scope", F.explode(grams).alias("g")).groupBy("scope", F.array_join("g", "").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
+    at = r.select("scope", "r", F.explode(F.sequence(F.lit(1), F.greatest(F.size("r") - 2, F.lit(1)))).alias("i"))
+    run = lambda k: F.get("r", F.col("i") - 1 + k)
+    each = at.filter((run(1) == " ") & (run(0) != run(2))).select("scope", F.concat(run(0), run(1), run(2)).alias("phrase"))
+    each = each.groupBy("scope", "phrase").agg(F.count(F.lit(1)).alias("n"))
     return each.withColumn("row_ix", F.row_number().over(W.partitionBy("scope").orderBy(F.desc("n"), F.asc("phrase")))).filter(F.col("row_ix") <= k).select("scope", "row_ix", "phrase", (F.col("row_ix") % 3).cast("double").alias("median"))
 
 
@@ -117,3 +118,54 @@ PHRASES = f"""pg AS (SELECT scope, phrase, count(*) AS n FROM ({_grams("text", "
 ph AS (SELECT scope, phrase, row_number() OVER (PARTITION BY scope ORDER BY n DESC, phrase) AS row_ix FROM pg),
 phrases AS (SELECT scope, CAST(row_ix AS INTEGER) AS row_ix, phrase, CAST(row_ix % 3 AS DOUBLE) AS median FROM ph WHERE row_ix <= 40)"""
 GRAMS = _grams
+
+
+def workbook(sheets: dict[str, list[list]]) -> bytes:
+    """An XLSX file: text in the first row stands in its cell, other text in shared strings; None is no cell."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape, quoteattr
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    strings: dict[str, int] = {}
+
+    def cell(ref: str, v, first: bool) -> str:
+        if not isinstance(v, str):
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        if first:
+            return f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        return f'<c r="{ref}" t="s"><v>{strings.setdefault(v, len(strings))}</v></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, rows in enumerate(sheets.values(), 1):
+            body = "".join("<row>" + "".join(cell(f"{chr(65 + c)}{n}", v, n == 1) for c, v in enumerate(row) if v is not None) + "</row>" for n, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>{''.join(f'<sheet name={quoteattr(n)} sheetId={chr(34)}{k}{chr(34)} r:id={chr(34)}r{k}{chr(34)}/>' for k, n in enumerate(sheets, 1))}</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships xmlns={chr(34)}http://schemas.openxmlformats.org/package/2006/relationships{chr(34)}>{''.join(f'<Relationship Id={chr(34)}r{k}{chr(34)} Target={chr(34)}worksheets/sheet{k}.xml{chr(34)}/>' for k in range(1, len(sheets) + 1))}</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><t>{escape(s)}</t></si>' for s in strings)}</sst>")
+    return out.getvalue()
+
+
+GROUP_HEAD = ["Слова", "Медиана (по топ-10)", "Связь слов с другим листом", "Текст у вас"]
+DEPTH_HEAD = ["Слово", "Словоформы", "Повторы", "Минимум по рекомендациям", "Максимум по рекомендациям", "Добавить/удалить"]
+PHRASE_HEAD = ["N-граммы", "Медианное вхождение", "На нашем сайте"]
+
+
+def workbooks(part: DataFrame) -> DataFrame:
+    """(path, content): a workbook for each brand, with sheets of groups, their forms, depth rows and phrases made of its parts."""
+
+    def make(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("p_partkey")
+        groups, forms, deep, phrases = [GROUP_HEAD], [GROUP_HEAD[:3]], [DEPTH_HEAD], [PHRASE_HEAD]
+        for k, name, kind, size, price in zip(rows.p_partkey, rows.p_name, rows.p_type, rows.p_size, rows.p_retailprice, strict=True):
+            groups.append([f" {name}", int(size) if size % 3 else None, int(size), int(price)])
+            forms.append([kind, None, f"{size},0"])
+            deep.append([name if k % 4 else "", f"{kind}; a{k % 5}, A{k % 5}", int(k % 5), int(k % 3), int(k % 7), -int(k % 2)])
+            phrases.append([name, float(size) / 2 if size % 4 else None, int(k)])
+        book = workbook({"Все формы": forms, "Сводим формы": groups, "Глубина": deep, "N-граммы": phrases})
+        return pd.DataFrame({"path": [rows.p_brand.iloc[0]], "content": [book]})
+
+    return part.select("p_brand", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice").groupBy("p_brand").applyInPandas(make, "path string, content binary")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon import storage
 from quillon.functions import text as T
 from quillon.operators import audit, content, counting, targets
 from quillon.plans import fixtures as X
@@ -30,12 +31,13 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark, sf):
-    return load(spark, sf, "documents")
+    return storage.spread(load(spark, sf, "documents"))
 
 
 def audited(spark, sf):
+    """The pairs and their groups; groups are targets, so they are stored before an audit uses them."""
     d = docs(spark, sf).select("doc_id", "text", "lang")
-    return X.pairs(d), X.groups(d)
+    return X.pairs(d), storage.stored(X.groups(d), "groups")
 
 
 @query("q01_token_freq_by_lang", f"SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all({NORM.format('text')}, '{TOKEN}', 1)) AS token FROM documents) GROUP BY ALL")
@@ -76,15 +78,23 @@ def q04(spark, sf):
     return counting.count_forms(t, spark.createDataFrame([(s,) for s in SIGNS], "form string"), ["doc_id"])
 
 
-@query("q05_forms_by_link", f"WITH {X.GROUPS} SELECT scope, link, word, CAST(len(forms) AS BIGINT) AS n_forms, array_to_string(forms, ',') AS forms FROM w")
+@query("q05_forms_by_link", "SELECT p_brand AS file, CAST(p_size AS VARCHAR) AS link, array_to_string(list_sort(list_distinct(list(p_name))), ',') AS linked FROM part WHERE p_size % 10 <> 0 GROUP BY ALL")
 def q05(spark, sf):
-    g = X.stem_groups(docs(spark, sf))
-    return g.select("scope", "link", "word", F.size("forms").cast("long").alias("n_forms"), F.array_join("forms", ",").alias("forms"))
+    # links as cells hold them: whole numbers with a decimal comma; every tenth is blank
+    size = F.when(F.col("p_size") % 10 == 0, " ").when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(",0"))).otherwise(F.col("p_size").cast("string"))
+    rows = load(spark, sf, "part").select(F.col("p_brand").alias("file"), F.concat(F.lit(" "), "p_name").alias("word"), size.alias("link_raw"))
+    return targets.forms_by_link(rows).select("file", "link", F.array_join(F.array_sort("linked"), ",").alias("linked"))
 
 
-@query("q06_ranked_groups_first_n", f"WITH {X.GROUPS} SELECT scope, breadth_rank, word, median FROM groups")
+@query(
+    "q06_ranked_groups_first_n",
+    """WITH f AS (SELECT p_brand AS file, p_name AS word, min(p_partkey) AS row_ix FROM part GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY row_ix) AS INTEGER) AS breadth_rank FROM f)
+SELECT file, breadth_rank, CASE WHEN row_ix % 2 = 1 THEN upper(word) ELSE word END AS word FROM r WHERE breadth_rank <= 12""",
+)
 def q06(spark, sf):
-    return X.groups(docs(spark, sf)).select("scope", "breadth_rank", "word", "median")
+    word = F.when(F.col("p_partkey") % 2 == 1, F.upper("p_name")).otherwise(F.col("p_name"))
+    rows = load(spark, sf, "part").select(F.col("p_brand").alias("file"), word.alias("word"), F.col("p_partkey").alias("row_ix"))
+    return targets.ranked(rows, 12, ["file"]).select("file", "breadth_rank", "word")
 
 
 SUPPLEMENT_GROUPS = [("s", 1, "Душ", "душ,душа"), ("s", 2, "кран", "кран"), ("s", 3, "душ", "душ"), ("s", 4, "Ёмкость", "ёмкость")]
@@ -158,14 +168,22 @@ def q13(spark, sf):
     return audit.phrase_rows(X.pairs(d), X.phrases(d)).select("pair_id", "phrase", "median", "before", "after", "status")
 
 
-UNWANTED = "Нерелевантные слова\nНерелевантное слово (точная словоформа) заранее у вас повторяется 2 раз(а)\nможно -> 1, важно\n Можно => 7;"
+UNWANTED = "Нерелевантные слова\nНерелевантное слово (точная словоформа) {0} у вас повторяется 3 раз(а)\n{1} -> 1, {2}\n {1} => 7;"
+LANG_WORDS = {"en": ("the", "an", "never-there"), "de": ("der", "und", "nie"), "fr": ("le", "un", "jamais"), "es": ("el", "en", "nunca")}
 
 
-@query("q14_irrelevant_forms", "SELECT * FROM (VALUES ('заранее', 2, 0, 1, 2, 'above'), ('можно', NULL, 1, 2, 1, 'at'), ('важно', NULL, 0, 0, 0, 'at')) t(form, reported_current, target, before, after, status)".replace("1, 2, 'above'", "CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'above'"))
+@query(
+    "q14_irrelevant_forms",
+    f"""WITH {X.PAIRS}, {X.GROUPS}, {X.COUNTED.split("rows AS")[0].rstrip().rstrip(",")},
+forms AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{a}', 3, 0), ('{k}', '{b}', NULL, 1), ('{k}', '{c}', NULL, 0)" for k, (a, b, c) in LANG_WORDS.items())}) t(scope, form, reported_current, target)),
+c AS (SELECT pair_id, run AS form, count(*) FILTER (WHERE side = 'before') AS before, count(*) FILTER (WHERE side = 'after') AS after FROM sides GROUP BY ALL)
+SELECT p.pair_id, f.form, reported_current, target, coalesce(c.before, 0) AS before, coalesce(c.after, 0) AS after, CASE WHEN coalesce(c.after, 0) <= target THEN 'at' ELSE 'above' END AS status
+FROM pairs p JOIN forms f USING (scope) LEFT JOIN c ON c.pair_id = p.pair_id AND c.form = f.form""",
+)
 def q14(spark, sf):
-    lists = spark.createDataFrame([("s", UNWANTED)], "scope string, text string")
-    p = spark.createDataFrame([(1, "s", "Заранее, МОЖНО и можно", "заранее (заранее) можно-можнo")], "pair_id long, scope string, source_text string, edited_text string")
-    return audit.irrelevant_rows(p, texts.unwanted_forms(lists)).select("form", "reported_current", "target", "before", "after", "status")
+    lists = spark.createDataFrame([(k, UNWANTED.format(*w)) for k, w in LANG_WORDS.items()], "scope string, text string")
+    rows = audit.irrelevant_rows(X.pairs(docs(spark, sf)), texts.unwanted_forms(lists))
+    return rows.select("pair_id", "form", "reported_current", "target", "before", "after", "status")
 
 
 WIDTH = "the, THE; of\nand\r\nnever-there"
@@ -211,8 +229,9 @@ SELECT pair_id, pattern, before, after, after - before AS added FROM c WHERE aft
 for _n, _name in ((1, "q17_introduced_tokens"), (2, "q18_introduced_bigrams"), (3, "q19_introduced_trigrams")):
     query(_name, _introduced_sql(_n))(lambda spark, sf, n=_n: audit.introduced(X.pairs(docs(spark, sf)), n))
 
-FACT = r"([a-zа-я]*\p{Nd}+[a-zа-я\p{Nd}-]*|[%₽])"
-FACTS = f"facts AS (SELECT pair_id, list_distinct(regexp_extract_all({NORM.format('source_text')}, '{FACT}', 1)) AS a, list_distinct(regexp_extract_all({NORM.format('edited_text')}, '{FACT}', 1)) AS b FROM pairs), fd AS (SELECT pair_id, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM facts)"
+FACT = r"([a-zA-Zа-яА-ЯıİſK]*\p{Nd}+[a-zA-Zа-яА-ЯıİſK0-9-]*|[%₽])"
+_found = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '{FACT}', 1), lambda t: replace(lower(t), 'ё', 'е')))"
+FACTS = f"facts AS (SELECT pair_id, {_found('source_text')} AS a, {_found('edited_text')} AS b FROM pairs), fd AS (SELECT pair_id, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM facts)"
 
 
 @query("q20_fact_diff", f"WITH {X.PAIRS}, {FACTS} SELECT pair_id, array_to_string(missing, ' ') AS missing, array_to_string(added, ' ') AS added FROM fd")
@@ -288,13 +307,24 @@ def q26(spark, sf):
     return spark.createDataFrame(FORM_LISTS, "id int, x string").select("id", F.array_join(T.split_forms("x"), "|").alias("forms"))
 
 
-HEADER_CELLS = [("f", 0, "Все формы", 0, 0, "Слова"), ("f", 0, "Все формы", 0, 1, "Медиана (по топ-10)"), ("f", 0, "Все формы", 0, 2, "Связь слов с другим листом"), ("f", 0, "Все формы", 0, 3, "слово"), ("f", 1, "Сводим формы", 2, 1, " СЛОВО "), ("f", 1, "Сводим формы", 2, 4, "медиана"), ("f", 1, "Сводим формы", 2, 5, "связь  слов\nс другим листом"), ("f", 2, "Пусто", 0, 0, " ")]
+HEADERS = ("Слова", "Медиана (по топ-10)", " Связь  слов\nС ДРУГИМ листом", "медиана", "слово")
 
 
-@query("q27_header_resolve", "SELECT * FROM (VALUES (0, 0, 'word', 0), (0, 0, 'median', 1), (0, 0, 'link', 2), (1, 2, 'word', 1), (1, 2, 'median', 4), (1, 2, 'link', 5)) t(sheet_ix, header_ix, field, col_ix)")
+@query(
+    "q27_header_resolve",
+    """WITH c AS (SELECT r_regionkey AS sheet_ix, n_nationkey % 4 AS header_ix, n_nationkey, k, (n_nationkey * 3 + k * 2) % 11 AS col_ix FROM nation JOIN region ON r_regionkey = n_regionkey, (SELECT unnest(range(5)) AS k) WHERE n_nationkey % 10 <> 7),
+f AS (SELECT sheet_ix, min(header_ix) AS header_ix FROM c GROUP BY 1), h AS (SELECT c.* FROM c JOIN f USING (sheet_ix, header_ix)),
+m AS (SELECT sheet_ix, header_ix, CASE k WHEN 0 THEN 'word' WHEN 4 THEN 'word' WHEN 2 THEN 'link' ELSE 'median' END AS field, CASE WHEN k = 4 THEN 1 ELSE 0 END AS alias_ord, col_ix FROM h)
+SELECT sheet_ix, header_ix, field, CAST(arg_min(col_ix, (alias_ord, col_ix)) AS INTEGER) AS col_ix FROM m GROUP BY ALL""",
+)
 def q27(spark, sf):
-    cells = spark.createDataFrame(HEADER_CELLS, "file string, sheet_ix int, sheet string, row_ix int, col_ix int, value string").withColumn("is_num", F.lit(False))
-    return targets.resolve(targets.headers(cells), targets.GROUPS).select("sheet_ix", "header_ix", "field", "col_ix")
+    """Sheets of header cells at columns of no order, with titles that repeat; rows above the header are blank."""
+    each = load(spark, sf, "nation").filter("n_nationkey % 10 <> 7").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    heads = F.posexplode(F.array(*map(F.lit, HEADERS))).alias("k", "value")
+    cells = each.select(F.lit("f").alias("file"), F.col("r_regionkey").alias("sheet_ix"), F.col("r_name").alias("sheet"), (F.col("n_nationkey") % 4).alias("row_ix"), "n_nationkey", heads)
+    cells = cells.select("file", "sheet_ix", "sheet", "row_ix", ((F.col("n_nationkey") * 3 + F.col("k") * 2) % 11).alias("col_ix"), "value", F.lit(False).alias("is_num"))
+    blank = load(spark, sf, "region").select(F.lit("f").alias("file"), F.col("r_regionkey").alias("sheet_ix"), F.col("r_name").alias("sheet"), F.lit(-1).alias("row_ix"), F.lit(0).alias("col_ix"), F.lit(" ").alias("value"), F.lit(False).alias("is_num"))
+    return targets.resolve(targets.headers(cells.unionByName(blank)), targets.GROUPS).select("sheet_ix", "header_ix", "field", "col_ix")
 
 
 @query(
@@ -344,12 +374,12 @@ def q32(spark, sf):
 
 @query(
     "q33_category_share_gaps",
-    """WITH sold AS (SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 GROUP BY 1)
+    """WITH sold AS (SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT b.p_brand, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT sum(n) FROM sold)::DOUBLE AS share, n IS NULL AS missing FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN sold USING (p_brand)""",
 )
 def q33(spark, sf):
     part = load(spark, sf, "part").select("p_partkey", "p_brand")
-    sold = load(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    sold = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
     have = content.shares(sold, "p_brand")
     lost = content.gaps(have, part, "p_brand").filter("gap = 'missing'").select("p_brand", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("share"), F.lit(True).alias("missing"))
     return have.withColumn("missing", F.lit(False)).unionByName(lost)
@@ -383,7 +413,7 @@ def q36(spark, sf):
 
 @query("q37_theme_frequency", f"WITH t AS (SELECT role, unnest(regexp_extract_all({NORM.format('text')}, '{TOKEN}', 1)) AS theme FROM conversations) SELECT role, theme, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, theme) AS place FROM t GROUP BY role, theme HAVING count(*) >= 2")
 def q37(spark, sf):
-    t = load(spark, sf, "conversations").select("role", F.explode(T.tokens(T.normalize("text"))).alias("theme"))
+    t = storage.spread(load(spark, sf, "conversations")).select("role", F.explode(T.tokens(T.normalize("text"))).alias("theme"))
     return content.themes(t, "role", "theme", 2)
 
 
@@ -412,16 +442,25 @@ def q40(spark, sf):
     return content.repeated_requests(e, ["user_id", "event_type"], "ts").select("event_id", "reused")
 
 
-ANSWERS = [
-    (1, '{"id":"a","model":"m","created":7,"choices":[{"message":{"content":"text one"}}],"search_results":[{"title":"t1","url":"u1"},{"url":"u1"},{"url":""},"x",{"url":"u2","date":"2024-01-01"}],"citations":["u2","u3",5],"usage":{"total_tokens":9}}'),
-    (2, '{"choices":[]}'),
-    (3, "not json"),
-]
-
-
-@query("q41_answer_normalise", "SELECT * FROM (VALUES (1, true, 'text one', 'u1|u2|u3', 'citation', 9), (2, true, NULL, '', NULL, NULL), (3, false, NULL, '', NULL, NULL)) t(id, ok, answer, urls, last_source, tokens)")
+@query(
+    "q41_answer_normalise",
+    """SELECT page_id AS id, page_id % 5 <> 4 AS ok, CASE WHEN page_id % 5 < 3 THEN 'about ' || url END AS answer,
+  CASE page_id % 5 WHEN 4 THEN '' WHEN 3 THEN '' ELSE url || '|' || url || '#2' || CASE WHEN page_id % 2 = 0 THEN '|cited:' || page_id ELSE '' END END AS urls,
+  CASE WHEN page_id % 5 < 3 THEN CASE WHEN page_id % 2 = 0 THEN 'citation' END END AS last_source, CASE WHEN page_id % 5 < 3 THEN CAST(page_id * 2 AS INTEGER) END AS tokens FROM pages""",
+)
 def q41(spark, sf):
-    a = texts.answers(spark.createDataFrame(ANSWERS, "key int, json string"))
+    a = texts.answers(answers(load(spark, sf, "pages")))
     return a.select(F.col("key").alias("id"), "ok", "answer", F.array_join(F.transform("sources", lambda s: s.url), "|").alias("urls"), F.get("sources", F.size("sources") - 1).source.alias("last_source"), F.col("usage")["total_tokens"].cast("int").alias("tokens"))
 
 
+def answers(pages: DataFrame) -> DataFrame:
+    """(key, json): an answer for each page, with sources that repeat, have no URL or aren't objects; some without choices, some no JSON."""
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    url = F.regexp_extract(quoted("url"), r'^\{"v":(.*)\}$', 1)
+    cited = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(',"cited:'), F.col("page_id").cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    body = F.concat(
+        F.lit('{"id":"a","model":"m","created":7,"choices":[{"message":{"content":"about '), F.substring(url, 2, 1_000_000), F.lit('}}],"search_results":[{"title":"t","url":'), url, F.lit('},{"url":'), url, F.lit('},{"url":""},"x",{"date":"2024-01-01","url":"'),
+        F.substring(url, 2, 1_000_000).substr(F.lit(1), F.length(url) - 2), F.lit('#2"}],"citations":['), url, cited, F.lit(',5],"usage":{"total_tokens":'), (F.col("page_id") * 2).cast("string"), F.lit("}}"),
+    )
+    k = F.col("page_id") % 5
+    return pages.select(F.col("page_id").alias("key"), F.when(k == 4, F.concat(F.lit("not json "), "url")).when(k == 3, F.lit('{"choices":[]}')).otherwise(body).alias("json"))

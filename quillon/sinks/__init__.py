@@ -35,8 +35,8 @@ def _num(c: str):
 
 
 def _ratio(c: str):
-    x = F.bround(F.col(c), 4)
-    return F.when(x == F.floor(x), F.format_string("%.1f", x)).otherwise(x.cast("string"))
+    # four places without the zeros at the end, but one
+    return F.regexp_replace(F.format_string("%.4f", F.bround(F.col(c), 4)), r"(\.\d+?)0+$", "$1")
 
 
 # The headings of the sections.
@@ -98,10 +98,55 @@ def exit_codes(summary: DataFrame, strict: bool = True) -> DataFrame:
     return summary.select("pair_id", F.when(F.lit(strict) & F.col("failed"), 1).otherwise(0).alias("code"))
 
 
-def answer_json(answers: DataFrame) -> DataFrame:
-    """(json, code) of normalised answers: the answer with its sources and meta data, or an error record."""
+# The kinds of errors, and the exit code of each.
+ERRORS = {"missing_api_key": 2, "http_error": 1, "network_error": 1, "invalid_json": 1}
+
+
+def answer_json(answers: DataFrame, service: str = "The service", keep: list[str] | None = None) -> DataFrame:
+    """(keep, json, code) of normalised answers: the answer with its sources and meta data, or an error record.
+
+    Columns that tell errors apart, where they are given: has_key (false: no request was made), network_error (why none
+    came back), status (400 or more: refused; ``json`` is its body). Else a text that isn't a JSON object is malformed.
+    Bodies of refused requests are kept as text.
+    """
+    given = lambda c, kind: F.col(c).cast(kind) if c in answers.columns else F.lit(None).cast(kind)
+    key, network, status, body = given("has_key", "boolean"), given("network_error", "string"), given("status", "int"), given("json", "string")
+    kind = F.when(F.coalesce(~key, F.lit(False)), "missing_api_key").when(network.isNotNull(), "network_error").when(status >= 400, "http_error").when(~F.col("ok"), "invalid_json")
     meta = F.struct("id", "model", "created", "usage")
-    good = F.to_json(F.struct(F.lit(True).alias("ok"), "answer", "sources", meta.alias("meta")), {"ignoreNullFields": "false"})
-    error = F.struct(F.lit("invalid_response").alias("type"), F.lit("the response is not a JSON object").alias("message"))
+    query = [given("query", "string").alias("query")] if "query" in answers.columns else []
+    good = F.to_json(F.struct(F.lit(True).alias("ok"), *query, "answer", "sources", meta.alias("meta")), {"ignoreNullFields": "false"})
+    message = (
+        F.when(F.col("_kind") == "missing_api_key", "the key isn't set; no request was made").when(F.col("_kind") == "network_error", network)
+        .when(F.col("_kind") == "http_error", F.concat(F.lit(f"{service} returned HTTP "), status.cast("string"), F.lit("."))).otherwise("the response is not a JSON object")
+    )
+    refused = F.col("_kind") == "http_error"
+    error = F.struct(F.col("_kind").alias("type"), message.alias("message"), F.when(refused, status).alias("status"), F.when(refused, body).alias("response"))
     bad = F.to_json(F.struct(F.lit(False).alias("ok"), error.alias("error")))
-    return answers.select(F.when(F.col("ok"), good).otherwise(bad).alias("json"), F.when(F.col("ok"), 0).otherwise(1).alias("code"))
+    code = F.lit(0)
+    for k, c in ERRORS.items():
+        code = F.when(F.col("_kind") == k, c).otherwise(code)
+    return answers.withColumn("_kind", kind).select(*(keep or []), F.when(F.col("_kind").isNull(), good).otherwise(bad).alias("json"), code.alias("code"))
+
+
+def brief(sections: dict[str, DataFrame], order: dict[str, list[str]] | None = None) -> DataFrame:
+    """(section_ord, row_ord, line) of a Markdown brief: a heading and a table for each section, in the order given.
+
+    Cells are text with bars escaped and line ends as spaces; null is a dash. ``order``: columns by which a section's rows are sorted.
+    """
+    parts = []
+    for k, (title, df) in enumerate(sections.items(), 1):
+        spark = df.sparkSession
+        head = ["", f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        lines = spark.createDataFrame([(k, n, x) for n, x in enumerate(head, -len(head))], "section_ord int, row_ord long, line string")
+        cell = lambda c: F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"[\r\n]+", " "), F.lit("–"))
+        by = (order or {}).get(title, df.columns)
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
+        # the place of a row is its order among all; a brief is small, and written by one task
+        from pyspark.sql import Window as W
+
+        place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)).cast("long") - 1
+        parts += [lines, df.select(F.lit(k).alias("section_ord"), place.alias("row_ord"), row.alias("line"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

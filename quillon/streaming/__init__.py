@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,6 +31,3 @@ def without_repeats(requests: DataFrame, key: list[str], ts: str, window: str =
     """Requests without those that equal one within the window before; for streams (``content.repeated_requests`` does it for tables)."""
     return requests.withWatermark(ts, window).dropDuplicatesWithinWatermark(key)
 
-
-def on_each(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

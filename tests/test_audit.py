@@ -132,13 +132,49 @@ def test_content_rules(spark):
     assert {x.k: x.c_rate for x in r} == {"a": None, "b": 4.0}
 
 
+ANSWERS = [
+    (1, '{"id":"a","model":"m","created":7,"choices":[{"message":{"content":"text one"}}],"search_results":[{"title":"t1","url":"u1"},{"url":"u1"},{"url":""},"x",{"url":"u2","date":"2024-01-01"}],"citations":["u2","u3",5],"usage":{"total_tokens":9}}'),
+    (2, '{"choices":[]}'),
+    (3, "not json"),
+]
+
+
 def test_answers(spark):
-    from quillon.plans.queries import ANSWERS
+    from quillon import sinks
     from quillon.sources import texts
 
     a = texts.answers(spark.createDataFrame(ANSWERS, "key int, json string"))
     first = a.filter("key = 1").first()
     assert [(s.url, s.source) for s in first.sources] == [("u1", None), ("u2", None), ("u3", "citation")] and first.sources[0].title == "t1"
-    gate = {r.key: (r.sufficient, r.no_answer, r.no_sources, r.failed) for r in content.search_gate(a, ["Text"]).collect()}
-    assert gate == {1: (True, False, False, False), 2: (False, True, True, False), 3: (False, True, True, True)}
+    gate = {r.key: (r.sufficient, r.failed, r.no_primary_source, r.missing_categories) for r in content.search_gate(a, ["Text"]).collect()}
+    assert gate == {1: (True, False, False, []), 2: (False, True, True, ["Text"]), 3: (False, True, True, ["Text"])}
+    assert not content.search_gate(a, ["Text"], "Other").filter("key = 1").first().sufficient
     assert content.usage_totals(a).first().total_tokens == 9
+    assert [r.code for r in sinks.answer_json(a, keep=["key"]).orderBy("key").collect()] == [0, 0, 1]
+    failed = spark.createDataFrame([(1, "", 429, None, True), (2, None, None, None, False), (3, None, None, "timed out", True)], "key int, json string, status int, network_error string, has_key boolean")
+    got = [json.loads(r.json)["error"]["type"] for r in sinks.answer_json(texts.answers(failed), keep=["key"]).orderBy("key").collect()]
+    assert got == ["http_error", "missing_api_key", "network_error"]
+
+
+def test_missing_category_and_totals(spark):
+    have = content.shares(spark.createDataFrame([("a",), ("a",), ("b",)], "c string"), "c")
+    want = spark.createDataFrame([("a",), ("z",)], "c string")
+    assert sorted(map(tuple, content.gaps(have, want, "c").collect())) == [("b", "not wanted"), ("z", "missing")]
+    given = spark.createDataFrame([("a", 2), ("z", 1)], "c string, n long")
+    assert {r.c: (r.n, r.given, r.agrees) for r in content.check_totals(have, given, "c").collect()} == {"a": (2, 2, True), "b": (1, None, False), "z": (None, 1, False)}
+
+
+def test_themes_rank_like_a_window(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice("ab"), "".join(r.choices("xyz", k=r.randrange(1, 5)))) for _ in range(900)]
+    got = {(x.c, x.theme): (x.n, x.place) for x in content.themes(spark.createDataFrame(rows, "c string, theme string"), "c", "theme", 2).collect()}
+    want = {}
+    for c in "ab":
+        n = {}
+        for k, t in rows:
+            n[t] = n.get(t, 0) + (k == c)
+        for place, (t, x) in enumerate(sorted(((t, x) for t, x in n.items() if x >= 2), key=lambda e: (-e[1], e[0])), 1):
+            want[c, t] = (x, place)
+    assert got == want

@@ -40,7 +40,7 @@ def test_command_errors(spark, tmp_path, capsys):
 
 
 def test_small_rules(spark):
-    from quillon.plans.queries import ANSWERS
+    from test_audit import ANSWERS
     from quillon.sources import texts
 
     got = sinks.answer_json(texts.answers(spark.createDataFrame(ANSWERS, "key int, json string"))).collect()
@@ -53,7 +53,7 @@ def test_small_rules(spark):
     rivals = spark.createDataFrame([("fast", "x"), ("fast", "x")], "c string, name string")
     assert {r.c: (r.agree, r.contradict, r.competitors, r.gap) for r in content.aligned_claims(claims, signals, rivals, "c").collect()} == {"fast": (1, 2, 1, True), "cheap": (0, 0, 0, False)}
     reviews = spark.createDataFrame([("a", "Good  one", 1), ("a", "good one ", 5), ("a", None, 3)], "k string, t string, d int")
-    assert tuple(content.review_profile(reviews, ["k"], "t", "d").first()) == ("a", 3, 1, 5, 1)
+    assert tuple(content.review_profile(reviews, ["k"], "t", "d").first()) == ("a", 3, 1, 5, 1, 1)
     steps = spark.createDataFrame([("s", "need"), ("s", "buy")], "k string, step string")
     assert content.complete_chain(steps, "k", ["need", "choice", "buy"], "step").first().missing == ["choice"]
     assert [r.layer for r in content.layered(spark.createDataFrame([("rules",), ("post",), (None,)], "kind string"), "kind").collect()] == list(content.LAYERS)

@@ -21,13 +21,14 @@ def test_golden_counts(spark):
     assert counts(spark, "a  b a b", ["a b", "a  b"]) == {"a b": 1, "a  b": 1}
     assert counts(spark, "x", ["", "  "]) == {}
     assert counts(spark, r"q\E q.", [r"q\E", "q."]) == {r"q\e": 1, "q.": 1}
+    assert counts(spark, "😀😀 c++ c++ x😀 ++c", ["😀", "c++", "++c", "+"]) == {"😀": 2, "c++": 2, "++c": 1, "+": 3}
 
 
 def test_shapes():
     assert counting.shape("душ") == ("A", 1)
     assert counting.shape("a-b") == ("B", 3)
     assert counting.shape("а а") == ("C", 3)
-    assert counting.shape("%") == ("C", 1)
+    assert counting.shape("%") == ("D", 1)
     assert counting.shape("a b a") == ("C", 5)
 
 

@@ -15,6 +15,7 @@ CASES = [
     (T.normalize, "Straße", "strasse"),
     (T.normalize, None, ""),
     (T.normalize, "ΑΣ ς µ ſ", "ασ σ μ s"),
+    (T.normalize, "ﬁn ŉ ΐ Ａ Ⅷ Ꭰ ἈΙ ᾳ", "ﬁn ŉ ΐ Ａ Ⅷ Ꭰ ἈΙ ᾳ".casefold()),
     (T.normalize_header, "  Текст \n У   ВАС ", "текст у вас"),
     (T.number, "1,5", 1.5),
     (T.number, " 7 ", 7.0),
@@ -42,6 +43,7 @@ CASES = [
     (T.fact_tokens, "12,5 см и 50%", ["%", "12", "5", "50"]),
     (T.fact_tokens, "IP67-a ё5", ["5", "ip67-a"]),
     (T.fact_tokens, None, []),
+    (T.fact_tokens, "5ß ß7 K5 ٣x٤ x-5-", ["5", "5-", "7", "k5", "٣x", "٤"]),
     (lambda x: T.fact_tokens(x, True), "12,5 см", ["12.5"]),
     (T.letter_count, "Ёж ёлка е", 2),
     (T.clean_number, None, None),
@@ -61,6 +63,23 @@ def test_value(spark, k):
     assert value(spark, expression, x) == want
 
 
+def test_folding_equals_the_rule(spark):
+    """Every letter of the first planes that Unicode 13 knows, folded as the language's own rule does."""
+    import unicodedata
+
+    letters = [c for c in map(chr, range(0x80, 0x1E000)) if unicodedata.category(c)[0] == "L" and unicodedata.ucd_3_2_0.category(c)[0] == "L"]
+    text = " ".join(letters)
+    want = text.casefold().replace("ё", "е")
+    got = value(spark, T.normalize, text)
+    differ = [(a, x, y) for a, x, y in zip(letters, got.split(" "), want.split(" "), strict=True) if x != y]
+    assert not differ
+
+
+def test_digits(spark):
+    df = spark.createDataFrame([(x,) for x in ("12", "x²", "²³", "①", "٣", "½", "")], "v string")
+    assert [r[0] for r in df.select(T.is_digits("v")).collect()] == [x.isdigit() for x in ("12", "x²", "²³", "①", "٣", "½", "")]
+
+
 def test_zero_cell_is_blank(spark):
     df = spark.createDataFrame([("0", True), ("0", False), (None, False), ("5", True), ("0.0", True)], "v string, n boolean")
     assert [r[0] for r in df.select(T.cell("v", F.col("n"))).collect()] == ["", "0", "", "5", ""]
