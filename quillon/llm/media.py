@@ -10,9 +10,11 @@ captions stay with their reference.
 ``as_medium`` stores bytes losslessly as 8-bit grey samples of a PNG image 192 samples wide, padded
 with byte 32; the length before padding is kept in the image's text chunk.
 
-Null html has no items; references without a digest of ours, or to media that the catalogue lacks,
+Null and empty html has no items; references without a digest of ours, or to media that the catalogue lacks,
 keep null media. Equal media are stored once in the catalogue. Null text is stored as empty text:
-one row of spaces. Repeated rows give repeated results.
+one row of spaces. Repeated rows give repeated results. Long texts are stored whole, as images of many
+rows. Empty tables give no rows. Columns items, pos, caption and digest, and those of the media's values, are
+replaced; the query reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -37,14 +39,19 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>"
 #: Elements whose content isn't text of the document, and those that end a run of text.
 SILENT = {"script", "style", "noscript", "template", "head", "title"}
+IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template", "head"}
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "section", "article", "header", "footer", "nav", "aside", "main", "figure", "figcaption", "blockquote", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html"}
 MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
 class _Items(HTMLParser):
+    """Collects items. Elements whose content isn't text are silent until they end; a head ends at its end tag or, as
+    HTML allows it to be left out, at the first element that a head can't hold. Media in silent elements are left out too.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.run, self.silent, self.figures, self.caption = [], [], 0, [], None
+        self.items, self.run, self.silent, self.figures, self.caption = [], [], [], [], None
 
     def flush(self):
         text = " ".join("".join(self.run).split())
@@ -53,8 +60,12 @@ class _Items(HTMLParser):
             self.items.append({"kind": "text", "text": text, "src": None, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if self.silent and self.silent[0] == "head" and tag not in IN_HEAD:
+            self.silent.clear()
         if tag in SILENT:
-            self.silent += 1
+            self.silent.append(tag)
+        if self.silent:
+            return
         if tag in BLOCKS:
             self.flush()
         if tag == "figure":
@@ -73,12 +84,16 @@ class _Items(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in SILENT:
-            self.silent -= 1
+        if tag in SILENT and tag in self.silent:
+            del self.silent[self.silent.index(tag) :]
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
+        if tag in self.silent:
+            # what is still open inside it ends with it
+            del self.silent[self.silent.index(tag) :]
+            return
+        if self.silent:
+            return
         if tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
             self.caption = None
@@ -176,6 +191,8 @@ def pack(docs: DataFrame, folder: str) -> DataFrame:
     """Store each text of ``docs`` as a medium and make a page that shows it; the rows are written to the shared folder.
 
     A task that runs again writes another pack; rows name the packs of the attempt that was committed.
+    A task stores equal media once as long as it remembers them; it forgets at 200,000 digests, which
+    stores more and changes no result.
     """
     shared.ship(docs.sparkSession)
 

@@ -17,13 +17,14 @@ or more than their targets.
 Cells are pre-aggregated, so a source that holds a third of all rows is one row for each language
 and topic after the first step. Cells of one source form one row; a raking round is one scan of
 these rows that returns one sum for each (language, topic). Only those sums and the factors of
-languages and topics are held by the driver: both are code lists of fixed size (topics below,
-languages by their code). Sources stay in the table.
+languages and topics are held by the driver: both are code lists (topics below, languages by their code,
+``MOST_LANGS`` at most, which is checked). Sources stay in the table.
 
 A topic is the form of the text: 'lists' (a bar in every 200 characters), 'figures' (a digit in
 every 60), 'letters' (an at sign or a link) or 'prose'. Null source or language is the group ''.
 Null text has no tokens; documents without tokens get their cell's probability if it has tokens,
-else 0. A null doc_id draws as the text 'null'. Repeated rows draw alike. Columns of
+else 0. A null doc_id draws as the text 'null'. Repeated rows draw alike. Texts are counted whole, however
+long. An empty table gives no rows. Columns of
 the result's names (_source, _lang, _topic, _tokens, _weight, _probability, _kept) are replaced.
 """
 
@@ -41,6 +42,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 SHARE = 0.6
 #: Cells up to which their table is broadcast (each under 200 bytes); beyond it the join shuffles.
 BROADCAST_CELLS = 100_000
+#: Languages that the driver may hold; a column with more isn't a code list, and that is an error.
+MOST_LANGS = 10_000
 
 
 def topic(text):
@@ -140,6 +143,8 @@ def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = N
     cells = shared.stored(cells, "cells", base)
     rows = cells.filter("m > 0").groupBy("_source").agg(F.sum("m").alias("tokens"), F.collect_list(F.struct("_lang", "_topic", "m")).alias("cells"))
     rows = shared.stored(rows, "sources", base)
+    if cells.select("_lang").distinct().count() > MOST_LANGS:
+        raise ValueError(f"lang holds more than {MOST_LANGS} values")
     of = lambda k: {r[0]: r[1] for r in cells.groupBy(k).agg(F.sum("m")).collect()}
     by_lang, by_topic = of("_lang"), of("_topic")
     langs, topics = _shares(by_lang, powers["lang"]), _shares(by_topic, powers["topic"])

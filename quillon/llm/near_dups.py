@@ -22,7 +22,8 @@ at the threshold is lost with a probability below ``MISS`` by its signature.
 Empty or null texts have no shingles and link with nothing. Fewer than five words make one
 shingle. A row whose doc_id is null links with nothing but joins the component of an equal set;
 kept is null for it. Rows of one doc_id belong to one component; if their sets differ, the one of
-the smallest digest speaks for their links to others.
+the smallest digest speaks for their links to others. Texts are taken whole, however long. An empty
+table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ _ADD = _RNG.integers(0, 2**63, 512, dtype=np.uint64)
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+    """Sorted distinct 64-bit hashes of a text's shingles, from keyed hashes of its words."""
     h = shared.word_hashes(text.lower())  # bytes.lower() maps A-Z only
     if not len(h):
         return h
@@ -118,6 +119,8 @@ def components(edges: DataFrame, base: str, tag: str) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("the components have not settled")
     return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
 
 
@@ -288,3 +291,20 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = COO
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_SHINGLE = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, SHINGLE))])
+#: For tables without null doc_ids.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{shared.WORD}') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d WHERE len(ws) >= {SHINGLE}),
+g AS (SELECT r, {_SHINGLE} AS shingle FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT DISTINCT r, shingle FROM g WHERE shingle IS NOT NULL UNION ALL SELECT r, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {SHINGLE - 1}),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.r <> b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM l JOIN d x ON x.r = l.a JOIN d y ON y.r = l.b),
+reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON c.a = doc_id LEFT JOIN n USING (r)
+"""

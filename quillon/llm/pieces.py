@@ -18,7 +18,7 @@ are encoded against it in Arrow batches; a unit that isn't in it runs through th
 place (``Pieces.solve``). To join every token with every distinct unit instead would shuffle
 several times the corpus. The dictionary decides where a unit is solved, never its ids.
 
-Null and empty texts have no ids. U+2581 in a text can't be told from a space when decoded; such
+Null and empty texts have no ids; a long text is encoded whole, and an empty table gives no rows. U+2581 in a text can't be told from a space when decoded; such
 documents have ``exact`` false. Repeated rows give repeated results.
 A column ids is replaced where it exists.
 """
@@ -273,7 +273,7 @@ def viterbi(found: DataFrame) -> DataFrame:
 
 def merges(found: DataFrame) -> DataFrame:
     """(unit, ids): neighbours merge by the highest score. The state is the array of borders between parts."""
-    key = lambda s, e: s * 1000 + e
+    key = lambda s, e: F.shiftleft(s.cast("long"), 32) + e
     entry = F.struct(key(F.col("s"), F.col("e")).alias("key"), F.struct("score", "id").alias("value"))
     grouped = found.groupBy("unit").agg(F.map_from_entries(F.collect_list(entry)).alias("pieces"))
     of = lambda s, e: F.try_element_at("pieces", key(s + 1, e))

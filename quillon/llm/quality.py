@@ -5,15 +5,16 @@ over the counts of vote patterns (at most 3 ** 8 rows, from all documents) estim
 bad texts and each labeller's chance of calling a bad or good text bad, and so the posterior of
 every pattern. The posteriors are the soft labels of a linear scorer over hashed features: shapes
 of words and of neighbouring words. It is trained by gradient descent on the driver from at most
-``SAMPLE`` documents (drawn by a hash of doc_id); everything else covers all documents. A text is
+``SAMPLE`` documents with ``VALUES`` feature values in all (drawn by a hash of doc_id); everything else covers all documents. A text is
 rejected when its score, the probability of being bad, is above ``REJECT``.
 
 Documents are read twice, in Arrow batches without a shuffle: once for votes and the sample's
 features, once to be scored with the weights, which have a fixed size.
 
 Null and empty texts and texts without words are not voted on; their score is 1 and they are
-rejected. A null doc_id is never in the sample. Repeated rows get equal scores.
-Columns _score and _keep are replaced where they exist.
+rejected. A null doc_id is never in the sample. Repeated rows get equal scores. Long texts are voted on
+and scored whole. An empty table trains a model that scores 0.5, and gives no rows. Columns _score and
+_keep are replaced where they exist; no other column is touched, whatever its name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SAMPLE = 20_000
+SAMPLE, VALUES = 20_000, 6_000_000
 BUCKETS = 4096
 REJECT = 0.85
 EM_ROUNDS, STEPS = 100, 300
@@ -112,27 +113,24 @@ def fit_label_model(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[
     return dict(zip(keys, p.tolist(), strict=True)), list(zip(hit.tolist(), false.tolist(), strict=True)), prior
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer of soft labels."""
+def fit_scorer(idx: np.ndarray, val: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of soft labels ``y``; rows of ``sizes`` features lie in a row in ``idx`` and ``val``."""
     w, bias = np.zeros(BUCKETS), 0.0
-    if not rows:
+    if not len(y):
         return w, bias
-    idx = np.concatenate([r[0] for r in rows])
-    val = np.concatenate([r[1] for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    y = np.array([r[2] for r in rows])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     m = np.zeros(BUCKETS + 1)
     s = np.zeros(BUCKETS + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(row, val * w[idx], len(rows)) + bias)))
-        g = np.append(np.bincount(idx, val * (p - y)[row], BUCKETS) / len(rows) + 1e-5 * w, (p - y).mean())
+        p = 1 / (1 + np.exp(-(np.bincount(row, val * w[idx], len(y)) + bias)))
+        g = np.append(np.bincount(idx, val * (p - y)[row], BUCKETS) / len(y) + 1e-5 * w, (p - y).mean())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         step = 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
     return w, float(bias)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, sample: int = SAMPLE, values: int = VALUES) -> dict:
     """weights, bias, posteriors by pattern, labellers and prior, from all documents' votes."""
     spark = docs.sparkSession
     shared.ship(spark)
@@ -159,9 +157,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     voted = shared.stored(rows.mapInArrow(shared.tidy(vote), "doc_id long, draw long, pattern string, idx array<int>, val array<float>"), "votes")
     patterns = {r[0]: r[1] for r in voted.groupBy("pattern").count().collect()}
     posterior, labellers, prior = fit_label_model(patterns)
-    drawn = voted.filter("draw is not null").orderBy("draw", "doc_id", "pattern").limit(sample).select("pattern", "idx", "val").toArrow()
-    fit = [(np.asarray(i, np.int32), np.asarray(v, np.float32), posterior[p]) for p, i, v in zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), drawn.column(2).to_pylist(), strict=True)]
-    w, bias = fit_scorer(fit)
+    # The sample in the order of its draws, up to the bound on its features; the driver sees sizes first.
+    drawn = voted.filter("draw is not null")
+    sizes = drawn.select("draw", F.size("idx").alias("n")).orderBy("draw", "n").limit(sample).toArrow()
+    fits = np.cumsum(sizes.column(1).to_numpy()) <= values
+    last = sizes.column(0)[int(fits.sum()) - 1].as_py() if fits.any() else -1
+    part = drawn.filter(F.col("draw") <= last).orderBy("draw", "doc_id", "pattern").limit(int(fits.sum())).select("pattern", "idx", "val").toArrow().combine_chunks()
+    lists = [part.column(k).combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.int32() if k == 1 else pa.float32())) for k in (1, 2)]
+    y = np.array([posterior[p] for p in part.column(0).to_pylist()])
+    w, bias = fit_scorer(lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), np.asarray(lists[0].value_lengths()), y)
     return {"weights": w, "bias": bias, "posterior": posterior, "labellers": labellers, "prior": prior}
 
 

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.sql()}
+    return {"op2_line_dedup": lines.SQL, "op4_near_dups": near_dups.SQL, "op5_substring_dedup": substrings.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.sql()}

@@ -2,48 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Words are runs of bytes other than space and \\x09-\\x0D; bytes.split() splits at the same bytes.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    A path without a scheme lies in the default file system, as it does for Spark. Where the
-    setting is absent (tests, a single machine) a folder of the machine is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    if ":/" not in root:
-        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
-        root = ("file://" if default.startswith("file:") else default.rstrip("/")) + "/" + root.lstrip("/")
-    return f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{base or shared_dir(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from quillon.storage import clean, filesystem, shared_dir, stored
 
-def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI; works for file:, hdfs:, s3:, gs: alike."""
-    from pyarrow import fs
+__all__ = ["clean", "filesystem", "shared_dir", "stored"]
 
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+#: Words are runs of bytes other than space and \\x09-\\x0D; bytes.split() splits at the same bytes.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 _SHIPPED: set[str] = set()
@@ -66,6 +39,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def sized(docs: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of text) of ``docs``, which tasks' sizes follow."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("text").cast("binary")))).first()
+    return n, size or 0
+
+
 def parts(batch, rows: int = 1000):
     """A batch in slices of so many rows, so that few texts are Python objects at a time."""
     for lo in range(0, batch.num_rows, rows):
@@ -107,54 +86,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_RNG = np.random.default_rng(11)
-_BYTES = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_GAPS = np.zeros(256, bool)
-_GAPS[[9, 10, 11, 12, 13, 32]] = True
-_GAP_BYTES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
-_BASE = 0x9E3779B97F4A7C15
-#: Powers of the base and of its inverse, modulo 2 ** 64; they grow with the longest stretch seen.
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-STRETCH = 1 << 20
-
+class Words(dict):
+    """Places of words in a table of their hashes: the two halves of a keyed 128-bit hash of the whole word.
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            x = np.full(max(n, 1 << 16), base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of a text's words, in order.
-
-    A word's hash is a polynomial of random numbers for its bytes, taken as a difference of prefix
-    sums and moved to the word's start by the inverse of the base. Long texts go in stretches that
-    end between words.
+    Words are remembered, so that each is hashed once; beyond ``MEMO`` words the table starts anew.
     """
-    parts, at = [], 0
-    while len(text) - at > STRETCH:
-        ends = [k for c in _GAP_BYTES if (k := text.rfind(c, at, at + STRETCH)) >= 0]
-        ends = [max(ends)] if ends else [k for c in _GAP_BYTES if (k := text.find(c, at + STRETCH)) >= 0]
-        stop = min(ends, default=len(text) - 1) + 1
-        parts.append(_stretch_hashes(text[at:stop]))
-        at = stop
-    parts.append(_stretch_hashes(text[at:]))
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-
-def _stretch_hashes(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text, np.uint8)
-    gap = np.ones(len(b) + 2, bool)
-    np.take(_GAPS, b, out=gap[1:-1])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, stop = edge[0::2], edge[1::2]
-    up, down = _powers(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
-    return mix64((sums[stop] - sums[start]) * down[start])
+
+    MEMO = 300_000
+    KEY = b"words of a corpus"
+
+    def __init__(self):
+        super().__init__()
+        self.table, self.new = np.empty((1024, 2), np.uint64), []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(hashlib.blake2b(word, digest_size=16, key=self.KEY).digest())
+        at = self[word] = len(self)
+        return at
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.MEMO:
+            self.clear()
+        had = len(self)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            if len(self) > len(self.table):
+                table = np.empty((2 * len(self), 2), np.uint64)
+                table[:had] = self.table[:had]
+                self.table = table
+            self.table[had : len(self)] = np.frombuffer(b"".join(self.new), "<u8").reshape(-1, 2)
+            self.new.clear()
+        return at
+
+
+_WORDS = Words()
+
+
+def word_hashes(text: bytes, halves: int = 1):
+    """64-bit hashes of a text's words, in order; with ``halves`` = 2 two independent ones."""
+    at = _WORDS.places(text.split())
+    found = tuple(_WORDS.table[:, k].take(at) for k in range(halves))
+    return found if halves > 1 else found[0]
 
 
 def grams(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -7,19 +7,21 @@ so a window can repeat only if its anchor is seen in two documents. The steps ar
 
 1. seeds: the anchors of every document, joined by hash; those in two documents or more stay;
 2. extension: from each seed to both sides over all windows whose anchor it is; windows are
-   compared by a 96-bit hash of the whole word sequence, and the smallest doc_id of each is kept;
+   compared by 96 bits over keyed 128-bit hashes of their words, and the smallest doc_id of each is kept;
 3. repeats: a document's windows that start earlier elsewhere are merged into maximal spans, and
    the words in them go.
 
 No pair of documents is made: a seed or window names its smallest document only, so a passage in
 every document costs one row for each block of documents. Documents are dealt into blocks by hash
-(``BLOCKS`` for each shuffle partition) and seeds and windows are reduced inside a block before
+(of ``BLOCK_BYTES`` of text at most on average, ``BLOCKS`` or more for each shuffle partition) and seeds and windows are reduced inside a block before
 they are shuffled, so one hot passage sends one row per block. A row packs the block, a mark for two
 documents of the block that share it, and 32 of a window's 96 bits into one number. The text is shuffled once
 and this exchange is used by all three steps.
 
 Null text has no words. A row with a null doc_id neither removes words nor loses any. Rows that
-share a doc_id don't remove each other's words; repeated rows give repeated results.
+share a doc_id don't remove each other's words; repeated rows give repeated results. A long text is
+one row of its block and taken whole. An empty table gives no rows. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from . import shared
 
 LENGTH = 13
 GRAM = 5
-BLOCKS = 4
+BLOCKS, BLOCK_BYTES = 4, 32 << 20
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -53,10 +55,10 @@ def window_anchors(h: np.ndarray, length: int) -> np.ndarray:
     return sliding_min(shared.grams(h, GRAM), length - GRAM + 1)
 
 
-def window_keys(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window's words: 64 and 32 bits."""
+def window_keys(h: np.ndarray, g: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window's words, 64 and 32 bits, from independent hashes of the words."""
     one = shared.grams(h, length, 0xD6E8FEB86659FD93)
-    two = shared.grams(h, length, 0xA0761D6478BD642F)
+    two = shared.grams(g, length, 0xA0761D6478BD642F)
     return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -86,7 +88,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
         raise ValueError(f"length must be {GRAM} or more")
     spark = docs.sparkSession
     shared.ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The size of a block, which a worker holds, follows the input's bytes, not the number of partitions.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shared.sized(docs)[1] // (BLOCKS * BLOCK_BYTES)))
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n * BLOCKS)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -124,14 +127,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
         want.sort()
         ones, twos, ids = [], [], []
         for i, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True) if len(want) else ():
-            h = shared.word_hashes(t or b"")
+            h, g = shared.word_hashes(t or b"", 2)
             if i is None or len(h) < length:
                 continue
             m = window_anchors(h, length)
             at = np.searchsorted(want, m)
             hit = want[np.minimum(at, len(want) - 1)] == m
             if hit.any():
-                one, two = window_keys(h, length)
+                one, two = window_keys(h, g, length)
                 ones.append(one[hit])
                 twos.append(two[hit])
                 ids.append(np.full(int(hit.sum()), i, np.int64))
@@ -163,7 +166,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
             words = (t or b"").split()
             gone = None
             if i is not None and len(words) >= length and len(one):
-                key = window_keys(shared.word_hashes(t), length)[0]
+                key = window_keys(*shared.word_hashes(t, 2), length)[0]
                 at = np.minimum(np.searchsorted(one, key), len(one) - 1)
                 starts = np.flatnonzero((one[at] == key) & (first[at] < i))
                 if len(starts):
@@ -185,3 +188,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_WINDOW = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, LENGTH))])
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{shared.WORD}') AS ws FROM documents),
+w AS (SELECT r, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT r, doc_id, i, w, {_WINDOW} AS k FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT k, min(doc_id) AS first FROM k WHERE k IS NOT NULL AND doc_id IS NOT NULL GROUP BY k),
+g AS (SELECT r, i, w, coalesce(bool_or(first < doc_id) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), false) AS gone FROM k LEFT JOIN f USING (k)),
+o AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS n_gone, sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS sha FROM g GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n_gone, 0) AS n_removed, coalesce(sha, sha256('')) AS kept_sha256 FROM d LEFT JOIN o USING (r)
+"""

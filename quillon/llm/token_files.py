@@ -8,8 +8,13 @@ little-endian signed 64-bit integers, and a null mark byte for each); frame i >
 little-endian unsigned 32-bit integers. A reader fetches the last bytes, then only the frames of
 the documents it wants, and checks their sums.
 
-Null text is empty text and yields the end id alone; a null doc_id is kept and sorts first;
-repeated rows are separate documents, ordered by doc_id and then by text.
+The number of shards follows the input (``SHARD_BYTES`` of text and ``SHARD_ROWS`` documents at most on
+average), so what a task and the driver hold doesn't depend on the number of shuffle partitions.
+
+Null and empty texts yield the end id alone; a null doc_id is kept and sorts first; repeated rows are
+separate documents, ordered by doc_id and then by a hash of the text, by which rows of one doc_id, or of
+none, are dealt over several shards too. A long text is one frame. An empty table has no shards and
+no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 1
 SHARDS = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 LEVEL = 1
+SHARD_BYTES, SHARD_ROWS = 64 << 20, 200_000
 #: Bytes of text that are encoded together.
 CHUNK = 2 << 20
 #: A word's ids are remembered until so many words are; then all but the first are dropped.
@@ -262,10 +268,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         fs.delete_file(f"{base}/{name}.part")
         yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": f"{folder}/{name}", "n_docs": len(ids), "n_tokens": total}], SHARDS)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(work, "shard int, uri string, n_docs long, n_tokens long")
+    count, size = shared.sized(docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES), -(-count // SHARD_ROWS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    made = rows.select("doc_id", "text").mapInArrow(work, "shard int, uri string, n_docs long, n_tokens long")
     return shared.stored(made, "shards", folder)
 
 

@@ -16,7 +16,11 @@ last step takes the k best of these. A query set is given (the rows whose vec_id
 Rows whose vec_id is null, or whose vector is null or empty or holds null or non-finite
 components, take no part. Vectors are compared with queries of the same length only. A candidate
 with the query's vec_id is the query's own row. Repeated candidate rows are separate candidates;
-of repeated queries with one vec_id the smallest vector counts.
+of repeated queries with one vec_id the smallest vector counts. Long vectors are taken whole, in blocks of
+dimensions. An empty table gives no rows. Other columns, whatever their names, are not read.
+
+Bounds are in double precision with room for its rounding; scores that this precision can't hold exactly
+are computed anew in 64-bit integers for the candidates that the bounds leave. A score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ def _matrices(batch: pa.RecordBatch):
     start = np.concatenate([[0], np.cumsum(sizes)])
     for d in np.unique(sizes):
         rows = np.flatnonzero(sizes == d)
-        yield ids[rows], flat[start[rows][:, None] + np.arange(d)].astype(np.float64)
+        yield ids[rows], flat[start[rows][:, None] + np.arange(d)]
 
 
 def rest_norms(m: np.ndarray, dims: int) -> list[np.ndarray]:
@@ -61,10 +65,17 @@ def rest_norms(m: np.ndarray, dims: int) -> list[np.ndarray]:
 def best(q_ids, q, c_ids, c, k: int, floor: np.ndarray, dims: int = DIMS):
     """(query position, candidate position, score) of the k best candidates of each query, if at least ``floor``.
 
-    Components are whole numbers, exact in single precision below 2 ** 24, and scores below 2 ** 53
-    are exact in double precision, whatever the order of additions.
+    ``q`` and ``c`` are whole numbers. Sums of products below 2 ** 53 are exact in double precision,
+    whatever the order of additions; larger ones are bounded with ``slack`` and computed in integers at the end.
     """
+    qi, ci = q, c
+    q, c = q.astype(np.float64), c.astype(np.float64)
     qn, cn = rest_norms(q, dims), rest_norms(c, dims)
+    largest = qn[0].max(initial=0) * cn[0].max(initial=0)  # no score, and no part of one, is larger
+    exact = largest < 2.0**53
+    if largest >= 2.0**63:
+        raise ValueError("a score may exceed 64 bits")
+    slack = 1e-6 if exact else 1e-12 * largest
     blocks = [np.ascontiguousarray(c[:, lo : lo + dims].T) for lo in range(0, c.shape[1], dims)]
     out = []
     # A first block for all queries at once, then each query on its own survivors.
@@ -78,16 +89,17 @@ def best(q_ids, q, c_ids, c, k: int, floor: np.ndarray, dims: int = DIMS):
             full = c[probe] @ q[i]
             full = full[c_ids[probe] != q_ids[i]]
             if len(full) >= k:
-                low = max(low, np.partition(full, len(full) - k)[len(full) - k])
+                low = max(low, np.partition(full, len(full) - k)[len(full) - k] - (0 if exact else slack))
         for b in range(1, len(blocks) + 1):
             rest = qn[b][i] * (cn[b] if alive is None else cn[b][alive]) if b < len(blocks) else 0.0
-            keep = np.flatnonzero(part + rest * (1 + 1e-9) + 1e-6 >= low)
+            keep = np.flatnonzero(part + rest * (1 + 1e-9) + slack >= low)
             alive, part = (keep if alive is None else alive[keep]), part[keep]
             if b == len(blocks) or not len(alive):
                 break
             part = part + q[i, b * dims : (b + 1) * dims] @ blocks[b][:, alive]
         mine = c_ids[alive] != q_ids[i]
         alive, part = alive[mine], part[mine]
+        part = part.astype(np.int64) if exact else ci[alive].astype(np.int64) @ qi[i].astype(np.int64)
         if len(alive) > k:
             order = np.lexsort([c_ids[alive], -part])[:k]
             alive, part = alive[order], part[order]
@@ -116,14 +128,16 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
                     yield from _matrices(batch)
 
     def search(batches):
-        own = [(i[lo : lo + ROWS], m[lo : lo + ROWS].astype(np.float32)) for batch in batches for i, m in _matrices(batch) for lo in range(0, len(m), ROWS)]
+        # components of 16 bits, the usual case, wait in as many
+        narrow = lambda m: m.astype(np.int16) if np.abs(m).max(initial=0) < 2**15 else m
+        own = [(i[lo : lo + ROWS], narrow(m[lo : lo + ROWS])) for batch in batches for i, m in _matrices(batch) for lo in range(0, len(m), ROWS)]
         for q_ids, q in blocks() if own else ():
             top: list[list[tuple]] = [[] for _ in q_ids]
             for c_ids, c in own:
                 if c.shape[1] != q.shape[1]:
                     continue
-                floor = np.array([t[-1][0] if len(t) >= k else -np.inf for t in top])
-                qi, ci, s = best(q_ids, q, c_ids, c.astype(np.float64), k, floor)
+                floor = np.array([float(t[-1][0]) if len(t) >= k else -np.inf for t in top])
+                qi, ci, s = best(q_ids, q, c_ids, c, k, floor)
                 for x, y, z in zip(qi.tolist(), c_ids[ci].tolist(), s.tolist(), strict=True):
                     top[x].append((z, y))
                 for x in np.unique(qi).tolist():

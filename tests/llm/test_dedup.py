@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
-from helpers_llm import ODD, empty, odd, saved, text
+from helpers_llm import ODD, duck, empty, odd, rows, saved, text
 
 from quillon.llm import near_dups, shared, substrings
 
@@ -53,6 +53,26 @@ def test_substrings_odd_rows(spark, tmp_path):
     assert substrings.dedup(empty(spark)).count() == 0
 
 
+def test_substrings_of_words_that_simple_hashes_confuse(spark):
+    from test_shared import thue_morse
+
+    docs = [(k, " ".join(thue_morse(n, c) + str(j) for j in range(13))) for k, (n, c) in enumerate((n, c) for n in (1024, 2048, 4096) for c in "ab")]
+    docs += [(10 + k, t) for k, t in docs[:2]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, substrings.dedup(df).collect()), key=repr) == brute_substrings(docs)
+    found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(df).collect()}
+    assert found == {i: i % 10 for i, _ in docs}
+
+
+def test_sql_of_both_dedups(spark, tmp_path):
+    docs = [d for d in shared_passages(3) if d[0] is not None]
+    docs += [(500 + i, t.replace("x1", "y1")) for i, t in docs[:20]] + [(600, "A b"), (601, "a B"), (602, ""), (603, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    folder = saved(df, tmp_path)
+    assert rows(substrings.op5_substring_dedup(spark, folder)) == duck(substrings.SQL, documents=df)
+    assert rows(near_dups.op4_near_dups(spark, folder)) == duck(near_dups.SQL, documents=df)
+
+
 def test_sliding_min():
     x = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for w in range(1, 8):

@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 from helpers_llm import LONG, ODD, empty, odd, saved, text
+from pyspark.sql import functions as F
 
 from quillon.llm import media, shared, token_files
 
@@ -22,11 +23,24 @@ def test_encoder_equals_library():
         assert [list(struct.unpack(f"<{len(g) // 4}I", g)) for g in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def by_hash(spark, docs):
+    """(doc_id, text) in the order of the shards: by doc_id, nulls first, then by the hash of the text."""
+    df = spark.createDataFrame([(r[0], r[1]) for r in docs], "doc_id long, text string")
+    return [(r.doc_id, r.text) for r in df.orderBy("doc_id", F.xxhash64(F.col("text"))).collect()]
+
+
+def test_files_of_rows_without_ids_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_ROWS", 10)
+    docs = spark.createDataFrame([(None, text(k, 20)) for k in range(80)], "doc_id long, text string")
+    shards = token_files.write(docs, shared.shared_dir(spark)).collect()
+    assert sum(r.n_docs for r in shards) == 80 and len(shards) >= 6 and max(r.n_docs for r in shards) <= 30
+
+
 def test_files_hold_all_documents(spark, tmp_path):
     tk, folder = library(), shared.shared_dir(spark)
     shards = token_files.write(odd(spark), folder)
     listed = shards.orderBy("shard").collect()
-    docs = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    docs = by_hash(spark, ODD)
     want, start = [], 0
     for r in docs:
         ids = [*tk.encode(r[1] or "", add_special_tokens=False).ids, 1]
@@ -82,6 +96,33 @@ def test_parse_keeps_order_and_captions():
     assert media.parse(None) == [] and media.parse("") == [] and media.parse("<figure><figcaption>x") == []
 
 
+def test_parse_heads_and_silent_elements():
+    kinds = lambda page: [(i["kind"], i["text"] or i["src"]) for i in media.parse(page)]
+    kept = [("text", "kept text"), ("media", "a.png")]
+    assert kinds('<html><head><title>t</title><body><p>kept text</p><img src="a.png">') == kept
+    assert kinds('<html><head><title>t</title><meta charset="x"><p>kept text</p><img src="a.png">') == kept
+    assert kinds('<head><style>s</style></head><p>kept text</p><img src="a.png"><noscript>no<img src="b.png"></noscript>') == kept
+    assert kinds('<p>kept text</p><template><title>x</template><img src="a.png">') == kept
+    assert kinds('<script src="x"/><p>kept text</p></noscript><img src="a.png"/>') == kept
+
+
+def test_sequences_of_the_given_pages(spark):
+    """Every page: the text of its items is what stands outside tags and silent elements, in order; media keep their places."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    source = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r["items"] for r in media.sequences(pages).collect()}
+    assert got.keys() == source.keys() and sum(map(len, got.values())) > 1000
+    for k, page in source.items():
+        shown = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template|head|title)\b.*?</\1\s*>|<figcaption.*?</figcaption>|<[^>]*>", " ", page)
+        want = "".join(html.unescape(shown).split())
+        assert "".join("".join((i.text or "").split()) for i in got[k]) == want
+        assert [i.pos for i in got[k]] == list(range(len(got[k])))
+        assert [i.src for i in got[k] if i.kind == "media"] == [html.unescape(m) for m in re.findall(r'(?is)<(?:img|video|audio|source|embed)\b[^>]*?\ssrc="([^"]+)"', re.sub(r"(?is)<(script|noscript|template|head)\b.*?</\1\s*>", " ", page))]
+
+
 def test_sequences_resolve_by_digest(spark):
     pages = spark.createDataFrame([(1, '<p>a</p><img src="media:k"><img src="media:gone">', 5), (2, None, 6), (3, '<img src="media:k" alt="c">', 7), (3, '<img src="media:k" alt="c">', 7)], "page_id long, html string, items int")
     known = spark.createDataFrame([("k", 9)], "digest string, size int")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers_llm import LONG, ODD, duck, empty, odd, rows, saved
+from helpers_llm import LONG, ODD, duck, empty, odd, rows, saved, text
 
 from quillon.llm import pieces, quality, scoring, topk
 
@@ -274,6 +274,17 @@ def test_topk_against_sql(spark, tmp_path):
     assert topk.nearest(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_values(spark):
+    r = random.Random(6)
+    made = [(i, [r.choice((70000.00390625, 70000.0, 1e5 / 3, -4e5)) * r.random() for _ in range(20)]) for i in range(150)] + [(50, [70000.00390625] * 20), (151, [70000.00390625] * 20), (152, [70000.0] * 20)]
+    made = [m for k, m in enumerate(made) if k == 150 or m[0] != 50]
+    made += [(i, [r.uniform(-1e6, 1e6) for _ in range(18)]) for i in range(1000, 1060)]  # scores beyond 2 ** 53
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    assert rows(topk.nearest(df)) == duck(topk.SQL, embeddings=df)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.nearest(spark.createDataFrame([(50, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_topk_repeated_rows(spark):
     df = spark.createDataFrame([(50, [1.0]), (50, [1.0]), (1, [0.5]), (1, [0.5]), (2, [0.5])], "vec_id long, embedding array<float>")
     assert rows(topk.nearest(df)) == sorted([(50, 1, 32768, 1), (50, 2, 32768, 1), (50, 3, 32768, 2)])
@@ -286,6 +297,42 @@ def test_label_model_finds_the_rare_class():
     assert quality.fit_label_model({}) == ({}, [], 0.0)
 
 
+def test_scorer_equals_plain_gradient_descent(spark):
+    """The scores of a small table, by loops over documents, with votes, posteriors and weights of its own."""
+    docs = [(i, text(i, 40 + i)) for i in range(30)] + [(30 + i, "||| ### %%% LOUD LOUD LOUD !! | | " * 9) for i in range(8)]
+    df = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    got = {r.doc_id: r._score for r in quality.score(df, quality.train(df)).collect()}
+    pats = Counter("".join(str(v + 1) for v in quality.labels(t.split(), t)) for _, t in docs)
+    posterior = quality.fit_label_model(pats)[0]
+    feats = {i: dict(zip(*(x.tolist() for x in quality.features(t.split())), strict=True)) for i, t in docs}
+    y = {i: posterior["".join(str(v + 1) for v in quality.labels(t.split(), t))] for i, t in docs}
+    w, bias, m, s = Counter(), 0.0, Counter(), Counter()
+    squash = lambda i: 1 / (1 + math.exp(-sum(v * w[k] for k, v in feats[i].items()) - bias))
+    for t in range(1, quality.STEPS + 1):
+        g = Counter({k: 1e-5 * w[k] for k in w})
+        for i in feats:
+            e = (squash(i) - y[i]) / len(feats)
+            g[-1] += e
+            for k, v in feats[i].items():
+                g[k] += v * e
+        for k in {*g, *m}:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            step = 0.2 * (m[k] / (1 - 0.9**t)) / (math.sqrt(s[k] / (1 - 0.99**t)) + 1e-9)
+            if k == -1:
+                bias -= step
+            else:
+                w[k] -= step
+    assert all(abs(got[i] - squash(i)) < 1e-4 for i in got)
+    assert {i for i in got if got[i] > quality.REJECT} == set(range(30, 38))
+
+
+def test_sample_is_bounded_by_features(spark):
+    df = spark.createDataFrame([(i, text(i, 40)) for i in range(50)], "doc_id long, text string")
+    full, none = quality.train(df), quality.train(df, values=0)
+    assert np.any(full["weights"]) and not np.any(none["weights"]) and none["bias"] == 0
+    assert np.any(quality.train(df, values=300)["weights"])
+
+
 def test_quality_on_labelled_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

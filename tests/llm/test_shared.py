@@ -19,14 +19,39 @@ def test_word_hashes_name_words():
             assert seen.setdefault(w, x) == x and names.setdefault(x, w) == w
 
 
-def test_word_hashes_of_long_texts(monkeypatch):
-    words = [f"w{k % 321}".encode() * (1 + k % 5) for k in range(5000)] + [b"L" * 70_000, b"end", b"M" * 70_000]
-    whole = shared.word_hashes(b" ".join(words))
-    monkeypatch.setattr(shared, "STRETCH", 1000)
-    for text in (b" ".join(words), b"\n" + b"  ".join(words) + b" ", b" ".join(words[::-1])):
-        got = shared.word_hashes(text)
-        want = whole if text.split() == words else whole[::-1]
-        assert np.array_equal(got, want)
+def thue_morse(n: int, first: str) -> str:
+    """The word of ``n`` letters that polynomial hashes modulo a power of two can't tell from its mirror."""
+    x, y = ("a", "b") if first == "a" else ("b", "a")
+    return "".join(y if bin(k).count("1") % 2 else x for k in range(n))
+
+
+def test_word_hashes_tell_words_apart():
+    words = [thue_morse(1 << k, c).encode() for k in range(3, 13) for c in "ab"]
+    one, two = shared.word_hashes(b" ".join(words), 2)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(words)
+    assert not set(one.tolist()) & set(two.tolist())
+
+
+def test_word_hashes_start_anew(monkeypatch):
+    monkeypatch.setattr(shared.Words, "MEMO", 100)
+    texts = [b" ".join(b"w%d" % (k * j % 997) for k in range(700)) for j in range(1, 6)]
+    first = [shared.word_hashes(t, 2) for t in texts]
+    for t, f in zip(texts[::-1], first[::-1], strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(shared.word_hashes(t, 2), f, strict=True))
+
+
+def test_clean_removes_folders(spark, tmp_path):
+    from quillon import storage
+
+    df = shared.stored(spark.range(3), "x")
+    path = shared.filesystem(df.inputFiles()[0])[1]
+    held, storage._FOLDERS[:] = storage._FOLDERS[:-1], storage._FOLDERS[-1:]
+    import os
+
+    assert os.path.exists(path)
+    shared.clean()
+    assert not os.path.exists(path)
+    storage._FOLDERS[:] = held
 
 
 def test_folder_is_below_the_shared_one(spark):
