@@ -181,11 +181,12 @@ class Code:
         for k in range(1, LEVELS):
             deep = np.flatnonzero(level >= k)
             within[deep] = within[deep] * 2 + self.bits[deep - level[deep] + k - 1]
-        # one number for each place: node, place in its group, bit, group of the path, place of the path
-        self.packed = self.nodes | within << 24 | self.bits.astype(np.int64) << 32 | np.minimum(place, PLACES - 1) << 34 | place // LEVELS << 40
+        # one number for each place: node, place in its group, bit, place of the path
+        self.packed = self.nodes | within << 24 | self.bits.astype(np.int64) << 32 | np.minimum(place, PLACES - 1) << 34
         self.heads = np.ceil(self.sizes / LEVELS).astype(np.int64)  # groups on each path
         self.head = np.append(0, np.cumsum(self.heads)[:-1])
         self.keyed = ((self.nodes[level == 0] + 1) * 0x9E3779B1).astype(np.uint32)
+        self.in_group = np.diff(np.append(np.flatnonzero(level == 0), len(level)))  # bits of each group
         self.totals = np.log10(rest[:, 0] + rest[:, 1] + 1.0)
 
     def bucket(self, word: bytes) -> int:
@@ -246,10 +247,9 @@ def spread(code: Code, number: np.ndarray, hashes: list[np.ndarray], at: np.ndar
     size, heads = code.sizes[leaf], code.heads[leaf]
     ends, tops = np.cumsum(size), np.cumsum(heads)
     x = code.packed[np.repeat(code.start[leaf] - ends + size, size) + np.arange(ends[-1])]
-    # the groups of all paths, and the group of each bit
-    keyed = code.keyed[np.repeat(code.head[leaf] - tops + heads, heads) + np.arange(tops[-1])]
-    group = np.repeat(tops - heads, size)
-    group += x >> 40
+    # the groups of all paths, and their bits
+    group = np.repeat(code.head[leaf] - tops + heads, heads) + np.arange(tops[-1])
+    keyed, in_group = code.keyed[group], code.in_group[group]
     within, right = x >> 24 & 0xFF, np.uint32(32 - bits + LEVELS)
     slots = [x & 0xFFFFFF]
     for c in hashes:
@@ -259,10 +259,10 @@ def spread(code: Code, number: np.ndarray, hashes: list[np.ndarray], at: np.ndar
         h ^= h >> np.uint32(15)
         h *= np.uint32(0xC2B2AE35)
         h >>= right
-        s = (h.astype(np.int64) << LEVELS)[group]
-        s += within
+        s = np.repeat(h.astype(np.int64) << LEVELS, in_group)
+        s |= within
         slots.append(s)
-    return size, x >> 32 & 1, x >> 34 & 0x3F, slots
+    return size, x >> 32 & 1, x >> 34, slots
 
 
 def pooled(batches, most: int = POOL_TOKENS):

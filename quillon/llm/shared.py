@@ -97,7 +97,7 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.table, self.new = np.empty((1024, 2), np.uint64), []
+        self.table, self.new = np.empty((2, 1024), np.uint64), []  # a row for each half
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(hashlib.blake2b(word, digest_size=16, key=self.KEY).digest())
@@ -110,11 +110,11 @@ class Words(dict):
         had = len(self)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
-            if len(self) > len(self.table):
-                table = np.empty((2 * len(self), 2), np.uint64)
-                table[:had] = self.table[:had]
+            if len(self) > self.table.shape[1]:
+                table = np.empty((2, 2 * len(self)), np.uint64)
+                table[:, :had] = self.table[:, :had]
                 self.table = table
-            self.table[had : len(self)] = np.frombuffer(b"".join(self.new), "<u8").reshape(-1, 2)
+            self.table[:, had : len(self)] = np.frombuffer(b"".join(self.new), "<u8").reshape(-1, 2).T
             self.new.clear()
         return at
 
@@ -125,7 +125,7 @@ _WORDS = Words()
 def word_hashes(text: bytes, halves: int = 1):
     """64-bit hashes of a text's words, in order; with ``halves`` = 2 two independent ones."""
     at = _WORDS.places(text.split())
-    found = tuple(_WORDS.table[:, k].take(at) for k in range(halves))
+    found = tuple(_WORDS.table[k].take(at) for k in range(halves))
     return found if halves > 1 else found[0]
 
 
