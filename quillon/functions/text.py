@@ -59,7 +59,7 @@ def _folded(x, one: dict[str, str]) -> Column:
     mapped = F.when(beyond & F.rlike(low, F.lit(_ranges(one))), F.translate(low, "".join(one), "".join(one.values()))).otherwise(low)
     common = F.replace(mapped, F.lit("ß"), F.lit("ss"))
     rare = {k: v for k, v in FOLD_MANY.items() if k != "ß"}
-    table = F.create_map(*[F.lit(v) for kv in rare.items() for v in kv])
+    table = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in rare.items()) + ")")  # one call for all entries
     spelled = F.array_join(F.transform(F.regexp_extract_all(common, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.when(beyond & F.rlike(common, F.lit(_ranges(rare))), spelled).otherwise(common)
 

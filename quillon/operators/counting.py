@@ -18,8 +18,6 @@ broadcasts it only if its measured size allows.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +25,6 @@ from quillon import storage
 from quillon.functions import text as T
 
 
-def shape(form: str) -> tuple[str, int]:
-    """(class, number of alternating runs) of a normalised form, as ``routed`` finds it."""
-    parts = re.findall(r"\w+|\W+", form)
-    if len(parts) == 1:
-        return ("A" if re.match(r"\w", form) else "D"), 1
-    words = bool(form) and re.match(r"\w", form) and re.match(r"\w", form[-1])
-    if words and not any(parts[k:] == parts[: len(parts) - k] for k in range(2, len(parts), 2)):
-        return "B", len(parts)
-    return "C", len(parts)
-
-
 def routed(forms: DataFrame, form: str = "form") -> DataFrame:
     """``forms`` with the normalised form, its class, and the runs, text, and surroundings of its core."""
     out = forms.withColumn("_form", T.strip(T.normalize(form))).filter("_form <> ''").withColumn("_parts", T.all_runs("_form"))
@@ -48,7 +35,7 @@ def routed(forms: DataFrame, form: str = "form") -> DataFrame:
     before = F.when(starts, "").otherwise(F.get("_parts", F.lit(0)))
     behind = F.when(ends, "").otherwise(F.get("_parts", n - 1))
     core = F.substring("_form", F.length(before) + 1, F.length("_form") - F.length(before) - F.length(behind))
-    runs = n - F.when(starts, 0).otherwise(1) - F.when(ends, 0).otherwise(1)
+    runs = F.greatest(n - F.when(starts, 0).otherwise(1) - F.when(ends, 0).otherwise(1), F.lit(0))
     return out.withColumns({"_class": kind, "_runs": runs, "_core": core, "_before": before, "_behind": behind}).drop("_parts")
 
 
