@@ -1,5 +1,5 @@
 import pytest
-from helpers_llm import empty, odd, saved
+from helpers_llm import empty, odd, saved, text
 from test_dedup import brute_components
 from test_lines_mixing import brute_lines
 
@@ -47,6 +47,14 @@ def test_near_stage_equals_brute_force(stages):
     assert {r.doc_id for r in after} == {m[0] for m in marks if m[3]}
 
 
+def test_near_stage_tells_rows_apart(spark):
+    """Rows of one doc_id with different texts are documents of their own; rows equal in both are one."""
+    made = [(1, text(1, 30), "en", "a", 1), (1, text(2, 30), "en", "a", 1), (2, text(2, 30) + " end", "en", "b", 1), (3, text(3, 30), "en", "b", 1), (3, text(3, 30), "en", "b", 2), (None, text(4, 30), None, None, None), (None, text(3, 30), None, None, None), (4, None, "en", "a", 0)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, text(1, 30)), (1, text(2, 30)), (3, text(3, 30)), (None, text(4, 30)), (4, None)], key=repr)
+
+
 def test_mixing_stage_draws_by_probability(spark, stages):
     _, before, after, _ = stages[3]
     df = spark.createDataFrame(before)
