@@ -60,7 +60,7 @@ _ADD = _RNG.integers(0, 2**63, 512, dtype=np.uint64)
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles, from keyed hashes of its words."""
+    """Sorted distinct 64-bit hashes of a text's shingles, from strong hashes of its words."""
     h = shared.word_hashes(text.lower())  # bytes.lower() maps A-Z only
     if not len(h):
         return h

@@ -86,47 +86,86 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Words(dict):
-    """Places of words in a table of their hashes: the two halves of a keyed 128-bit hash of the whole word.
-
-    Words are remembered, so that each is hashed once; beyond ``MEMO`` words the table starts anew.
-    """
-
-    MEMO = 300_000
+_RNG = np.random.default_rng(11)
+#: A random number for each byte, and a base, of each half of a hash.
+_BYTES = _RNG.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_GAPS = np.zeros(256, bool)
+_GAPS[[9, 10, 11, 12, 13, 32]] = True
+_GAP_BYTES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+#: Powers of each base and of its inverse, modulo 2 ** 64; they grow with the longest stretch seen.
+_POWERS: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2]
+STRETCH = 1 << 20
+#: Words of more bytes than this get a keyed cryptographic hash: polynomials modulo a power of two collide on some of them.
+SHORT = 16
+
+
+class LongWords(dict):
+    """The two halves of a keyed 128-bit hash of a word, remembered for so many words."""
+
+    MEMO = 100_000
     KEY = b"words of a corpus"
 
-    def __init__(self):
-        super().__init__()
-        self.table, self.new = np.empty((2, 1024), np.uint64), []  # a row for each half
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(hashlib.blake2b(word, digest_size=16, key=self.KEY).digest())
-        at = self[word] = len(self)
-        return at
-
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > self.MEMO:
             self.clear()
-        had = len(self)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            if len(self) > self.table.shape[1]:
-                table = np.empty((2, 2 * len(self)), np.uint64)
-                table[:, :had] = self.table[:, :had]
-                self.table = table
-            self.table[:, had : len(self)] = np.frombuffer(b"".join(self.new), "<u8").reshape(-1, 2).T
-            self.new.clear()
-        return at
+        d = hashlib.blake2b(word, digest_size=16, key=self.KEY).digest()
+        found = self[word] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+        return found
 
 
-_WORDS = Words()
+_LONG = LongWords()
+
+
+def _powers(half: int, n: int) -> list[np.ndarray]:
+    if len(_POWERS[half][0]) < n:
+        made = []
+        for base in (_BASES[half], pow(_BASES[half], -1, 2**64)):
+            x = np.full(max(n, 1 << 16), base, np.uint64)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        _POWERS[half] = made
+    return _POWERS[half]
 
 
 def word_hashes(text: bytes, halves: int = 1):
-    """64-bit hashes of a text's words, in order; with ``halves`` = 2 two independent ones."""
-    at = _WORDS.places(text.split())
-    found = tuple(_WORDS.table[k].take(at) for k in range(halves))
-    return found if halves > 1 else found[0]
+    """64-bit hashes of a text's words, in order; with ``halves`` = 2 two independent ones.
+
+    The hash of a short word is a polynomial of random numbers for its bytes, taken as a difference of
+    prefix sums and moved to the word's start by the inverse of the base; at up to ``SHORT`` bytes
+    no two words are sure to collide, and two halves do so with a chance of 2 ** -98 at the worst. Longer
+    words are hashed by a keyed cryptographic function. Long texts go in stretches that end between words.
+    """
+    parts, at = [], 0
+    while len(text) - at > STRETCH:
+        ends = [k for c in _GAP_BYTES if (k := text.rfind(c, at, at + STRETCH)) >= 0]
+        ends = [max(ends)] if ends else [k for c in _GAP_BYTES if (k := text.find(c, at + STRETCH)) >= 0]
+        stop = min(ends, default=len(text) - 1) + 1
+        parts.append(_stretch_hashes(text[at:stop], halves))
+        at = stop
+    parts.append(_stretch_hashes(text[at:], halves))
+    found = parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return tuple(found) if halves > 1 else found[0]
+
+
+def _stretch_hashes(text: bytes, halves: int) -> list[np.ndarray]:
+    b = np.frombuffer(text, np.uint8)
+    gap = np.ones(len(b) + 2, bool)
+    np.take(_GAPS, b, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, stop = edge[0::2], edge[1::2]
+    out = []
+    for k in range(halves):
+        up, down = _powers(k, len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[k][b] * up[: len(b)], out=sums[1:])
+        out.append(mix64((sums[stop] - sums[start]) * down[start]))
+    long = np.flatnonzero(stop - start > SHORT)
+    if len(long):
+        found = np.array([_LONG[text[s:e]] for s, e in zip(start[long].tolist(), stop[long].tolist(), strict=True)], np.uint64)
+        for k in range(halves):
+            out[k][long] = found[:, k]
+    return out
 
 
 def grams(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

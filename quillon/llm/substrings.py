@@ -7,7 +7,7 @@ so a window can repeat only if its anchor is seen in two documents. The steps ar
 
 1. seeds: the anchors of every document, joined by hash; those in two documents or more stay;
 2. extension: from each seed to both sides over all windows whose anchor it is; windows are
-   compared by 96 bits over keyed 128-bit hashes of their words, and the smallest doc_id of each is kept;
+   compared by 96 bits over 128-bit hashes of their words, and the smallest doc_id of each is kept;
 3. repeats: a document's windows that start earlier elsewhere are merged into maximal spans, and
    the words in them go.
 

@@ -26,18 +26,21 @@ def thue_morse(n: int, first: str) -> str:
 
 
 def test_word_hashes_tell_words_apart():
-    words = [thue_morse(1 << k, c).encode() for k in range(3, 13) for c in "ab"]
+    words = [thue_morse(1 << k, c).encode() for k in range(1, 13) for c in "ab"]
     one, two = shared.word_hashes(b" ".join(words), 2)
     assert len(set(one.tolist())) == len(set(two.tolist())) == len(words)
     assert not set(one.tolist()) & set(two.tolist())
 
 
-def test_word_hashes_start_anew(monkeypatch):
-    monkeypatch.setattr(shared.Words, "MEMO", 100)
-    texts = [b" ".join(b"w%d" % (k * j % 997) for k in range(700)) for j in range(1, 6)]
-    first = [shared.word_hashes(t, 2) for t in texts]
-    for t, f in zip(texts[::-1], first[::-1], strict=True):
-        assert all(np.array_equal(x, y) for x, y in zip(shared.word_hashes(t, 2), f, strict=True))
+def test_word_hashes_of_long_texts(monkeypatch):
+    words = [f"w{k % 321}".encode() * (1 + k % 9) for k in range(5000)] + [b"L" * 70_000, b"end", b"M" * 70_000]
+    whole = shared.word_hashes(b" ".join(words), 2)
+    monkeypatch.setattr(shared, "STRETCH", 1000)
+    monkeypatch.setattr(shared.LongWords, "MEMO", 10)
+    for text in (b" ".join(words), b"\n" + b"  ".join(words) + b" ", b" ".join(words[::-1])):
+        for got, first in zip(shared.word_hashes(text, 2), whole, strict=True):
+            assert np.array_equal(got, first if text.split() == words else first[::-1])
+    assert len({*whole[0].tolist(), *whole[1].tolist()}) == 2 * len(set(words))
 
 
 def test_clean_removes_folders(spark, tmp_path):
