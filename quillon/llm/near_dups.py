@@ -283,8 +283,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = COO
     of = F.struct("n", "signature", "set_id")
     reps = classes.groupBy("rep").agg(F.min_by(of, "set_id").alias("x")).select("rep", "x.*")
     comp = linked_components(reps, docs, num, den, base, k, size).withColumnRenamed("node", "rep")
-    member = rows.join(classes.select("set_id", "rep"), "set_id", "left")
-    out = member.join(comp, "rep", "left")
+    # Rows without shingles take no part in the joins, where they would all come to one task.
+    member = rows.filter("set_id is not null").join(classes.select("set_id", "rep"), "set_id", "left").join(comp, "rep", "left")
+    bare = rows.filter("set_id is null").withColumns({"rep": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
+    out = member.select("doc_id", "n_shingles", "rep", "comp").unionByName(bare.select("doc_id", "n_shingles", "rep", "comp"))
     component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
