@@ -21,8 +21,9 @@ at the threshold is lost with a probability below ``MISS`` by its signature.
 
 Empty or null texts have no shingles and link with nothing. Fewer than five words make one
 shingle. A row whose doc_id is null links with nothing but joins the component of an equal set;
-kept is null for it. Rows of one doc_id belong to one component; if their sets differ, the one of
-the smallest digest speaks for their links to others. Texts are taken whole, however long. An empty
+kept is null for it. doc_ids name documents: where rows share one but not a set, each row is in the
+component of its own set's class, and of the classes that a doc_id stands for the one of the
+smallest digest is compared with others (give such rows ids of their own, as the pipeline does). Texts are taken whole, however long. An empty
 table gives no rows. Other columns, whatever their names, are not read.
 """
 
