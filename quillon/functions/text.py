@@ -12,7 +12,7 @@ RUNS = rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"
 TOKEN = rf"({WORD}(?:[\p{{L}}\p{{N}}_-]*{WORD})?)"
 # The letters of fact tokens, both cases, with those that fold to one of them; a token is
 # letters, digits of any script, then letters, plain digits and hyphens; or one of two signs.
-LETTERS = "a-zA-Zа-яА-ЯıİſKᲀ-ᲆ"
+LETTERS = "a-zA-Zа-яА-ЯıİſKᲀ-ᲆ"
 FACT = rf"([{LETTERS}]*\p{{Nd}}+[{LETTERS}0-9-]*|[%₽])"
 DECIMAL_FACT = rf"(\p{{Nd}}+[.,]\p{{Nd}}+|[{LETTERS}]*\p{{Nd}}+[{LETTERS}0-9-]*|[%₽])"
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"

@@ -229,7 +229,7 @@ SELECT pair_id, pattern, before, after, after - before AS added FROM c WHERE aft
 for _n, _name in ((1, "q17_introduced_tokens"), (2, "q18_introduced_bigrams"), (3, "q19_introduced_trigrams")):
     query(_name, _introduced_sql(_n))(lambda spark, sf, n=_n: audit.introduced(X.pairs(docs(spark, sf)), n))
 
-FACT = r"([a-zA-Zа-яА-ЯıİſK]*\p{Nd}+[a-zA-Zа-яА-ЯıİſK0-9-]*|[%₽])"
+FACT = r"([a-zA-Zа-яА-ЯıİſK]*\p{Nd}+[a-zA-Zа-яА-ЯıİſK0-9-]*|[%₽])"
 _found = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '{FACT}', 1), lambda t: replace(lower(t), 'ё', 'е')))"
 FACTS = f"facts AS (SELECT pair_id, {_found('source_text')} AS a, {_found('edited_text')} AS b FROM pairs), fd AS (SELECT pair_id, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM facts)"
 

@@ -43,6 +43,7 @@ CASES = [
     (T.fact_tokens, "12,5 см и 50%", ["%", "12", "5", "50"]),
     (T.fact_tokens, "IP67-a ё5", ["5", "ip67-a"]),
     (T.fact_tokens, None, []),
+    (T.fact_tokens, "5\u212a 7\u017f \u1c82-9", ["5k", "7s", "9"]),
     (T.fact_tokens, "5ß ß7 K5 ٣x٤ x-5-", ["5", "5-", "7", "k5", "٣x", "٤"]),
     (lambda x: T.fact_tokens(x, True), "12,5 см", ["12.5"]),
     (T.letter_count, "Ёж ёлка е", 2),
