@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import ranks
 
 # The evidence and confidence vocabularies.
 EVIDENCE = ("confirmed", "observed", "reported", "hypothesis", "conflicting")
@@ -20,9 +21,14 @@ def rates(rows: DataFrame, by: list[str], views: str, counts: list[str], per: in
 
 
 def strata(rows: DataFrame, by: list[str], order: list[Column], names=("top", "middle", "bottom")) -> DataFrame:
-    """Thirds of each group in a given order."""
-    part = F.ntile(len(names)).over(W.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("stratum", F.get(F.array(*map(F.lit, names)), part - 1))
+    """Thirds of each group in a given order; the first are the larger ones. Groups may hold any number of rows."""
+    out = _strata(rows, by, order, len(names))
+    return out.withColumn("stratum", F.get(F.array(*map(F.lit, names)), (F.col("_part") - 1).cast("int"))).select(*[c for c in rows.columns if c != "stratum"], "stratum")
+
+
+def _strata(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    out = ranks.ranked(rows, by, order, "_place", "_size")
+    return out.withColumn("_part", ranks.tile(F.col("_place"), F.col("_size"), n))
 
 
 def comparable(rows: DataFrame, by: list[str], ts: str, audience: str | None = None, period: str = "month") -> DataFrame:
@@ -50,8 +56,11 @@ def feature_table(rows: DataFrame, key: str, features: dict[str, list[str] | Non
 
 def stratified_sample(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of every stratum."""
-    place = F.row_number().over(W.partitionBy(*by, "stratum").orderBy(*order))
-    return strata(rows, by, order).withColumn("place", place).filter(F.col("place") <= k)
+    names = ("top", "middle", "bottom")
+    out = _strata(rows, by, order, len(names))
+    place = F.col("_place") - ranks.tile_start(F.col("_part"), F.col("_size"), len(names)) + 1
+    out = out.withColumns({"stratum": F.get(F.array(*map(F.lit, names)), (F.col("_part") - 1).cast("int")), "place": place.cast("int")})
+    return out.filter(F.col("place") <= k).drop("_place", "_size", "_part")
 
 
 def velocity(events: DataFrame, key: str, ts: str, first: str = "1 hour") -> DataFrame:
@@ -110,11 +119,15 @@ def segment_evidence(signals: DataFrame, segment: str, kind: str, least: int = 2
 
 
 def precedence(claims: DataFrame, claim: list[str], value: str, tier: str, date: str, tie: str) -> DataFrame:
-    """The claim of the best tier, the newest of it; ``conflict`` says that sources disagree, and nothing is averaged."""
-    of = W.partitionBy(*claim)
-    best = F.row_number().over(of.orderBy(F.asc(tier), F.desc(date), F.asc(tie)))
-    differ = F.coalesce(F.min(value).over(of) < F.max(value).over(of), F.lit(False))
-    return claims.withColumns({"_best": best, "conflict": differ}).filter("_best = 1").drop("_best")
+    """The claim of the best tier, the newest of it; ``conflict`` says that sources disagree, and nothing is averaged.
+
+    One aggregate with partial results, so a claim that a third of all rows make isn't brought together.
+    """
+    newest = F.coalesce(-F.unix_micros(F.col(date).cast("timestamp")), F.lit(2**63 - 1))
+    best = F.min_by(F.struct(*[c for c in claims.columns if c not in claim]), F.struct(F.col(tier), newest, F.col(tie)))
+    differ = F.coalesce(F.min(value) < F.max(value), F.lit(False))
+    out = claims.groupBy(*claim).agg(best.alias("_best"), differ.alias("conflict"))
+    return out.select(*[F.col(c) if c in claim else F.col(f"_best.{c}").alias(c) for c in claims.columns], "conflict")
 
 
 def evidence_status(sources: Column, primary: Column, conflict: Column) -> Column:
