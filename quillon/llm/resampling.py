@@ -174,7 +174,7 @@ f AS (SELECT side, id, unnest(w) AS f FROM w UNION ALL
   SELECT side, id, w[p] || ' ' || w[p + 1] FROM (SELECT side, id, w, unnest(range(1, len(w))) AS p FROM w)),
 d AS (SELECT side, id, f, count(*) AS n FROM f GROUP BY ALL),
 u AS (SELECT DISTINCT f FROM d),
-b AS (SELECT f, [(ord(unhex(h)))::BIGINT for h in []] AS none, list_transform(range(0, len(hex(encode(f))) // 2), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes FROM u),
+b AS (SELECT f, list_transform(range(0, len(hex(encode(f))) // 2), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes FROM u),
 h AS (SELECT f, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM b, tab),
 n AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM d JOIN h USING (f) GROUP BY bucket),
 tot AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
