@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, media, mixing, near_dups, pieces, quality, resampling, scoring, substrings, token_files, topk
+from . import lines, media, mixing, near_dups, personal, pieces, quality, resampling, scoring, substrings, token_files, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_topk": topk.op9_topk,
         "op10_mixing": mixing.op10_mixing,
+        "op11_personal": personal.op11_personal,
         "op13_resampling": resampling.op13_resampling,
     }
 
