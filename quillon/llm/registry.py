@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, media, mixing, near_dups, personal, pieces, quality, resampling, scoring, substrings, token_files, topk
+from . import conversations, lines, media, mixing, near_dups, personal, pieces, quality, resampling, scoring, substrings, token_files, topk
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_topk": topk.op9_topk,
         "op10_mixing": mixing.op10_mixing,
         "op11_personal": personal.op11_personal,
+        "op12_conversations": conversations.op12_conversations,
         "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.SQL, "op4_near_dups": near_dups.SQL, "op5_substring_dedup": substrings.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.sql(), "op13_resampling": resampling.SQL}
+    return {"op2_line_dedup": lines.SQL, "op4_near_dups": near_dups.SQL, "op5_substring_dedup": substrings.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.sql(), "op12_conversations": conversations.SQL, "op13_resampling": resampling.SQL}
