@@ -16,6 +16,10 @@ from quillon.functions import text as T
 from quillon.operators import counting
 
 
+#: Tokens of a text that are cut into n-grams at a time.
+STRETCH = 2000
+
+
 @dataclass
 class AuditConfig:
     """Options of an audit; the limit of ranked groups is held to 140..150 unless told otherwise."""
@@ -137,10 +141,12 @@ def introduced_patterns(pairs: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
     more: two uses and two more. N-grams cross the ends of sentences. Each text is cut once.
     """
     t = counting.sides(pairs).select("pair_id", "side", T.tokens("text").alias("t"))
-    at = t.select("pair_id", "side", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1)))).alias("at"))
-    i = F.col("at")
-    grams = F.array(*[F.when(i + n - 1 <= F.size("t"), F.struct(F.lit(n).alias("size"), F.concat_ws(" ", *[F.get("t", i - 1 + k) for k in range(n)]).alias("pattern"))) for n in sizes])
-    each = at.select("pair_id", "side", F.inline(F.filter(grams, lambda x: x.isNotNull())))
+    # long texts go in stretches that share their last tokens with the next, and no row carries its text
+    starts = F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)), F.lit(STRETCH))
+    t = t.select("pair_id", "side", F.explode(F.transform(starts, lambda s: F.slice("t", s + 1, F.lit(STRETCH + max(sizes) - 1)))).alias("t"))
+    own = F.least(F.size("t"), F.lit(STRETCH))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(own - 1, F.lit(0))), lambda i: F.array(*[F.when(i + n <= F.size("t"), F.struct(F.lit(n).alias("size"), F.concat_ws(" ", *[F.get("t", i + k) for k in range(n)]).alias("pattern"))) for n in sizes]))
+    each = t.select("pair_id", "side", F.inline(F.filter(F.flatten(grams), lambda x: x.isNotNull())))
     of = lambda s: F.count_if(F.col("side") == s).alias(s)
     out = each.groupBy("pair_id", "size", "pattern").agg(of("before"), of("after")).withColumn("added", F.col("after") - F.col("before"))
     one = (F.col("after") >= 3) & ~T.is_digits("pattern") & ~F.col("pattern").isin(*T.FUNCTION_WORDS)

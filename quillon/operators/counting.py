@@ -1,19 +1,15 @@
 """How often forms occur in texts, at word borders and without overlap.
 
-A text is a row of word runs and the runs between them. A form is routed by its shape:
-
-* A, one word run: it equals a whole run of the text, so runs are counted and joined by equality;
-* B, several runs that start and end with a word and can't overlap themselves: it equals a sequence
-  of runs; sequences of as many runs are joined by equality;
-* C, other forms with a word in them: their core, from the first word to the last, equals a sequence
-  of runs; what stands around it has to fit the signs before and behind, and of matches that
-  overlap the earlier one counts;
-* D, signs alone: they lie inside a run between words, so the different runs between words are
-  counted, and joined with the forms by their first character.
-
-All joins are by equality, and no form is brought to the driver. Forms are few next to texts; their
-table is stored once, so that nothing of their lineage reaches the plan of the texts, and Spark
-broadcasts it only if its measured size allows.
+A list of forms of up to ``LIST_BYTES`` is an automaton that reads each text once (``quillon.operators.automata``);
+its size is measured before it goes to the workers. Of a longer list, whatever its length,
+
+* A, one word run: equals a whole run of the text, so runs are counted and joined by equality;
+* B, several runs that start and end with a word and can't overlap themselves: equals a sequence of
+  runs; sequences of as many runs are joined by equality;
+* C, all others, with signs around them, signs alone, or that overlap themselves: these are dealt into lists of about
+  ``LIST_BYTES``, each an automaton of its own.
+
+Both ways give the same rows. A text is cut into runs once, and no row carries more of it than a form's runs.
 """
 
 from __future__ import annotations
@@ -23,88 +19,66 @@ from pyspark.sql import functions as F
 
 from quillon import storage
 from quillon.functions import text as T
+from quillon.operators import automata
+
+#: UTF-8 bytes of forms in one automaton: about 60 MB in a worker.
+LIST_BYTES = 1 << 20
 
 
 def routed(forms: DataFrame, form: str = "form") -> DataFrame:
-    """``forms`` with the normalised form, its class, and the runs, text, and surroundings of its core."""
+    """``forms`` with the normalised form (_form), its class and number of runs."""
     out = forms.withColumn("_form", T.strip(T.normalize(form))).filter("_form <> ''").withColumn("_parts", T.all_runs("_form"))
     n = F.size("_parts")
     starts, ends = F.rlike("_form", F.lit(f"^{T.WORD}")), F.rlike("_form", F.lit(f"{T.WORD}$"))
     overlap = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k % 2 == 0) & (k < n) & (F.slice("_parts", k + 1, F.greatest(n - k, F.lit(1))) == F.slice("_parts", F.lit(1), F.greatest(n - k, F.lit(1)))))
-    kind = F.when(n == 1, F.when(starts, "A").otherwise("D")).when(starts & ends & ~overlap, "B").otherwise("C")
-    before = F.when(starts, "").otherwise(F.get("_parts", F.lit(0)))
-    behind = F.when(ends, "").otherwise(F.get("_parts", n - 1))
-    core = F.substring("_form", F.length(before) + 1, F.length("_form") - F.length(before) - F.length(behind))
-    runs = F.greatest(n - F.when(starts, 0).otherwise(1) - F.when(ends, 0).otherwise(1), F.lit(0))
-    return out.withColumns({"_class": kind, "_runs": runs, "_core": core, "_before": before, "_behind": behind}).drop("_parts")
+    kind = F.when(starts & ends, F.when(n == 1, "A").when(~overlap, "B").otherwise("C")).otherwise("C")
+    return out.withColumns({"_class": kind, "_runs": n}).drop("_parts")
+
 
+def sequences(r, m: int):
+    """The texts of all ``m`` runs that begin and end with a word, of the array of runs ``r``, in order."""
+    first = F.when(F.rlike(F.coalesce(F.get(r, F.lit(0)), F.lit("")), F.lit(f"^{T.WORD}")), 0).otherwise(1)
+    last = F.size(r) - m
+    at = F.when(last >= first, F.sequence(first, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(*[F.get(r, i + k) for k in range(m)]))
 
-def _positions(r, m: int = 1):
-    """1-based places in the runs ``r`` from which ``m`` runs, a word first, lie in the text."""
-    first = F.when(F.rlike(F.coalesce(F.get(r, F.lit(0)), F.lit("")), F.lit(f"^{T.WORD}")), 1).otherwise(2)
-    last = F.size(r) - m + 1
-    return F.when(last >= first, F.sequence(first, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
 
+def _lists(forms: DataFrame, within: list[str]) -> dict[tuple, list[str]]:
+    """Forms by the values of ``within``, on the driver; for lists of a checked size."""
+    out: dict[tuple, list[str]] = {}
+    for r in forms.select(*within, "_form").collect():
+        out.setdefault(tuple(r)[:-1], []).append(r[-1])
+    return out
 
-def _joined(r, at, m: int):
-    """The text of ``m`` runs from place ``at``."""
-    return F.concat(*[F.get(r, at - 1 + k) for k in range(m)])
 
+def _bytes(forms: DataFrame) -> int:
+    return forms.agg(F.sum(F.octet_length("_form") + 8)).first()[0] or 0
 
-def count_forms(texts: DataFrame, forms: DataFrame, keys: list[str], text: str = "text", within: list[str] | None = None) -> DataFrame:
+
+def count_forms(texts: DataFrame, forms: DataFrame, keys: list[str], text: str = "text", within: list[str] | None = None, list_bytes: int | None = None) -> DataFrame:
     """(keys, [within], form, n) for forms (form, [within]) that occur in ``texts`` (keys, [within], normalised text).
 
-    ``within`` names columns that text and form must share. What kinds of forms there are (a class and
-    a number of runs) is looked up in the stored table before the plan is made.
+    ``within`` names columns that text and form must share; null is shared with nothing. Texts with equal keys are counted together.
     """
-    within = within or []
-    f = storage.stored(routed(forms).select(*within, "_form", "_class", "_runs", "_core", "_before", "_behind").distinct(), "forms")
-    kinds = sorted((r[0], r[1]) for r in f.select("_class", "_runs").distinct().collect())
+    within, limit = within or [], LIST_BYTES if list_bytes is None else list_bytes
+    f = storage.stored(routed(forms).dropna(subset=within).select(*within, "_form", "_class", "_runs").distinct(), "forms")
+    texts = texts.select(*keys, *within, F.col(text).alias("_text"))
     by = [*within, "_form"]
+    if _bytes(f) <= limit:
+        out = automata.count(texts, _lists(f, within), keys, within)
+        return out.withColumnRenamed("_form", "form")
     count = F.count(F.lit(1)).alias("n")
-    texts = texts.select(*keys, *within, F.col(text).alias("_text"))
     runs = texts.select(*keys, *within, T.all_runs("_text").alias("_r"))
     parts = []
-    for kind, m in kinds:
-        mine = f.filter((F.col("_class") == kind) & (F.col("_runs") == m))
-        if kind == "A":
-            each = texts.select(*keys, *within, F.explode(T.runs("_text")).alias("_form")).groupBy(*keys, *by).agg(count)
-            parts.append(each.join(mine.select(*by), by, "left_semi"))
-        elif kind == "B":
-            at = runs.select(*keys, *within, "_r", F.explode(_positions("_r", m)).alias("_at"))
-            each = at.select(*keys, *within, _joined("_r", F.col("_at"), m).alias("_form")).groupBy(*keys, *by).agg(count)
-            parts.append(each.join(mine.select(*by), by, "left_semi"))
-        elif kind == "C":
-            at = runs.select(*keys, *within, "_r", F.explode(_positions("_r", m)).alias("_at"))
-            i, n = F.col("_at"), F.size("_r")
-            near = at.select(
-                *keys, *within, _joined("_r", i, m).alias("_core"), i.alias("_at"), n.alias("_size"),
-                F.coalesce(F.get("_r", i - 2), F.lit("")).alias("_left"), F.coalesce(F.get("_r", i - 1 + m), F.lit("")).alias("_right"),
-                F.aggregate(F.slice("_r", F.lit(1), i - 1), F.lit(0), lambda acc, x: acc + F.length(x)).alias("_start"),
-            )
-            found = near.join(mine.select(*within, "_form", "_core", "_before", "_behind"), [*within, "_core"])
-            # signs that reach a word before or behind aren't at a border; at the ends of the text they are
-            p, q = F.col("_before"), F.col("_behind")
-            left = F.endswith("_left", p) & ((p == "") | (F.length("_left") > F.length(p)) | (F.col("_at") <= 2))
-            right = F.startswith("_right", q) & ((q == "") | (F.length("_right") > F.length(q)) | (F.col("_at") + m >= F.col("_size")))
-            starts = F.array_sort(F.collect_list(F.col("_start") - F.length(p)))
-            hits = found.filter(left & right).groupBy(*keys, *by).agg(starts.alias("_starts"))
-            state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("free"))
-            step = lambda acc, x: F.when(x >= acc.free, F.struct((acc.n + 1).alias("n"), (x + F.length("_form")).alias("free"))).otherwise(acc)
-            parts.append(hits.select(*keys, *by, F.aggregate("_starts", state, step).n.alias("n")))
-        else:
-            # the runs between words without the characters that touch words
-            i, n = F.col("_at"), F.size("_r")
-            at = runs.select(*keys, *within, "_r", F.posexplode("_r").alias("_at", "_run")).filter(~F.rlike("_run", F.lit(f"^{T.WORD}")))
-            cut_left, cut_right = F.when(i > 0, 1).otherwise(0), F.when(i < n - 1, 1).otherwise(0)
-            inner = F.substring("_run", cut_left + 1, F.greatest(F.length("_run") - cut_left - cut_right, F.lit(0)))
-            each = at.select(*keys, *within, inner.alias("_inner")).filter("_inner <> ''").groupBy(*keys, *within, "_inner").agg(F.count(F.lit(1)).alias("_times"))
-            each = each.withColumn("_first", F.explode(F.array_distinct(F.regexp_extract_all("_inner", F.lit("(?s)."), F.lit(0)))))
-            found = each.join(mine.select(*within, "_form", F.substring("_form", 1, 1).alias("_first")), [*within, "_first"]).filter(F.contains("_inner", F.col("_form")))
-            hits = F.floor((F.length("_inner") - F.length(F.replace("_inner", F.col("_form"), F.lit("")))) / F.length("_form"))
-            parts.append(found.groupBy(*keys, *by).agg(F.sum(hits * F.col("_times")).cast("long").alias("n")))
-    if not parts:
-        return texts.select(*keys, *within, F.lit("").alias("form"), F.lit(0).cast("long").alias("n")).filter("false")
+    for kind, m in sorted((r[0], r[1]) for r in f.filter("_class <> 'C'").select("_class", "_runs").distinct().collect()):
+        found = T.runs("_text") if kind == "A" else sequences(F.col("_r"), m)
+        each = (texts if kind == "A" else runs).select(*keys, *within, F.explode(found).alias("_form")).groupBy(*keys, *by).agg(count)
+        parts.append(each.join(f.filter((F.col("_class") == kind) & (F.col("_runs") == m)).select(*by), by, "left_semi"))
+    others = f.filter("_class = 'C'")
+    lists = -(-_bytes(others) // max(limit // 2, 1))  # half full, since hashes deal them
+    for k in range(lists):
+        mine = others.filter(F.pmod(F.xxhash64("_form"), F.lit(lists)) == k)
+        parts.append(automata.count(texts, _lists(mine, within), keys, within))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

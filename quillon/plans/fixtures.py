@@ -40,23 +40,23 @@ def run_counts(docs: DataFrame) -> DataFrame:
     return runs.groupBy("scope", "doc_id", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stem_groups(docs: DataFrame) -> DataFrame:
-    """(scope, link, word, forms, median, docs) of every stem: its runs, the most frequent of them, the median count where it occurs."""
-    n = run_counts(docs).withColumn("link", F.substring("run", 1, STEM))
-    per = n.groupBy("scope", "link", "run").agg(F.sum("n").alias("n"))
-    words = per.groupBy("scope", "link").agg(F.min_by("run", F.struct((-F.col("n")).alias("n"), "run")).alias("word"), F.array_sort(F.collect_list("run")).alias("forms"))
-    docs_ = n.groupBy("scope", "link", "doc_id").agg(F.sum("n").alias("n")).groupBy("scope", "link").agg(F.median("n").alias("median"), F.count(F.lit(1)).alias("docs"))
-    return words.join(docs_, ["scope", "link"])
-
-
 def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(scope, breadth_rank, word, forms, median, analyzer_current): the first groups by document frequency.
+    """(scope, breadth_rank, word, forms, median, analyzer_current): the first stems by document frequency.
 
+    A stem's word is its most frequent run, its forms all its runs, its median the count in documents that have it.
+    Stems are ranked before anything of them is collected, so only the forms of those that stay come together.
     Every fifth has no median; the reported count of every seventh is off.
     """
-    g = stem_groups(docs)
+    n = run_counts(docs).withColumn("link", F.substring("run", 1, STEM))
+    per = n.groupBy("scope", "link", "run").agg(F.sum("n").alias("n"))
+    words = per.groupBy("scope", "link").agg(F.min_by("run", F.struct((-F.col("n")).alias("n"), "run")).alias("word"))
+    inside = n.groupBy("scope", "link", "doc_id").agg(F.sum("n").alias("n"))
+    docs_ = inside.groupBy("scope", "link").agg(F.count(F.lit(1)).alias("docs"))
     rank = F.row_number().over(W.partitionBy("scope").orderBy(F.desc("docs"), F.asc("word")))
-    g = g.withColumn("breadth_rank", rank).filter(F.col("breadth_rank") <= limit)
+    kept = words.join(docs_, ["scope", "link"]).withColumn("breadth_rank", rank).filter(F.col("breadth_rank") <= limit)
+    forms = per.join(kept.select("scope", "link"), ["scope", "link"], "left_semi").groupBy("scope", "link").agg(F.array_sort(F.collect_list("run")).alias("forms"))
+    median = inside.join(kept.select("scope", "link"), ["scope", "link"], "left_semi").groupBy("scope", "link").agg(F.median("n").alias("median"))
+    g = kept.join(forms, ["scope", "link"]).join(median, ["scope", "link"])
     return g.select("scope", "breadth_rank", "word", "forms", F.when(F.col("breadth_rank") % 5 != 0, F.col("median")).alias("median"), F.when(F.col("breadth_rank") % 7 == 0, F.lit(1.0)).alias("analyzer_current"))
 
 
@@ -102,9 +102,9 @@ dr AS (SELECT *, CASE WHEN after = target THEN 'at' WHEN after > target THEN 'ab
 def phrases(docs: DataFrame, k: int = 40) -> DataFrame:
     """(scope, row_ix, phrase, median): the most frequent two different words with one space between, by language."""
     r = docs.select(F.col("lang").alias("scope"), T.all_runs(T.normalize("text")).alias("r"))
-    at = r.select("scope", "r", F.explode(F.sequence(F.lit(1), F.greatest(F.size("r") - 2, F.lit(1)))).alias("i"))
-    run = lambda k: F.get("r", F.col("i") - 1 + k)
-    each = at.filter((run(1) == " ") & (run(0) != run(2))).select("scope", F.concat(run(0), run(1), run(2)).alias("phrase"))
+    run = lambda i, k: F.get("r", i + k)
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("r") - 3, F.lit(0))), lambda i: F.coalesce((run(i, 1) == " ") & (run(i, 0) != run(i, 2)), F.lit(False)))
+    each = r.select("scope", F.explode(F.transform(places, lambda i: F.concat(run(i, 0), run(i, 1), run(i, 2)))).alias("phrase"))
     each = each.groupBy("scope", "phrase").agg(F.count(F.lit(1)).alias("n"))
     return each.withColumn("row_ix", F.row_number().over(W.partitionBy("scope").orderBy(F.desc("n"), F.asc("phrase")))).filter(F.col("row_ix") <= k).select("scope", "row_ix", "phrase", (F.col("row_ix") % 3).cast("double").alias("median"))
 
