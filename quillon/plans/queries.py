@@ -13,6 +13,7 @@ from quillon.operators import audit, content, counting, targets
 from quillon.plans import fixtures as X
 from quillon.plans.fixtures import BASE, DEPTH, NORM, load
 from quillon.sources import texts
+from quillon.streaming import reuse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -442,6 +443,27 @@ def q40(spark, sf):
     return content.repeated_requests(e, ["user_id", "event_type"], "ts").select("event_id", "reused")
 
 
+def _reuse_sql(anchor: str) -> str:
+    """Requests in order, with the last one that counts carried from row to row."""
+    last = "r.ts" if anchor == "sliding" else "CASE WHEN r.ts <= last + INTERVAL 15 MINUTE THEN last ELSE r.ts END"
+    return f"""WITH RECURSIVE r AS (SELECT event_id, event_type, user_id % 2 AS half, ts, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_id, event_type, half, k, ts AS last, false AS reused FROM r WHERE k = 1
+  UNION ALL SELECT r.event_id, r.event_type, r.half, r.k, {last}, r.ts <= last + INTERVAL 15 MINUTE FROM w JOIN r ON r.event_type = w.event_type AND r.half = w.half AND r.k = w.k + 1)
+SELECT event_id, event_type, half, reused FROM w"""
+
+
+def _reuse(spark, sf, anchor):
+    """Events as a stream in which each comes up to ten minutes late, so rows are out of order within and across steps."""
+    e = load(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 2).alias("half"), "ts")
+    late = F.pmod(F.crc32(F.col("event_id").cast("string").cast("binary")), F.lit(600))
+    arrived = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + late * 1_000_000)
+    return reuse.replayed(e, "ts", arrived, ["event_type", "half"], "event_id", anchor=anchor, delay="10 minutes")
+
+
+for _anchor in reuse.ANCHORS:
+    query(f"q{75 + reuse.ANCHORS.index(_anchor)}_request_reuse_{_anchor}", _reuse_sql(_anchor))(lambda spark, sf, a=_anchor: _reuse(spark, sf, a))
+
+
 @query(
     "q41_answer_normalise",
     """SELECT page_id AS id, page_id % 5 <> 4 AS ok, CASE WHEN page_id % 5 < 3 THEN 'about ' || url END AS answer,
