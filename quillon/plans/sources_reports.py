@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon import sinks
+from quillon import sinks, storage
 from quillon.functions import text as T
 from quillon.operators import audit, content, targets
 from quillon.plans import fixtures as X
@@ -29,9 +29,23 @@ UNION ALL SELECT p_brand, s, 0, unnest(h), false, unnest(range(len(h))) FROM (SE
 cells AS (SELECT file, CAST(sheet_ix AS INTEGER) AS sheet_ix, ['Все формы', 'Сводим формы', 'Глубина', 'N-граммы'][sheet_ix + 1] AS sheet, CAST(row_ix AS INTEGER) AS row_ix, CAST(col_ix AS INTEGER) AS col_ix, chr(CAST(65 + col_ix AS INTEGER)) || (row_ix + 1) AS ref, value, is_num FROM v WHERE value IS NOT NULL)"""
 
 
+def files(spark, sf, order="workbook"):
+    """The cells of the brands' workbooks, written as files and read through the data source; a file is named after its brand."""
+    folder = storage.shared_dir(spark)
+    xlsx.written(X.workbooks(load(spark, sf, "part")), folder)
+    xlsx.register(spark)
+    return spark.read.format("xlsx_cells").option("order", order).load(folder).withColumn("path", F.col("file")).withColumn("file", F.regexp_extract("file", r"([^/]+)\.xlsx$", 1))
+
+
 @query("q42_workbook_cells", f"WITH {CELLS} SELECT * FROM cells")
 def q42(spark, sf):
-    return cells(spark, sf).select("file", "sheet_ix", "sheet", "row_ix", "col_ix", "ref", "value", "is_num")
+    return files(spark, sf).select("file", "sheet_ix", "sheet", "row_ix", "col_ix", "ref", "value", "is_num")
+
+
+@query("q77_workbook_pushdown", f"WITH {CELLS} SELECT file, row_ix, ref, value FROM cells WHERE sheet = 'Глубина' AND col_ix IN (0, 2)")
+def q77(spark, sf):
+    """Two columns of one sheet: other sheets aren't opened, other cells not made."""
+    return files(spark, sf).filter("sheet = 'Глубина' and col_ix in (0, 2)").select("file", "row_ix", "ref", "value")
 
 
 @query(

@@ -71,6 +71,42 @@ def test_reader_and_dump(spark, tmp_path):
     assert sorted(r[1:] for r in map(tuple, xlsx.from_binary(binary).collect())) == sorted(r[1:] for r in map(tuple, c.collect()))
 
 
+def test_sheets_are_partitions_and_filters_are_pushed(spark, tmp_path):
+    rows = [[(f"A{n}", str(n % 3), "s"), (f"B{n}", "t", "inlineStr"), (f"C{n}", n)] for n in range(1, 40)]
+    for name in ("a", "b"):
+        cells(spark, tmp_path, workbook([("one", rows), ("two", rows[:5])], ["<si><t>x</t></si>", "<si><t>y</t></si>", "<si/>"]), f"{name}.xlsx")
+    for path in (f"{tmp_path}", f"file://{tmp_path}", f"{tmp_path}/*.xlsx"):
+        c = spark.read.format("xlsx_cells").load(path)
+        assert c.rdd.getNumPartitions() == 4 and c.count() == 2 * (39 + 5) * 3
+    part = c.filter("sheet = 'two' and col_ix in (0, 2) and row_ix > 1")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "> 1)" in plan and "= two" not in plan.split("BatchScan")[0] and " IN " not in plan.split("BatchScan")[0]
+    assert part.rdd.getNumPartitions() == 2
+    assert sorted((r.ref, r.value) for r in part.filter(f"file = '{tmp_path}/a.xlsx'").collect()) == [("A3", "x"), ("A4", "y"), ("A5", ""), ("C3", "3"), ("C4", "4"), ("C5", "5")]
+    whole = xlsx._Reader({"path": str(tmp_path)})
+    assert sorted(map(tuple, (r.values() for p in [xlsx._Part(f"{tmp_path}/a.xlsx")] for b in whole.read(p) for r in b.to_pylist()))) == sorted(tuple(r) for r in c.filter(f"file = '{tmp_path}/a.xlsx'").collect())
+    with pytest.raises(Exception, match="none"):
+        spark.read.format("xlsx_cells").load(f"{tmp_path}/none*.xlsx").collect()
+
+
+def test_a_workbook_larger_than_what_is_held(tmp_path):
+    """60 MB of XML, half of it shared strings, in a few megabytes of memory."""
+    import tracemalloc
+
+    n = 120_000
+    path = tmp_path / "big.xlsx"
+    path.write_bytes(workbook([("S", [[(f"A{k}", str(k), "s"), (f"B{k}", k)] for k in range(1, n)])], [f"<si><t>{'text ' * 40}{k}</t></si>" for k in range(n)]))
+    reader = xlsx._Reader({"path": str(path)})
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    seen = 0
+    for batch in reader.read(part):
+        seen += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 2 * (n - 1) and batch.column(7)[-2].as_py().endswith(str(n - 1)) and peak < 24 << 20
+
+
 def groups_book():
     head = ["Слова", "Медиана (по топ-10)", "Связь слов с другим листом", "Текст у вас"]
     summary = table(head, ["душ", "2", 1, 3], ["Душ", "9", 1, 3], ["кран", "", "b", None], [0, 5, 1, 1], ["лейка", "1,5", "none", 0])
