@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.plans import mining as _mining  # noqa: F401  (registers its queries)
 from quillon.plans import queries as _queries
 from quillon.plans import sources_reports as _sources_reports  # noqa: F401  (registers its queries)
 

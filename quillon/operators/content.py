@@ -36,7 +36,12 @@ def comparable(rows: DataFrame, by: list[str], ts: str, audience: str | None = N
     out = rows.withColumn("period", F.date_trunc(period, F.col(ts)).cast("date"))
     size = F.when(F.col(audience) > 0, F.floor(F.log2(F.col(audience).cast("double")))).otherwise(F.lit(-1)) if audience else F.lit(0)
     out = out.withColumn("audience_power", size.cast("long"))
-    return out.withColumn("peers", F.count(F.lit(1)).over(W.partitionBy(*by, "period", "audience_power")))
+    keys = [*by, "period", "audience_power"]
+    n = out.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("peers"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return out.join(n, on).select(*out.columns, "peers")
 
 
 def feature_table(rows: DataFrame, key: str, features: dict[str, list[str] | None]) -> DataFrame:
@@ -183,9 +188,9 @@ def concept_scores(scores: DataFrame, k: int = 3, criteria: int = 9) -> DataFram
     scores: (concept, criterion, score, is_stop). The first is the main one, up to k - 1 are in reserve.
     """
     per = scores.groupBy("concept").agg(F.sum("score").cast("long").alias("total"), F.coalesce(F.bool_or(F.col("is_stop") & (F.col("score") == 0)), F.lit(False)).alias("stopped"), F.countDistinct("criterion").alias("criteria"))
-    place = F.row_number().over(W.partitionBy("stopped").orderBy(F.desc("total"), F.asc("concept"))).cast("long")
+    per = ranks.ranked(per, ["stopped"], [F.desc("total"), F.asc("concept")])
     role = F.when(F.col("stopped") | (F.col("place") > k), "out").when(F.col("place") == 1, "main").otherwise("reserve")
-    return per.withColumn("place", place).withColumn("role", role).withColumn("complete", F.col("criteria") == criteria).drop("place")
+    return per.withColumn("role", role).withColumn("complete", F.col("criteria") == criteria).drop("place")
 
 
 def cover_text_fits(tokens: Column, least: int = 2, most: int = 5) -> Column:
@@ -200,6 +205,12 @@ def changed_one(plan: DataFrame, series: str, order: str, parameters: list[str])
     return plan.withColumn("changed", F.when(first, 0).otherwise(changed).cast("long")).withColumn("valid", first | (F.col("changed") == 1))
 
 
+def plan_sizes(plan: DataFrame, series: str, least: int = 8, most: int = 12) -> DataFrame:
+    """(series, n, fits): a test plan asks for ``least`` to ``most`` publications."""
+    n = F.count(F.lit(1))
+    return plan.groupBy(series).agg(n.alias("n"), n.between(least, most).alias("fits"))
+
+
 def search_gate(answers: DataFrame, categories: list[str], brand: str | None = None, primary: list[str] | None = None, contradictions: DataFrame | None = None, least_known: int = 1) -> DataFrame:
     """Answers (key, ok, answer, sources) with the six reasons for which they don't suffice.
 

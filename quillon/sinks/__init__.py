@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import ranks
 
 
 def as_json(df: DataFrame, by: str = "pair_id") -> DataFrame:
@@ -141,11 +142,8 @@ def brief(sections: dict[str, DataFrame], order: dict[str, list[str]] | None = N
         cell = lambda c: F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"[\r\n]+", " "), F.lit("–"))
         by = (order or {}).get(title, df.columns)
         row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
-        # the place of a row is its order among all; a brief is small, and written by one task
-        from pyspark.sql import Window as W
-
-        place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)).cast("long") - 1
-        parts += [lines, df.select(F.lit(k).alias("section_ord"), place.alias("row_ord"), row.alias("line"))]
+        placed = ranks.ranked(df, [], list(by), "__place")
+        parts += [lines, placed.select(F.lit(k).alias("section_ord"), (F.col("__place") - 1).alias("row_ord"), row.alias("line"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
