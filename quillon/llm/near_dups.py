@@ -21,9 +21,9 @@ at the threshold is lost with a probability below ``MISS`` by its signature.
 
 Empty or null texts have no shingles and link with nothing. Fewer than five words make one
 shingle. A row whose doc_id is null links with nothing but joins the component of an equal set;
-kept is null for it. doc_ids name documents: where rows share one but not a set, each row is in the
-component of its own set's class, and of the classes that a doc_id stands for the one of the
-smallest digest is compared with others (give such rows ids of their own, as the pipeline does). Texts are taken whole, however long. An empty
+kept is null for it. Classes have numbers of their own, so every set is compared, whatever ids its rows have. doc_ids name
+documents: rows that share one are one document, which links the classes of all its sets (``one_document`` = False
+leaves them apart). Texts are taken whole, however long. An empty
 table gives no rows. Other columns, whatever their names, are not read.
 """
 
@@ -132,7 +132,7 @@ def _agree(a: str, b: str):
 def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, base: str, k: int = COORDINATES, size: int = SHINGLE) -> DataFrame:
     """(node, comp): the components of the similarity graph between classes; nodes without a link are left out.
 
-    ``classes``: rep (doc_id of the class), n, set_id, signature. A link holds if
+    ``classes``: rep (the class's number), doc (a doc_id that has the set), n, set_id, signature. A link holds if
     den * |intersection| >= num * |union|.
     """
     t = match_threshold(num, den, k)
@@ -149,7 +149,7 @@ def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, b
     comp = classes.sparkSession.createDataFrame([], "node long, comp long")
     if prefix.isEmpty():
         return comp
-    sig = shared.stored(classes.join(prefix.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "set_id", "signature"), "sig", base)
+    sig = shared.stored(classes.join(prefix.select("rep").distinct(), "rep", "left_semi").select("rep", "doc", "n", "set_id", "signature"), "sig", base)
     sets = shared.stored(_sets(docs, sig, size), "sets", base)
     done = None  # pairs looked at
 
@@ -246,7 +246,7 @@ def _against_hubs(lines: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, sig: DataFrame, size: int) -> DataFrame:
-    """(rep, hashes): the full sets of the documents in ``sig``."""
+    """(rep, hashes): the full sets of the classes in ``sig``, from the texts of their documents."""
 
     def work(batches):
         for batch in batches:
@@ -255,8 +255,8 @@ def _sets(docs: DataFrame, sig: DataFrame, size: int) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.view(np.int64) for d in data], pa.list_(pa.int64()))], names=["rep", "hashes"])
             yield rows.filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(sig.select("rep", "set_id"), "rep").select("rep", "text", "set_id").mapInArrow(shared.tidy(work), "rep long, hashes array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
+    sets = texts.join(sig.select("doc", "rep", "set_id"), "doc").select("rep", "text", "set_id").mapInArrow(shared.tidy(work), "rep long, hashes array<long>")
     return sets.groupBy("rep").agg(F.first("hashes").alias("hashes"))
 
 
@@ -270,30 +270,49 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(holds).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = COORDINATES, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = COORDINATES, size: int = SHINGLE, one_document: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and root (the component's number; null without shingles) for each row of ``docs`` (doc_id, text).
+
+    ``one_document``: rows that share a doc_id belong together, whatever their texts.
+    """
     spark = docs.sparkSession
     base = shared.shared_dir(spark)
     rows = shared.stored(signed(docs, k, size), "signed", base)
     classes = (
         rows.filter("set_id is not null and doc_id is not null")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     )
-    # One doc_id may carry several sets: its classes are one document.
-    of = F.struct("n", "signature", "set_id")
-    reps = classes.groupBy("rep").agg(F.min_by(of, "set_id").alias("x")).select("rep", "x.*")
-    comp = linked_components(reps, docs, num, den, base, k, size).withColumnRenamed("node", "rep")
+    classes = shared.stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes", base)
+    comp = linked_components(classes, docs, num, den, base, k, size)
+    several = None
+    if one_document:
+        # doc_ids with several sets, or with rows of and without shingles
+        of = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("s1"), F.max("set_id").alias("s2"), F.bool_or(F.col("set_id").isNull()).alias("bare"))
+        several = shared.stored(of.filter("s1 <> s2 or (s1 is not null and bare)").select("doc_id"), "several", base)
+        several = None if several.isEmpty() else several
+    if several is not None:
+        of = rows.join(several, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
+        ties = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+        comp = shared.stored(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(ties), base, "ids"), "comp_ids", base)
+    # a component is named after its smallest doc_id
+    linked = classes.select("rep", "set_id", "doc").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("comp", "rep"))
+    names = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = linked.join(names, "root").select("set_id", "root", "component_id")
     # Rows without shingles take no part in the joins, where they would all come to one task.
-    member = rows.filter("set_id is not null").join(classes.select("set_id", "rep"), "set_id", "left").join(comp, "rep", "left")
-    bare = rows.filter("set_id is null").withColumns({"rep": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
-    out = member.select("doc_id", "n_shingles", "rep", "comp").unionByName(bare.select("doc_id", "n_shingles", "rep", "comp"))
-    component = F.coalesce("comp", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    member = rows.filter("set_id is not null").join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    bare = rows.filter("set_id is null").select("doc_id", "n_shingles")
+    if several is not None:
+        own = member.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        bare = bare.join(own, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    else:
+        bare = bare.withColumn("component_id", F.col("doc_id"))
+    out = member.unionByName(bare.withColumn("root", F.lit(None).cast("long")))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "root")
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("root")
 
 
 _SHINGLE = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, SHINGLE))])

@@ -104,6 +104,10 @@ def brute_components(docs, num=85, den=100):
                     x, y = sets[a][1], sets[b][1]
                     if den * len(x & y) >= num * len(x | y):
                         parent[root(a)] = root(b)
+    named = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            parent[root(k)] = root(named.setdefault(i, k))
     least = {}
     for k, (i, _) in enumerate(sets):
         if i is not None:
@@ -126,7 +130,7 @@ def near_copies(seed, n=150):
 def test_near_duplicates_equal_brute_force(spark):
     docs = near_copies(3)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(map(tuple, near_dups.near_duplicates(df).collect()), key=repr) == brute_components(docs)
+    assert sorted(map(tuple, near_dups.near_duplicates(df).drop("root").collect()), key=repr) == brute_components(docs)
 
 
 def test_near_duplicates_odd_rows(spark, tmp_path):
@@ -135,6 +139,22 @@ def test_near_duplicates_odd_rows(spark, tmp_path):
     assert near_dups.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark, tmp_path):
+    """Every set of a doc_id is compared, and the doc_id links what they are linked with."""
+    a, b, c = (text(k, 40) for k in (1, 2, 3))
+    docs = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, None), (4, c), (5, c + " end"), (6, c + " end"), (6, text(6, 9)), (7, text(6, 9)), (8, ""), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, near_dups.near_duplicates(df).drop("root").collect()), key=repr)
+    assert got == brute_components(docs) and {r[2] for r in got} == {1, 4, 8}
+    assert rows(near_dups.op4_near_dups(spark, saved(df, tmp_path))) == duck(near_dups.SQL, documents=df)
+    apart = near_dups.near_duplicates(df, one_document=False).filter("root is not null")
+    assert apart.groupBy("root").count().count() == 4
+    many = near_copies(5)
+    many += [(i, t) for (i, _), (_, t) in zip(many[::7], many[3::11], strict=False)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    assert sorted(map(tuple, near_dups.near_duplicates(df).drop("root").collect()), key=repr) == brute_components(many)
+
+
 def test_match_threshold_bounds_the_miss():
     t = near_dups.match_threshold(85, 100)
     rng = np.random.default_rng(1)
