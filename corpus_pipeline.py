@@ -37,14 +37,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A document is a pair of doc_id and text: rows that share a doc_id but not a text are compared like
     any others, and rows equal in both are one. A null doc_id comes after all others, ties go by a
-    hash. Texts without words are near copies of nothing and stay, one row for each doc_id.
+    hash. Texts without words are near copies of nothing and stay, one row for each doc_id. The hash that
+    stands for a document may be another's too; the two are then compared like any others, and go or stay with the better one.
     """
     rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
-    marks = near_dups.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), num=80, den=100)
-    groups = marks.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
-    keep = groups.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("_row")).select("_row")
+    marks = near_dups.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), num=80, den=100, one_document=False)
+    bare = F.when(F.col("root").isNull(), F.col("component_id")).alias("bare")
+    groups = marks.select(F.col("doc_id").alias("_row"), "root", bare).distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
+    keep = groups.groupBy("root", "bare").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("_row")).select("_row")
     x = F.struct(*COLUMNS)
-    return rows.join(keep, "_row", "left_semi").groupBy("_row").agg(F.min_by(x, x).alias("x")).select("x.*")
+    kept = rows.join(keep, "_row", "left_semi")
+    return kept.groupBy("_row", "doc_id", F.sha2("text", 256)).agg(F.min_by(x, x).alias("x")).select("x.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
