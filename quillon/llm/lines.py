@@ -8,7 +8,7 @@ spans, and the gaps between these spans stay. Windows are judged on the input.
 Windows are counted with partial aggregation before they are shuffled, and only windows seen twice
 or more join back, as plain equi-join rows that adaptive execution splits if one window is hot.
 
-Columns n_lines and n_removed are replaced where they exist; names that begin with __q_ are reserved.
+Columns n_lines and n_removed are replaced where they exist; all others stay, whatever their names.
 Texts of fewer than three lines and null texts stay as they are. Rows with a null doc_id come last
 in the order. Rows that repeat both doc_id and text count as one occurrence and get equal results.
 """
@@ -48,17 +48,21 @@ def later(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with text replaced by the lines kept, and n_lines and n_removed."""
-    gone = later(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__q_id"), F.col("key").alias("__q_key"), F.col("gone").alias("__q_gone"))
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__q_id")) & (F.xxhash64(docs["text"]) == F.col("__q_key")), "left")
-    lines, n, m = F.split("text", "\n", -1), F.size(F.split("text", "\n", -1)), F.size("__q_gone")
-    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("__q_gone", k - 1) + WINDOW)
-    stop = lambda k: F.coalesce(F.get("__q_gone", k), F.size("__q_lines"))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda k: F.slice("__q_lines", start(k) + 1, F.greatest(stop(k) - start(k), F.lit(0)))))
-    rows = rows.withColumn("__q_lines", F.when(F.col("__q_gone").isNotNull(), lines)).withColumn("__q_kept", F.when(F.col("__q_gone").isNotNull(), kept))
-    text = F.when(F.col("__q_gone").isNull(), F.col("text")).otherwise(F.array_join("__q_kept", "\n"))
+    q = "__q"
+    while any(c.lower().startswith(q) for c in docs.columns):
+        q += "_"
+    at_id, at_key, at_gone, at_lines, at_kept, at_text = (f"{q}_{x}" for x in ("id", "key", "gone", "lines", "kept", "text"))
+    gone = later(docs.select("doc_id", "text")).select(F.col("doc_id").alias(at_id), F.col("key").alias(at_key), F.col("gone").alias(at_gone))
+    rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs["text"]) == F.col(at_key)), "left")
+    lines, n, m = F.split("text", "\n", -1), F.size(F.split("text", "\n", -1)), F.size(at_gone)
+    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(at_gone, k - 1) + WINDOW)
+    stop = lambda k: F.coalesce(F.get(at_gone, k), F.size(at_lines))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda k: F.slice(at_lines, start(k) + 1, F.greatest(stop(k) - start(k), F.lit(0)))))
+    rows = rows.withColumn(at_lines, F.when(F.col(at_gone).isNotNull(), lines)).withColumn(at_kept, F.when(F.col(at_gone).isNotNull(), kept))
+    text = F.when(F.col(at_gone).isNull(), F.col("text")).otherwise(F.array_join(at_kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
-    removed = F.when(F.col("__q_gone").isNull(), F.lit(0)).otherwise(F.size("__q_lines") - F.size("__q_kept")).cast("long")
-    return rows.withColumns({"n_lines": n_lines, "n_removed": removed, "__q_text": text}).drop("text", "__q_id", "__q_key", "__q_gone", "__q_lines", "__q_kept").withColumnRenamed("__q_text", "text")
+    removed = F.when(F.col(at_gone).isNull(), F.lit(0)).otherwise(F.size(at_lines) - F.size(at_kept)).cast("long")
+    return rows.withColumns({"n_lines": n_lines, "n_removed": removed, at_text: text}).drop("text", at_id, at_key, at_gone, at_lines, at_kept).withColumnRenamed(at_text, "text")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ def test_lines_small_cases(spark):
 def test_lines_odd_rows_and_sql(spark, tmp_path):
     out = lines.dedup(odd(spark))
     assert out.count() == 13 and set(out.columns) == {*odd(spark).columns, "n_lines", "n_removed"}
+    clash = lines.dedup(odd(spark).withColumns({c: F.lit("x") for c in ("__q_gone", "__q_text", "__Q__id", "lines")}))
+    assert clash.filter("doc_id = 8").select("text", "__q_gone", "__q_text", "lines").first() == ("last line", "x", "x", "x")
     assert [tuple(r) for r in out.filter("doc_id = 6").select("text", "n_removed").collect()] == [(text(5, 40), 0)] * 2
     assert out.filter("doc_id = 8").first().text == "last line"
     assert lines.dedup(empty(spark)).count() == 0
