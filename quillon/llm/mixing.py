@@ -10,9 +10,7 @@ factors are raked on the tokens that the bound leaves, so that the expected toke
 language and topic meet their targets and those of all the wanted share. A group whose target
 exceeds the tokens it has is kept whole, and the other targets of its kind share what it can't
 give in their proportions. Where the targets of two kinds can't be met together, the last round
-stays. ``op10_mixing`` keeps the draw that its SQL defines instead, min(1, scale * weight) with one
-scale for all: the wanted share of all tokens is met, but where weights are cut at 1 groups get less
-or more than their targets.
+stays. The SQL reaches the same probabilities by mending one kind after the other, starting at 1.
 
 Cells are pre-aggregated, so a source that holds a third of all rows is one row for each language
 and topic after the first step. Cells of one source form one row; a raking round is one scan of
@@ -35,9 +33,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-ROUNDS, SCALE_ROUNDS = 20, 12
+ROUNDS = 20
+#: Steps of the bounded raking in SQL, each over one kind.
+SQL_STEPS = 300
 #: Rounds of bounded raking at most, and the largest relative error of a group at which they end.
-BOUNDED_ROUNDS, BOUNDED_ERROR = 60, 1e-7
+BOUNDED_ROUNDS, BOUNDED_ERROR = 60, 1e-11
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 SHARE = 0.6
 #: Cells up to which their table is broadcast (each under 200 bytes); beyond it the join shuffles.
@@ -135,7 +135,7 @@ def _bounded(rows: DataFrame, base: str, langs: dict, topics: dict, source_goal,
     return factored().select("_source", "_lang", "_topic", F.least(F.lit(1.0), F.col("u")).alias("_probability"))
 
 
-def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = None, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
+def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = None, rounds: int = ROUNDS) -> DataFrame:
     """_source, _lang, _topic, _weight (raked share over observed share), _probability of every cell."""
     powers = powers or POWERS
     base = shared.shared_dir(docs.sparkSession)
@@ -167,20 +167,8 @@ def probabilities(docs: DataFrame, share: float = SHARE, powers: dict | None = N
     weight = F.col("a") * _lookup(b, F.col("_lang")) * _lookup(c, F.col("_topic")) * F.lit(float(total))
     fitted = factored(b, c).select("_source", "a", F.inline("cells")).select("_source", "_lang", "_topic", "m", weight.alias("_weight"))
     fitted = shared.stored(fitted, "fitted", base)
-    if bounded:
-        drawn = _bounded(rows, base, _reachable(by_lang, langs, share * total), _reachable(by_topic, topics, share * total), target, share * total)
-        return fitted.select("_source", "_lang", "_topic", "_weight").join(drawn, ["_source", "_lang", "_topic"])
-    scale = share
-    for _ in range(SCALE_ROUNDS):
-        capped = F.col("_weight") * scale >= 1
-        full, rest = fitted.agg(F.sum(F.when(capped, F.col("m")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("_weight") * F.col("m")))).first()
-        if not rest:
-            break
-        new = (share * total - full) / rest
-        if abs(new - scale) <= 1e-12 * scale:
-            break
-        scale = new
-    return fitted.select("_source", "_lang", "_topic", "_weight", F.least(F.lit(1.0), F.col("_weight") * scale).alias("_probability"))
+    drawn = _bounded(rows, base, _reachable(by_lang, langs, share * total), _reachable(by_topic, topics, share * total), target, share * total)
+    return fitted.select("_source", "_lang", "_topic", "_weight").join(drawn, ["_source", "_lang", "_topic"])
 
 
 def draw(doc_id):
@@ -188,9 +176,9 @@ def draw(doc_id):
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None, bounded: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, _weight, _probability and _kept."""
-    cells = shared.stored(probabilities(docs, share, powers, bounded=bounded), "probabilities", shared.shared_dir(docs.sparkSession))
+    cells = shared.stored(probabilities(docs, share, powers), "probabilities", shared.shared_dir(docs.sparkSession))
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     rows = described(docs.drop("_weight", "_probability", "_kept")).join(cells, ["_source", "_lang", "_topic"], "left").fillna(0.0, ["_weight", "_probability"])
@@ -199,7 +187,7 @@ def mixed(docs: DataFrame, share: float = SHARE, powers: dict | None = None, bou
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    r = mixed(docs, bounded=False)  # as its SQL
+    r = mixed(docs)
     return r.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"),
@@ -209,7 +197,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(share: float = SHARE, powers: dict | None = None, rounds: int = ROUNDS) -> str:
     powers = powers or POWERS
     out = [
-        r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+        r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 t AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n,
   CASE WHEN (length(text) - length(replace(text, '|', ''))) * 200 >= greatest(length(text), 1) THEN 'lists'
     WHEN (length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) * 60 >= greatest(length(text), 1) THEN 'figures'
@@ -225,11 +213,20 @@ c AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS m FROM t GROUP BY AL
         for k, goal in (("source", "gs"), ("lang", "gl"), ("topic", "gt"))[: 3 if i < rounds else 1]:
             step += 1
             out.append(f"r{step} AS MATERIALIZED (SELECT * EXCLUDE w, w * {goal} / sum(w) OVER (PARTITION BY {k}) AS w FROM r{step - 1}),\n")
-    out.append(f"f AS (SELECT *, w / m * (SELECT sum(m) FROM c) AS x FROM r{step}), s0 AS (SELECT {share}::DOUBLE AS s),\n")
-    for i in range(SCALE_ROUNDS):
-        out.append(f"s{i + 1} AS MATERIALIZED (SELECT ({share} * sum(m) - sum(CASE WHEN x * s >= 1 THEN m ELSE 0 END)) / sum(CASE WHEN x * s >= 1 THEN 0 ELSE x * m END) AS s FROM f, s{i}),\n")
+    out.append(f"f AS (SELECT *, w / m * (SELECT sum(m) FROM c) AS x FROM r{step}), want AS (SELECT {share} * sum(m) AS v FROM c),\n")
+    for k in powers:  # groups in the order in which they would be kept whole, and the level of the others
+        out.append(
+            f"""t_{k} AS (SELECT {k}, goal, sum(m) AS tokens FROM c JOIN g_{k} USING ({k}) GROUP BY ALL),
+o_{k} AS (SELECT *, tokens / goal AS ends, ((SELECT v FROM want) - (sum(tokens) OVER w - tokens)) / (1 - sum(goal) OVER w + goal) AS level FROM t_{k} WINDOW w AS (ORDER BY tokens / goal, {k})),
+aim_{k} AS (SELECT {k}, least(tokens, goal * coalesce((SELECT arg_min(level, ends) FROM o_{k} WHERE level <= ends), tokens / goal)) AS a_{k} FROM t_{k}),
+"""
+        )
     out.append(
-        f"""p AS (SELECT source, lang, topic, x, least(1.0, x * s) AS p FROM f, s{SCALE_ROUNDS})
+        f"""b AS (SELECT 0 AS step, source, lang, topic, m, x, a_source, a_lang, a_topic, 1.0::DOUBLE AS u FROM f JOIN aim_source USING (source) JOIN aim_lang USING (lang) JOIN aim_topic USING (topic)
+UNION ALL SELECT step + 1, source, lang, topic, m, x, a_source, a_lang, a_topic, u * least(10, greatest(0.1, CASE WHEN rest > 0 AND aim > done THEN (aim - done) / rest ELSE aim / (done + rest) END))
+  FROM (SELECT *, CASE step % 3 WHEN 0 THEN a_source WHEN 1 THEN a_lang ELSE a_topic END AS aim, sum(CASE WHEN u >= 1 THEN m ELSE 0 END) OVER g AS done, sum(CASE WHEN u >= 1 THEN 0 ELSE u * m END) OVER g AS rest
+    FROM b WHERE step < {SQL_STEPS} WINDOW g AS (PARTITION BY CASE step % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END))),
+p AS (SELECT source, lang, topic, x, least(1.0, u) AS p FROM b WHERE step = {SQL_STEPS})
 SELECT doc_id, source, lang, topic, n AS n_tokens, coalesce(round(x, 6), 0) AS weight, coalesce(round(p, 6), 0) AS probability,
   CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p, 0) AS kept
 FROM t LEFT JOIN p USING (source, lang, topic)"""
