@@ -1,6 +1,7 @@
 """Quality classifier from weak labels.
 
-Eight heuristic labellers each call a text bad (1), good (0) or abstain. Expectation maximisation
+Eight heuristic labellers each call a text bad (1), good (0) or abstain; two of them abstain on texts of fewer
+than ``SHORT`` words, where a share of words says little. Expectation maximisation
 over the counts of vote patterns (at most 3 ** 8 rows, from all documents) estimates the share of
 bad texts and each labeller's chance of calling a bad or good text bad, and so the posterior of
 every pattern. The posteriors are the soft labels of a linear scorer over hashed features: shapes
@@ -37,6 +38,8 @@ REJECT = 0.85
 EM_ROUNDS, STEPS = 100, 300
 #: Texts of fewer words than this get abstentions from labellers that need a rate.
 SHORT = 20
+#: Words are looked for again within blocks of this many, since any long text repeats its words.
+BLOCK = 100
 
 _SYMBOLS = re.compile(r"(?:[#$%&*@^~=+<>_-]{3,}|\|)(?!\S)")
 _PLAIN = re.compile(r"\w+[.,;:!?]?")
@@ -61,7 +64,7 @@ def labels(words: list[str], text: str) -> list[int]:
         rate(twice / n, 0.25, 0.05),  # a word after itself
         rate(1 - len(plain) / n, 0.3, 0.1),  # few ordinary words; one after itself isn't
         rate(1 - short / n, 0.88, 0.75) if n >= SHORT else -1,  # few short words
-        rate(1 - len(set(words)) / min(n, 400), 0.6, 0.5) if SHORT <= n <= 400 else -1,  # few different words
+        rate(sum(len(b) - len(set(b)) for b in itertools.batched(words, BLOCK)) / n, 0.5, 0.3) if n >= SHORT else -1,  # few different words
     ]
     return votes
 
@@ -75,7 +78,7 @@ class Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 100_000:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1\1", word.translate(_SHAPE)[:24])
+        shape = re.sub(r"(.)\1+", r"\1\1", word.translate(_SHAPE))
         n = self[word] = zlib.crc32(shape.encode("utf-8", "surrogatepass"))
         return n
 

@@ -297,15 +297,76 @@ def test_label_model_finds_the_rare_class():
     assert quality.fit_label_model({}) == ({}, [], 0.0)
 
 
-def test_scorer_equals_plain_gradient_descent(spark):
-    """The scores of a small table, by loops over documents, with votes, posteriors and weights of its own."""
+def own_votes(t):
+    """Votes of a text by loops over words and characters."""
+    words = t.split()
+    n = len(words)
+    bare = lambda w: w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w
+    plain = [w for k, w in enumerate(words) if (k == 0 or words[k - 1] != w) and all(c.isalnum() or c == "_" for c in bare(w))]
+    noise = sum(1 for w in words if w[-1] == "|" or (len(w) > 2 and all(c in "#$%&*@^~=+<>_-" for c in w[-3:])))
+    marks = sum(w.count("!") // 2 for w in words)  # runs of one word here
+    again = sum(1 for k in range(n) if words[k] in words[k - k % 100 : k])
+    seen = [
+        (sum(1 for w in words if w.upper() == w != w.lower()) / n, 0.25, 0.08),
+        (marks / n, 0.15, 0.02),
+        (noise / n, 0.15, 0.03),
+        (sum(1 for c in t if c == "|") / n, 0.12, 0.02),
+        (sum(1 for k in range(1, n) if words[k] == words[k - 1]) / n, 0.25, 0.05),
+        (1 - len(plain) / n, 0.3, 0.1),
+        (1 - sum(1 for w in plain if len(w) < 4 and w == w.lower() != w.upper()) / n, 0.88, 0.75),
+        (again / n, 0.5, 0.3),
+    ]
+    # 2 bad, 1 good, 0 abstains
+    return "".join("0" if n < 20 and k > 5 else "2" if x > bad else "1" if x < good else "0" for k, (x, bad, good) in enumerate(seen))
+
+
+def own_posteriors(patterns):
+    """EM over documents, one by one."""
+    hit, false, prior = [0.6] * 8, [0.03] * 8, 0.15
+    for _ in range(quality.EM_ROUNDS):
+        p = {}
+        for v in patterns:
+            a, b = prior, 1 - prior
+            for k, c in enumerate(v):
+                a *= {"0": 1, "1": 1 - hit[k], "2": hit[k]}[c]
+                b *= {"0": 1, "1": 1 - false[k], "2": false[k]}[c]
+            p[v] = a / (a + b)
+        prior = min(0.5, max(1e-4, sum(n * p[v] for v, n in patterns.items()) / sum(patterns.values())))
+        share = lambda k, start, of: (start + sum(n * of(v) for v, n in patterns.items() if v[k] == "2")) / (1 + sum(n * of(v) for v, n in patterns.items() if v[k] != "0"))
+        hit, false = [share(k, 0.6, p.get) for k in range(8)], [share(k, 0.03, lambda v: 1 - p[v]) for k in range(8)]
+    return p
+
+
+def own_features(t):
+    words, out = t.split(), Counter()
+
+    def number(w):
+        kind = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+        return zlib.crc32("".join(c for k, c in enumerate(kind) if kind[max(0, k - 2) : k] != [c, c]).encode())
+
+    def mixed(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD % 2**64
+        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+        return (x ^ x >> 33) % quality.BUCKETS
+
+    for k, w in enumerate(words):
+        out[mixed(number(w))] += 1
+        if k:
+            out[mixed((number(words[k - 1]) * 0x9E3779B97F4A7C15 + number(w)) % 2**64)] += 1
+            out[77] += w == words[k - 1]
+    return {k: math.sqrt(n / len(words)) for k, n in out.items() if n}
+
+
+def test_scorer_equals_plain_loops(spark):
+    """The scores of a small table, by votes, posteriors, features and weights of the test's own."""
     docs = [(i, text(i, 40 + i)) for i in range(30)] + [(30 + i, "||| ### %%% LOUD LOUD LOUD !! | | " * 9) for i in range(8)]
+    docs += [(38, "x" * 40 + "-" + "Y" * 40 + " one two " + text(5, 30)), (39, text(7, 900)), (40, "few words, no more")]
     df = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
     got = {r.doc_id: r._score for r in quality.score(df, quality.train(df)).collect()}
-    pats = Counter("".join(str(v + 1) for v in quality.labels(t.split(), t)) for _, t in docs)
-    posterior = quality.fit_label_model(pats)[0]
-    feats = {i: dict(zip(*(x.tolist() for x in quality.features(t.split())), strict=True)) for i, t in docs}
-    y = {i: posterior["".join(str(v + 1) for v in quality.labels(t.split(), t))] for i, t in docs}
+    pats = {i: own_votes(t) for i, t in docs}
+    posterior = own_posteriors(Counter(pats.values()))
+    feats = {i: own_features(t) for i, t in docs}
+    y = {i: posterior[pats[i]] for i in pats}
     w, bias, m, s = Counter(), 0.0, Counter(), Counter()
     squash = lambda i: 1 / (1 + math.exp(-sum(v * w[k] for k, v in feats[i].items()) - bias))
     for t in range(1, quality.STEPS + 1):
