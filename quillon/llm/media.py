@@ -266,8 +266,15 @@ def examined(places: DataFrame) -> DataFrame:
 
 
 def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
-    """One row for each media item of ``seqs`` (items): its other columns, pos, caption, digest and the columns of ``media`` by digest."""
-    refs = seqs.withColumn("item", F.explode("items")).filter("item.kind = 'media'").select(*[c for c in seqs.columns if c != "items"], F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
+    """One row for each media item of ``seqs`` (items): its other columns, pos, caption, digest and the columns of ``media`` by digest.
+
+    Columns of ``seqs`` that have one of these names, in any case of letters, are replaced.
+    """
+    made = {"items", "pos", "caption", "digest", *map(str.lower, media.columns)}
+    own = [c for c in seqs.columns if c.lower() not in made]
+    # the page's columns stay in a struct until items are taken apart, so that no name of theirs is in the way
+    each = seqs.select(F.struct(F.lit(0).alias("items"), *[F.col(f"`{c}`") for c in own]).alias("page"), F.explode("items").alias("item")).filter("item.kind = 'media'")
+    refs = each.select(*[F.col(f"page.`{c}`") for c in own], *[F.col(f"item.{c}") for c in ("pos", "caption", "digest")])
     return refs.join(media, "digest", "left")
 
 

@@ -130,6 +130,14 @@ def test_sequences_resolve_by_digest(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(1, 1, "k", None, 9), (1, 2, "gone", None, None), (3, 0, "k", "c", 9), (3, 0, "k", "c", 9)], key=repr)
 
 
+def test_resolve_replaces_columns_of_its_names(spark):
+    pages = spark.createDataFrame([(1, '<p>a</p><img src="media:k" alt="c">', 5, "x", "y", 3, "z", "w")], "page_id long, html string, Pos int, digest string, caption string, SIZE int, item string, page string")
+    known = spark.createDataFrame([("k", 9)], "digest string, size int")
+    got = media.resolve(media.sequences(pages), known)
+    assert got.columns == ["digest", "page_id", "item", "page", "pos", "caption", "size"]
+    assert [tuple(r) for r in got.collect()] == [("k", 1, "z", "w", 1, "c", 9)]
+
+
 def test_media_query(spark, tmp_path):
     import hashlib
 
