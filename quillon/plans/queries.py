@@ -98,29 +98,24 @@ def q06(spark, sf):
     return targets.ranked(rows, 12, ["file"]).select("file", "breadth_rank", "word")
 
 
-SUPPLEMENT_GROUPS = [("s", 1, "Душ", "душ,душа"), ("s", 2, "кран", "кран"), ("s", 3, "душ", "душ"), ("s", 4, "Ёмкость", "ёмкость")]
-SUPPLEMENT_DEPTH = [("s", 1, "душ", "душем"), ("s", 2, "ДУШ", "душу;душе"), ("s", 3, "емкость", "емкости")]
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else "NULL" if v is None else str(v) for v in r) + ")" for r in rows)
-
-
 @query(
     "q07_supplemental_forms",
-    f"""WITH g AS (SELECT * FROM (VALUES {_values(SUPPLEMENT_GROUPS)}) t(scope, row_ix, word, forms)),
-d AS (SELECT * FROM (VALUES {_values(SUPPLEMENT_DEPTH)}) t(scope, row_ix, word, forms)),
-fg AS (SELECT *, replace(lower(word), 'ё', 'е') AS key FROM g), f1 AS (SELECT * FROM fg QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_ix) = 1),
-ld AS (SELECT replace(lower(word), 'ё', 'е') AS key, arg_max(forms, row_ix) AS more FROM d GROUP BY 1)
-SELECT CAST(row_number() OVER (ORDER BY row_ix) AS INTEGER) AS breadth_rank, word,
-  array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_split_to_array(forms, '[,;]'), CASE WHEN more IS NULL THEN [] ELSE regexp_split_to_array(more, '[,;]') END), lambda x: replace(lower(x), 'ё', 'е')))), ',') AS forms
-FROM f1 LEFT JOIN ld USING (key)""",
+    f"""WITH t AS (SELECT conv_id AS scope, role, turn, regexp_extract_all({NORM.format('text')}, '{TOKEN}', 1) AS w FROM conversations),
+r AS (SELECT scope, role, turn * 1000000 + i AS row_ix, w[i] AS word, coalesce(w[i + 1], '') AS next FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+g AS (SELECT scope, word, min(row_ix) AS k FROM r WHERE role = 'user' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY k) AS breadth_rank FROM g),
+d AS (SELECT scope, word, arg_max(next, row_ix) AS more FROM r WHERE role = 'assistant' GROUP BY ALL)
+SELECT scope, CAST(breadth_rank AS INTEGER) AS breadth_rank, word, array_to_string(list_sort(list_distinct(list_filter([word, more], lambda x: x <> ''))), ',') AS forms FROM p LEFT JOIN d USING (scope, word) WHERE breadth_rank <= 150""",
 )
 def q07(spark, sf):
-    g = spark.createDataFrame(SUPPLEMENT_GROUPS, "scope string, row_ix int, word string, forms string").withColumn("forms", T.split_forms("forms"))
-    d = spark.createDataFrame(SUPPLEMENT_DEPTH, "scope string, row_ix int, word string, forms string").withColumn("forms", T.split_forms("forms"))
+    """A user's words are the groups of a conversation; the word after each word of the answers is its further form."""
+    words = T.tokens(T.normalize("text"))
+    rows = storage.spread(load(spark, sf, "conversations")).select(F.col("conv_id").alias("scope"), "role", "turn", words.alias("w"))
+    pairs = F.transform("w", lambda x, i: F.struct((i + 1).alias("at"), x.alias("word"), F.get("w", i + 1).alias("next")))
+    rows = rows.select("scope", "role", "turn", F.inline(pairs)).withColumn("row_ix", F.col("turn") * 1000000 + F.col("at"))
+    g = rows.filter("role = 'user'").select("scope", "row_ix", "word", F.array("word").alias("forms"))
+    d = rows.filter("role = 'assistant'").select("scope", "row_ix", "word", F.array_compact(F.array("next")).alias("forms"))
     out = targets.supplemented(targets.ranked(g, 150, ["scope"]), d, ["scope"])
-    return out.select("breadth_rank", "word", F.array_join("forms", ",").alias("forms"))
+    return out.select("scope", "breadth_rank", "word", F.array_join("forms", ",").alias("forms"))
 
 
 @query("q08_group_status", f"{BASE} SELECT pair_id, breadth_rank, word, median, before, after, status, greatest(0.0, median - after) AS free FROM st")
@@ -281,31 +276,43 @@ def q23(spark, sf):
     return _summary(spark, sf).select("pair_id", "failed")
 
 
-NUMBERS = ["1,5", " 7 ", "", "1 234", "12d", "1_000", "-3.50", "1e3", "abc", "0", None]
 NUMBER_RE = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-_VALUES = f"v AS (SELECT * FROM (VALUES {_values([(k, v) for k, v in enumerate(NUMBERS)])}) t(id, x)), p AS (SELECT id, x, replace(trim(coalesce(x, '')), ',', '.') AS t FROM v), n AS (SELECT id, x, CASE WHEN regexp_matches(t, '{NUMBER_RE}') THEN TRY_CAST(replace(t, '_', '') AS DOUBLE) END AS n FROM p)"
+
+#: Cells of a table as people write them, made of the columns of an order: numbers, near numbers, words, blanks, nulls.
+CELLS = """CASE o_orderkey % 11
+  WHEN 0 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS STRING), '.', ',')
+  WHEN 1 THEN concat('  ', CAST(o_custkey AS STRING), ' ')
+  WHEN 2 THEN ''
+  WHEN 3 THEN concat('1 ', CAST(o_custkey AS STRING))
+  WHEN 4 THEN concat(CAST(o_custkey AS STRING), 'd')
+  WHEN 5 THEN concat('1_', CAST(o_custkey AS STRING))
+  WHEN 6 THEN concat('-', CAST(o_custkey AS STRING), '.50')
+  WHEN 7 THEN concat(CAST(o_custkey % 100 AS STRING), 'e3')
+  WHEN 8 THEN concat(' ', o_orderpriority, '  ', o_orderstatus)
+  WHEN 9 THEN concat(CAST(o_custkey AS STRING), '.0')
+END"""
+_CELLS = f"v AS (SELECT o_orderkey AS id, {CELLS} AS x FROM orders), p AS (SELECT id, x, replace(trim(coalesce(x, '')), ',', '.') AS t FROM v), n AS (SELECT id, x, CASE WHEN regexp_matches(t, '{NUMBER_RE}') THEN TRY_CAST(replace(t, '_', '') AS DOUBLE) END AS n FROM p)"
 
 
-def _numbers(spark):
-    return spark.createDataFrame(list(enumerate(NUMBERS)), "id int, x string")
+def _cells(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(CELLS).alias("x"))
 
 
-@query("q24_numeric_parse", f"WITH {_VALUES} SELECT id, n AS number FROM n")
+@query("q24_numeric_parse", f"WITH {_CELLS} SELECT id, n AS number FROM n")
 def q24(spark, sf):
-    return _numbers(spark).select("id", T.number("x").alias("number"))
+    return _cells(spark, sf).select("id", T.number("x").alias("number"))
 
 
-@query("q25_relation_key", f"WITH {_VALUES} SELECT id, CASE WHEN n IS NULL THEN trim(regexp_replace(lower(coalesce(x, '')), '\\s+', ' ', 'g')) WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE CAST(n AS VARCHAR) END AS key FROM n")
+@query("q25_relation_key", f"WITH {_CELLS} SELECT id, CASE WHEN n IS NULL THEN trim(regexp_replace(lower(coalesce(x, '')), '\\s+', ' ', 'g')) WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE CAST(n AS VARCHAR) END AS key FROM n")
 def q25(spark, sf):
-    return _numbers(spark).select("id", T.relation_key("x").alias("key"))
+    return _cells(spark, sf).select("id", T.relation_key("x").alias("key"))
 
 
-FORM_LISTS = [(1, "a, b;;c\r\n d"), (2, ""), (3, " , ;"), (4, "one"), (5, None)]
-
-
-@query("q26_split_forms", f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(x, ''), '[,;\\r\\n]+'), lambda t: trim(t)), lambda t: t <> ''), '|') AS forms FROM (VALUES {_values(FORM_LISTS)[:-len(', (5, NULL)')]}, (5, NULL)) t(id, x)")
+@query("q26_split_forms", "SELECT doc_id AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[,;\\r\\n]+'), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), lambda t: t <> ''), '|') AS forms FROM documents")
 def q26(spark, sf):
-    return spark.createDataFrame(FORM_LISTS, "id int, x string").select("id", F.array_join(T.split_forms("x"), "|").alias("forms"))
+    """Every whole text as a list of forms."""
+    d = storage.spread(load(spark, sf, "documents"))
+    return d.select(F.col("doc_id").alias("id"), F.array_join(T.split_forms("text"), "|").alias("forms"))
 
 
 HEADERS = ("Слова", "Медиана (по топ-10)", " Связь  слов\nС ДРУГИМ листом", "медиана", "слово")
@@ -423,18 +430,18 @@ def q38(spark, sf):
     return content.class_mix(load(spark, sf, "conversations"), ["conv_id"], "role", ["user", "assistant"])
 
 
-SCORES = [(c, k, (i * 7 + k * 3) % 6, k in (2, 5)) for i, c in enumerate("abcde") for k in range(9)]
-
-
 @query(
     "q39_concept_scoring",
-    f"""WITH s AS (SELECT * FROM (VALUES {_values([(c, k, v, int(b)) for c, k, v, b in SCORES])}) t(concept, criterion, score, is_stop)),
-t AS (SELECT concept, CAST(sum(score) AS BIGINT) AS total, bool_or(is_stop = 1 AND score = 0) AS stopped, count(DISTINCT criterion) AS criteria FROM s GROUP BY 1),
+    """WITH s AS (SELECT l_suppkey AS concept, l_partkey % 9 AS criterion, CAST(max(CAST(l_quantity AS BIGINT) * l_linenumber % 6) AS INTEGER) AS score FROM lineitem GROUP BY ALL),
+t AS (SELECT concept, CAST(sum(score) AS BIGINT) AS total, bool_or(criterion IN (2, 5) AND score = 0) AS stopped, count(*) AS criteria FROM s GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY stopped ORDER BY total DESC, concept) AS p FROM t)
 SELECT concept, total, stopped, criteria, CASE WHEN stopped OR p > 3 THEN 'out' WHEN p = 1 THEN 'main' ELSE 'reserve' END AS role, criteria = 9 AS complete FROM r""",
 )
 def q39(spark, sf):
-    return content.concept_scores(spark.createDataFrame(SCORES, "concept string, criterion int, score int, is_stop boolean"))
+    """Suppliers as concepts, scored by their lines for parts of nine kinds."""
+    score = (F.col("l_quantity").cast("long") * F.col("l_linenumber") % 6).cast("int")
+    s = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("concept"), (F.col("l_partkey") % 9).alias("criterion")).agg(F.max(score).alias("score"))
+    return content.concept_scores(s.withColumn("is_stop", F.col("criterion").isin(2, 5)))
 
 
 @query("q40_request_cache_window", "SELECT event_id, coalesce(ts <= lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) + INTERVAL 15 MINUTE, false) AS reused FROM events")

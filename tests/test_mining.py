@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import content, similar, statistics
+from quillon.operators import content, similar, statistics, targets
 from quillon.sinks import committed
 
 
@@ -93,3 +93,19 @@ def test_a_report_is_whole_or_absent(spark, tmp_path):
     committed.write(lines.filter("pair_id = 1"), codes.filter("code = 0"), path)
     assert committed.read(spark, path)[1] == 0 and committed.read(spark, path)[0].count() == lines.filter("pair_id = 1").count()
     assert len(list((tmp_path / "report" / "parts").iterdir())) <= len(json.loads((tmp_path / "report" / "report.json").read_text())["parts"]) + 8
+
+
+def test_groups_take_in_the_forms_of_their_last_depth_row(spark):
+    s = "scope string, row_ix int, word string, forms array<string>"
+    g = [("s", 1, "Душ", ["душ", "душа"]), ("s", 2, "кран", ["кран"]), ("s", 3, "душ", ["душ"]), ("s", 4, "Ёмкость", ["ёмкость"])]
+    d = [("s", 1, "душ", ["душем"]), ("s", 2, "ДУШ", ["душу", "душе"]), ("s", 3, "емкость", ["емкости"])]
+    out = targets.supplemented(targets.ranked(spark.createDataFrame(g, s), 150, ["scope"]), spark.createDataFrame(d, s), ["scope"])
+    got = {r.breadth_rank: (r.word, r.forms) for r in out.collect()}
+    assert got == {1: ("Душ", ["душ", "душа", "душе", "душу"]), 2: ("кран", ["кран"]), 3: ("Ёмкость", ["емкости", "емкость"])}
+
+
+def test_a_stop_criterion_at_zero_puts_a_concept_out(spark):
+    scores = {"a": [5] * 9, "b": [5, 5, 0, 5, 5, 5, 5, 5, 5], "c": [4] * 9, "d": [3] * 8, "e": [1] * 9, "f": [0, 3, 1, 0, 3, 1, 3, 3, 3]}
+    rows = [(c, k, v, k == 2) for c, vs in scores.items() for k, v in enumerate(vs)]
+    got = {r.concept: (r.total, r.stopped, r.role, r.complete) for r in content.concept_scores(spark.createDataFrame(rows, "concept string, criterion int, score int, is_stop boolean")).collect()}
+    assert got == {"a": (45, False, "main", True), "b": (40, True, "out", True), "c": (36, False, "reserve", True), "d": (24, False, "reserve", False), "e": (9, False, "out", True), "f": (17, False, "out", True)}

@@ -27,18 +27,30 @@ CASES = [
     (T.number, "inf", None),
     (T.number, "1e400", None),
     (T.number, "-.5", -0.5),
+    (T.number, "-3.50", -3.5),
+    (T.number, "1e3", 1000.0),
+    (T.number, "abc", None),
+    (T.number, "0", 0.0),
+    (T.number, None, None),
     (T.relation_key, "3", "3"),
     (T.relation_key, "3.0", "3"),
     (T.relation_key, "3,0", "3"),
     (T.relation_key, "A  b", "a b"),
     (T.relation_key, "", ""),
     (T.relation_key, "1,5", "1.5"),
+    (T.relation_key, " 7 ", "7"),
+    (T.relation_key, "1_000", "1000"),
+    (T.relation_key, "12d", "12d"),
+    (T.relation_key, None, ""),
     (T.column_ordinal, "A1", 0),
     (T.column_ordinal, "Z9", 25),
     (T.column_ordinal, "AA10", 26),
     (T.column_ordinal, "10", 0),
     (T.split_forms, "a, b;;c\r\n d", ["a", "b", "c", "d"]),
     (T.split_forms, None, []),
+    (T.split_forms, "", []),
+    (T.split_forms, " , ;", []),
+    (T.split_forms, "one", ["one"]),
     (T.tokens, "-abc abc- a--b x_1", ["abc", "abc", "a--b", "x_1"]),
     (T.fact_tokens, "12,5 см и 50%", ["%", "12", "5", "50"]),
     (T.fact_tokens, "IP67-a ё5", ["5", "ip67-a"]),
