@@ -114,22 +114,23 @@ def _bounded(rows: DataFrame, base: str, langs: dict, topics: dict, source_goal,
 
     sums = []
 
-    def miss(aims_of, k) -> dict:
-        """By group of kind ``k`` the error of its tokens and the factor that would mend it."""
+    def miss(aims_of, k, by=lambda r: 1.0) -> dict:
+        """By group of kind ``k`` the error of its tokens and the factor that would mend it, once ``by`` has scaled the cells."""
         out = {}
         for g, aim in aims_of.items():
-            full, rest = (sum(r[x] for r in sums if r[k] == g) for x in ("full", "rest"))
+            full, rest = sum(r.full for r in sums if r[k] == g), sum(r.rest * by(r) for r in sums if r[k] == g)
             mend = (aim - full) / rest if rest > 0 and aim > full else aim / (full + rest)
             out[g] = abs(full + rest - aim) / aim, min(10.0, max(0.1, mend))
         return out
 
-    for r in range(2 * BOUNDED_ROUNDS):
+    for _ in range(BOUNDED_ROUNDS):
         cut = F.col("u") >= 1
         sums = factored().groupBy("_lang", "_topic").agg(F.sum(F.when(cut, F.col("m")).otherwise(0)).alias("full"), F.sum(F.when(cut, 0.0).otherwise(F.col("u") * F.col("m"))).alias("rest")).collect()
         by_lang, by_topic = miss(langs, "_lang"), miss(topics, "_topic")
         if max(x for x, _ in (*by_lang.values(), *by_topic.values())) < BOUNDED_ERROR:
             break
-        for factors, found in ((e, by_lang), (f, by_topic))[r % 2 : r % 2 + 1]:
+        by_topic = miss(topics, "_topic", lambda r: by_lang[r._lang][1])
+        for factors, found in ((e, by_lang), (f, by_topic)):
             for g, (_, mend) in found.items():
                 factors[g] = min(1e100, max(1e-100, factors[g] * mend))
     return factored().select("_source", "_lang", "_topic", F.least(F.lit(1.0), F.col("u")).alias("_probability"))
