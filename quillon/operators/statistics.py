@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon import storage
 from quillon.functions import text as T
 
 
@@ -39,11 +40,13 @@ def collocations(rows: DataFrame, corpus: str, text: str, k: int = 50, least: in
     ``least`` uses or below ``score`` (one chance in a thousand) don't count, nor do those with a function word or a number. The first
     ``k`` by the number of texts, not of uses, are kept.
     """
-    t = rows.select(F.col(corpus).alias("corpus"), T.tokens(T.normalize(text)).alias("t"), F.monotonically_increasing_id().alias("row"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 2, F.lit(0))), lambda i: F.struct(F.get("t", i).alias("x"), F.get("t", i + 1).alias("y")))
-    # one row for each phrase of a text, so that a text counts once
-    own = t.select("corpus", "row", F.explode(F.filter(pairs, lambda p: p.y.isNotNull())).alias("p")).groupBy("corpus", "row", "p").agg(F.count(F.lit(1)).alias("n"))
-    n = own.groupBy("corpus", "p.x", "p.y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    t = rows.select(F.col(corpus).alias("corpus"), T.tokens(T.normalize(text)).alias("t")).filter(F.size("t") > 1)
+    # tokens hold no space; equal phrases of a text stand side by side, the first of them counts the text, so no row needs its text's number
+    phrases = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat(F.get("t", i), F.lit(" "), F.get("t", i + 1)))
+    t = t.select("corpus", F.sort_array(phrases).alias("p"))
+    each = F.transform("p", lambda x, i: F.struct(x.alias("theme"), F.when((i > 0) & (F.get("p", i - 1) == x), 0).otherwise(1).alias("new")))
+    n = t.select("corpus", F.inline(each)).groupBy("corpus", "theme").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("docs"))
+    n = storage.stored(n, "phrases").withColumns({"x": F.substring_index("theme", " ", 1), "y": F.substring_index("theme", " ", -1)})
     first = n.groupBy("corpus", "x").agg(F.sum("n").alias("nx"))
     second = n.groupBy("corpus", "y").agg(F.sum("n").alias("ny"))
     total = n.groupBy("corpus").agg(F.sum("n").alias("all"))
@@ -52,7 +55,7 @@ def collocations(rows: DataFrame, corpus: str, text: str, k: int = 50, least: in
     a, nx, ny, all_ = (F.col(c).cast("double") for c in ("n", "nx", "ny", "all"))
     cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     llr = 2 * (cell(a, nx * ny / all_) + cell(nx - a, nx * (all_ - ny) / all_) + cell(ny - a, (all_ - nx) * ny / all_) + cell(all_ - nx - ny + a, (all_ - nx) * (all_ - ny) / all_))
-    scored = kept.select("corpus", F.concat_ws(" ", "x", "y").alias("theme"), "n", "docs", F.round(llr, 2).alias("llr"), (a > nx * ny / all_).alias("more")).filter((F.col("llr") >= score) & F.col("more")).drop("more")
+    scored = kept.select("corpus", "theme", "n", "docs", F.round(llr, 2).alias("llr"), (a > nx * ny / all_).alias("more")).filter((F.col("llr") >= score) & F.col("more")).drop("more")
     place = F.row_number().over(W.partitionBy("corpus").orderBy(F.desc("docs"), F.desc("n"), F.asc("theme"))).cast("long")
     return scored.withColumn("place", place).filter(F.col("place") <= k).withColumnRenamed("corpus", corpus)
 

@@ -20,6 +20,14 @@ def test_close_pairs_are_all_pairs_within_the_distance(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
+def test_fingerprints_are_never_broadcast_with_their_choices(spark, tmp_path):
+    """A table of fingerprints below the limit of broadcasts is twenty times as many rows once each has its choices."""
+    path = f"{tmp_path}/prints"
+    spark.range(1000).select(F.xxhash64("id").alias("fingerprint")).write.parquet(path)
+    plan = similar.close_pairs(spark.read.parquet(path))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_duplicates_of_reviews(spark):
     words = [f"w{k}" for k in range(6000)]
     text = " ".join(words)
@@ -57,6 +65,13 @@ def test_collocations_beat_chance(spark):
     assert top["new york"] == (30, 30) and top["york new"] == (30, 30) and not any("5" in t or "и" in t.split() for t in top) and all(r.corpus == "x" for r in got)
 
 
+def test_phrases_are_counted_once_and_stored(spark):
+    """No step after the count reads or shuffles texts again."""
+    out = statistics.collocations(spark.createDataFrame([("x", "a b a b a-b c " * 9), ("x", "a b")], "corpus string, text string"), "corpus", "text", score=-1e9)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().toString()
+    assert {r.theme: (r.n, r.docs) for r in out.collect()}["a b"] == (19, 2)
+
+
 def test_intervals_hold_what_differs(spark):
     """A feature of the strong rows alone stands out, one that is equally frequent doesn't, a rare one is flagged."""
     rng = np.random.default_rng(1)
