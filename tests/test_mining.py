@@ -48,6 +48,18 @@ def test_peers_against_all_pairs(spark):
     assert got == {a[0]: sum(bool(near(a, b)) for b in rows) for a in rows}
 
 
+def test_peers_of_a_hot_cell_are_counted_and_not_paired(spark):
+    """All rows in one cell, over several ranges of a sweep and many blocks; rows that share a key aren't peers of each other."""
+    day = datetime(2024, 1, 1)
+    df = spark.range(6000).select(F.when(F.col("id") < 2, 0).otherwise(F.col("id")).alias("k"), F.lit("a").alias("g"), F.lit(day).alias("ts"), (1000 + F.col("id") * 0.5).alias("size"))
+    out = statistics.peers(df, "k", ["g"], "ts", "size")
+    assert "_size_left" not in out._jdf.queryExecution().toString()
+    sizes = [1000 + k * 0.5 for k in range(6000)]
+    upto = lambda s: min(int((2 * s - 1000) * 2) + 1, 6000) - max(int(-(-(s / 2 - 1000) * 2 // 1)), 0)
+    got = {r.k: r.peers for r in out.collect()}
+    assert all(got[k] == upto(sizes[k]) - 1 for k in range(2, 6000)) and got[0] == upto(sizes[0]) + upto(sizes[1]) - 4
+
+
 def test_paths_and_steps_out_of_order(spark):
     t = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
     rows = [("a", "x", t(0), 1), ("a", "y", t(5), 2), ("a", "z", t(9), 3), ("b", "y", t(0), 4), ("b", "x", t(1), 5), ("b", "y", t(4), 6), ("c", "z", t(0), 7), ("c", "y", t(1), 8), ("d", "x", t(3), 9), ("d", "y", t(3), 10), ("e", "q", t(0), 11), (None, "x", t(0), 12)]
