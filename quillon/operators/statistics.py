@@ -10,29 +10,88 @@ from quillon import storage
 from quillon.functions import text as T
 
 
+#: Rows of a sweep that are compared with each other at a time.
+BLOCK = 1024
+
+
 def peers(rows: DataFrame, key: str, by: list[str], ts: str, audience: str, ratio: float = 2.0, days: int = 30) -> DataFrame:
     """(key, peers): how many other rows of the same ``by`` have an audience within ``ratio`` and lie within ``days`` days.
 
-    A band join: audiences fall into cells of one ratio, dates into cells of ``days``, a row looks into its
-    own cell and the eight around it, and each pair is compared once. Rows without a positive audience, a date or a key have none.
-    The work grows with the pairs compared; a hot cell is a skewed join, which adaptive execution splits.
+    Nothing is paired: the peers of a row are the rows of audiences up to the upper bound less those below the lower one, each
+    within the days, and both are counted by a sweep in the order of audience. A sweep holds how many rows
+    it has passed by day; it is cut into ranges of equal size, and a range begins with the sums by day of those before it, so
+    no task has a whole group. Rows alike in all three are one with a weight. Rows without a positive audience, a date,
+    a key or one of ``by`` have none. A ``ratio`` below 1 fits nothing.
     """
     day = F.unix_date(F.col(ts).cast("date"))
-    size = F.col(audience).cast("double")
-    r = rows.select(F.col(key).alias("_key"), *by, day.alias("_day"), size.alias("_size")).filter("_size > 0 and _day is not null and _key is not null")
-    r = r.withColumns({"_a": F.floor(F.log(float(ratio), "_size")), "_p": F.floor(F.col("_day") / days)})
-    around = F.array(*[F.struct((F.col("_a") + i).alias("_a"), (F.col("_p") + j).alias("_p")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = r.select(F.col("_key").alias("_left"), *by, F.col("_day").alias("_day_left"), F.col("_size").alias("_size_left"), F.inline(around))
-    # the earlier key asks, both sides of a pair count
-    near = (F.col("_left") < F.col("_key")) & (F.abs(F.col("_day_left") - F.col("_day")) <= days)
-    near = near & (F.col("_size_left") <= F.col("_size") * ratio) & (F.col("_size") <= F.col("_size_left") * ratio)
-    pairs = left.join(r, [*by, "_a", "_p"]).filter(near)
-    n = F.count(F.lit(1)).alias("n")
-    both = pairs.groupBy(F.col("_left").alias("_key")).agg(n).unionByName(pairs.groupBy("_key").agg(n))
-    found = both.groupBy("_key").agg(F.sum("n").alias("peers"))
+    r = rows.select(F.col(key).alias("_key"), *by, day.alias("_day"), F.col(audience).cast("double").alias("_size")).filter("_size > 0 and _day is not null").dropna(subset=["_key", *by])
+    base = storage.shared_dir(rows.sparkSession)
+    same = [*by, "_day", "_size"]
+    points = r.groupBy(*same).agg(F.count(F.lit(1)).alias("_w")).withColumn("_id", F.monotonically_increasing_id())
+    points = storage.stored(points, "points", base)
+    n = _within(points, by, ratio, days, base) if ratio >= 1 else points.select("_id", F.col("_w").alias("_n"))
+    near = r.join(points.join(n, "_id").select(*same, "_n"), same).select("_key", "_n", "_day", "_size", *by)
+    # a row counts itself, and the rows that have its key
+    found = near.groupBy("_key").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    several = near.join(found.filter("_rows > 1").select("_key"), "_key", "left_semi")
+    x, y = several.alias("x"), several.alias("y")
+    alike = (F.col("x._key") == F.col("y._key")) & (F.abs(F.col("x._day") - F.col("y._day")) <= days) & (F.col("x._size") <= F.col("y._size") * ratio) & (F.col("y._size") <= F.col("x._size") * ratio)
+    for c in by:
+        alike = alike & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    own = x.join(y, alike).groupBy(F.col("x._key").alias("_key")).agg(F.count(F.lit(1)).alias("_own"))
+    found = found.join(own, "_key", "left").select("_key", (F.col("_n") - F.coalesce("_own", "_rows")).alias("peers"))
     return rows.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("peers", F.lit(0)).cast("long").alias("peers"))
 
 
+def _within(points: DataFrame, by: list[str], ratio: float, days: int, base: str) -> DataFrame:
+    """(_id, _n): the weight within ``ratio`` and ``days`` of each of the points (by, _day, _size, _w, _id), its own included."""
+    storage.ship(points.sparkSession)
+    size, event = F.col("_size"), lambda at, kind, side, sign: F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(side).alias("_side"), F.lit(sign).alias("_sign"))
+    # below: audiences whose multiple doesn't reach the row's; upto: those that don't exceed the row's multiple
+    events = F.array(event(size, 0, "below", -1), event(size * ratio, 1, "below", 0), event(size, 1, "upto", 0), event(size * ratio, 2, "upto", 1))
+    every = points.select(*by, "_day", "_w", "_id", F.inline(events)).select(F.to_json(F.struct(*by, "_side")).alias("_g"), "_at", "_kind", "_sign", "_day", "_w", "_id")
+    order = ["_g", "_at", "_kind"]
+    swept = storage.stored(every.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "swept", base)
+    heads = swept.groupBy("_part").agg(F.min("_g").alias("_g"))
+    sums = swept.filter("_sign = 0").groupBy("_g", "_part", "_day").agg(F.sum("_w").alias("_w"))
+    before = heads.alias("h").join(sums.alias("s"), (F.col("h._g") == F.col("s._g")) & (F.col("s._part") < F.col("h._part"))).groupBy("h._part", "h._g", "s._day").agg(F.sum("s._w").alias("_w"))
+    before = before.select("_g", F.lit(float("-inf")).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).alias("_sign"), "_day", "_w", F.lit(None).cast("long").alias("_id"), "_part")
+    low, high = points.agg(F.min("_day"), F.max("_day")).first()
+    if low is None:
+        return points.select("_id", F.col("_w").alias("_n"))
+    both = swept.unionByName(before).repartition("_part").sortWithinPartitions("_part", *order)
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        group, passed = None, None
+        for batch in batches:
+            names = [(p, g) for p, g in zip(batch.column("_part").to_pylist(), batch.column("_g").to_pylist(), strict=True)]
+            day, weight, sign = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_day", "_w", "_sign"))
+            cuts = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+            out = np.zeros(len(names), np.int64)
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if start == stop:
+                    continue
+                if names[start] != group:
+                    group, passed = names[start], np.zeros(high - low + 1, np.int64)
+                for lo in range(start, stop, BLOCK):
+                    k = slice(lo, min(lo + BLOCK, stop))
+                    d, w, s = day[k], weight[k], sign[k]
+                    asks, has = np.flatnonzero(s), np.flatnonzero(s == 0)
+                    upto = np.concatenate([[0], np.cumsum(passed)])
+                    at = d[asks].astype(np.int64) - low
+                    n = upto[np.minimum(at + days + 1, len(passed))] - upto[np.maximum(at - days, 0)]
+                    close = (np.abs(d[asks][:, None] - d[has][None, :]) <= days) & (has[None, :] < asks[:, None])
+                    out[lo + asks] = s[asks] * (n + close @ w[has])
+                    np.add.at(passed, d[has] - low, w[has])
+            asked = pa.array(sign != 0)
+            yield pa.RecordBatch.from_arrays([batch.column("_id").filter(asked), pa.array(out).filter(asked)], names=["_id", "_n"])
+
+    return both.mapInArrow(work, "_id long, _n long").groupBy("_id").agg(F.sum("_n").alias("_n"))
+
+
 def collocations(rows: DataFrame, corpus: str, text: str, k: int = 50, least: int = 5, score: float = 10.83) -> DataFrame:
     """(corpus, theme, n, docs, llr, place): phrases of two neighbouring tokens that occur together more than chance has it.
 
