@@ -9,6 +9,7 @@ stateful operator of a stream; ``late`` in the query's progress counts them.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from quillon import storage
 #: What the last request that counts is: the one that opened the window, or the one before.
 ANCHORS = ("first", "sliding")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A request in the state, and how many of them are one value of it.
+REQUEST = np.dtype([("us", "<i8"), ("id", "<i8"), ("null", "?")])
+PACK = 10_000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -34,41 +38,66 @@ def processor(minutes: int, anchor: str) -> StatefulProcessor:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.last = handle.getValueState("last", "us long")
-            self.pending = handle.getListState("pending", "us long, id long")
+            self.pending = handle.getListState("pending", "first long, rows binary")
+
+        def _put(self, rows: np.ndarray) -> None:
+            """Requests (us, id), packed: a call for each row would cost more than all else."""
+            for k in range(0, len(rows), PACK):
+                part = rows[k : k + PACK]
+                self.pending.appendValue((int(part["us"].min()), part.tobytes()))
 
         def handleInputRows(self, key, rows, timerValues):
+            first = None
             for pdf in rows:  # columns by place: the runner doesn't pass their names
-                for us, row in zip(pdf.iloc[:, -1].tolist(), pdf.iloc[:, -2].tolist(), strict=True):
-                    self.pending.appendValue((us, row))
-            self._wait([us for us, _ in self.pending.get()])
+                part = np.empty(len(pdf), REQUEST)
+                part["us"], part["id"], part["null"] = pdf.iloc[:, -1], pdf.iloc[:, -2].fillna(0), pdf.iloc[:, -2].isna()
+                if len(part):
+                    self._put(part)
+                    low = int(part["us"].min())
+                    first = low if first is None else min(first, low)
+            if first is not None:
+                self._wait(first)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # rows up to here are complete: Spark drops what is not after the watermark
             done = timerValues.getCurrentWatermarkInMs() * 1000
-            every = sorted((r[0], r[1]) for r in self.pending.get())
-            ready, rest = [r for r in every if r[0] <= done], [r for r in every if r[0] > done]
+            every = np.concatenate([np.empty(0, REQUEST), *[np.frombuffer(r[1], REQUEST) for r in self.pending.get()]])
+            every.sort(order=["us", "id"])
+            ready, rest = np.split(every, [np.searchsorted(every["us"], done, "right")])
             last = self.last.get()[0] if self.last.exists() else None
-            out = []
-            for us, row in ready:
-                reused = last is not None and us <= last + window
-                if slides or not reused:
-                    last = us
-                out.append((row, reused))
-            self.pending.clear()
-            for r in rest:
-                self.pending.appendValue(r)
-            if last is not None:
+            reused = np.zeros(len(ready), bool)
+            if len(ready):
+                us = ready["us"]
+                if slides:
+                    reused[1:] = us[1:] - us[:-1] <= window
+                    reused[0] = last is not None and us[0] <= last + window
+                    last = int(us[-1])
+                else:
+                    k = 0
+                    while k < len(us):  # from window to window
+                        if last is None or us[k] > last + window:
+                            last, k = int(us[k]), k + 1
+                        stop = int(np.searchsorted(us, last + window, "right"))
+                        reused[k:stop] = True
+                        k = max(k, stop)
                 self.last.update((last,))
-            self._wait([us for us, _ in rest])
-            if out:
-                yield pd.DataFrame({**{f"_k{i}": [k] * len(out) for i, k in enumerate(key)}, "_id": [r for r, _ in out], "reused": [x for _, x in out]})
-
-        def _wait(self, pending: list[int]) -> None:
+            self.pending.clear()
+            self._put(rest)
+            if len(rest):
+                self._wait(int(rest["us"][0]), expired=True)
+            for k in range(0, len(ready), PACK):
+                part = ready[k : k + PACK]
+                yield pd.DataFrame({**{f"_k{i}": [x] * len(part) for i, x in enumerate(key)}, "_id": pd.Series(part["id"]).astype("Int64").mask(part["null"]), "reused": reused[k : k + PACK]})
+
+        def _wait(self, us: int, expired: bool = False) -> None:
+            """A timer at ``us``, unless an earlier one stands; one that has expired is still listed."""
+            at = -(-us // 1000)
             for t in list(self.handle.listTimers()):
+                if t <= at and not expired:
+                    return
                 self.handle.deleteTimer(t)
-            if pending:
-                self.handle.registerTimer(-(-min(pending) // 1000))
+            self.handle.registerTimer(at)
 
         def close(self) -> None:
             pass

@@ -59,3 +59,47 @@ def test_empty_tables_and_wrong_anchors(spark):
     assert reuse.replayed(df, "ts", F.col("ts"), ["k"], "id").collect() == []
     with pytest.raises(ValueError):
         reuse.reused(df, ["k"], "ts", "id", anchor="last")
+
+
+def test_pending_requests_are_packed():
+    """Thousands of requests of a key are a few values of its state, not one each."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.values, self.calls, self.timers = [], 0, set()
+
+        def appendValue(self, v):
+            self.values.append(v)
+            self.calls += 1
+
+        def get(self):
+            return iter(list(self.values)) if self.values else None
+
+        def exists(self):
+            return bool(self.values)
+
+        def update(self, v):
+            self.values = [v]
+
+        def clear(self):
+            self.values = []
+
+    last, pending, timers = State(), State(), set()
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: type("V", (), {"exists": lambda s: bool(last.values), "get": lambda s: last.values[0], "update": lambda s, v: last.update(v)})())
+        getListState = staticmethod(lambda *a: pending)
+        listTimers = staticmethod(lambda: iter(sorted(timers)))
+        deleteTimer = staticmethod(timers.discard)
+        registerTimer = staticmethod(timers.add)
+
+    p = reuse.processor(15, "first")
+    p.init(Handle)
+    us = [k * 60_000_000 for k in range(25_000)]
+    list(p.handleInputRows(("a",), iter([pd.DataFrame({"_k0": "a", "_ts": us, "_id": range(25_000), "_us": us})]), None))
+    assert pending.calls <= 3 and timers == {0}
+    at = type("T", (), {"getCurrentWatermarkInMs": lambda s: 60_000 * 20_000})()
+    out = pd.concat(p.handleExpiredTimer(("a",), at, None))
+    assert out["_id"].tolist() == list(range(20_001)) and out["reused"].tolist() == [k % 16 != 0 for k in range(20_001)]
+    assert timers == {60_000 * 20_001} and pending.calls <= 4
