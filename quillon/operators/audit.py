@@ -51,6 +51,11 @@ def _item_counts(pairs: DataFrame, items: DataFrame, key: str, scope: str, count
     return grid.join(counts, ["pair_id", scope, key], "left").fillna(0, ["before", "after"])
 
 
+def counted_groups(pairs: DataFrame, groups: DataFrame, scope: str = "scope") -> DataFrame:
+    """(pair_id, scope, breadth_rank, before, after) of the groups that occur, stored for several uses."""
+    return storage.stored(_counts(pairs, groups.select(scope, "breadth_rank", "forms"), ["breadth_rank"], scope), "counted")
+
+
 def group_status(median="median", before="before", after="after"):
     m, b, a = F.col(median), F.col(before), F.col(after)
     with_median = F.when(a > m, "over").when(a == m, "at").otherwise("under")

@@ -97,6 +97,15 @@ def test_words_of_an_edited_text_in_another_language_count(spark):
     assert [(r.pair_id, r.scope, r.before, r.after) for r in rows] == [(2, "en", 2, 5)]
 
 
+def test_warnings_count_the_texts_once(spark, monkeypatch):
+    from quillon import catalogue
+
+    calls, count = [], audit._counts
+    monkeypatch.setattr(audit, "_counts", lambda *a: calls.append(1) or count(*a))
+    catalogue.queries()["q16_warnings"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_verdict(spark):
     names = ["lsi_over", "breadth_over", "negative_above", "irrelevant_above", "edited_yo", "missing_fact_tokens", "added_fact_tokens", "minimum_below"]
     df = spark.createDataFrame([tuple(int(k == j) * 3 for k in range(8)) for j in range(8)], ", ".join(f"{n} long" for n in names))
