@@ -6,18 +6,24 @@ Targets carry a ``scope`` column that pairs share (a language, a project); a sin
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from quillon import storage
 from quillon.functions import text as T
 from quillon.operators import counting
 
 
-#: Tokens of a text that are cut into n-grams at a time.
-STRETCH = 2000
+#: Pairs whose tokens are Python objects at a time; rows of a batch of results.
+ROWS, BATCH = 50, 10_000
 
 
 @dataclass
@@ -139,23 +145,41 @@ def coverage(rows: DataFrame, by: list[str], prefix: str = "", when=None) -> lis
     ]
 
 
+def _gained(rows, sizes):
+    """(pair_id, size, pattern, before, after) of the n-grams gained by two or more; rows (pair_id, before, after) of one pair_id adjoin."""
+    for pair, same in groupby(rows, key=itemgetter(0)):
+        counts = [(Counter(), Counter()) for _ in sizes]
+        for _, *texts in same:
+            for n, sides in zip(sizes, counts, strict=True):
+                for t, count in zip(texts, sides, strict=True):
+                    count.update(t if n == 1 else zip(*[t[k:] for k in range(n)], strict=False))
+        for n, (before, after) in zip(sizes, counts, strict=True):
+            for gram, m in after.items():
+                if m >= 2 and m - before[gram] >= 2:
+                    yield pair, n, gram if n == 1 else " ".join(gram), before[gram], m
+
+
 def introduced_patterns(pairs: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
     """(pair_id, size, pattern, before, after, added): token n-grams that the edited text gained.
 
     Of one token: no digits, no function words, three or more uses and two more than before; of
-    more: two uses and two more. N-grams cross the ends of sentences. Each text is cut once.
+    more: two uses and two more. N-grams cross the ends of sentences. Texts of one pair_id come together and are
+    counted where they are, so no n-gram is shuffled and a task holds the counts of one pair; tasks grow in number with the texts.
     """
-    t = counting.sides(pairs).select("pair_id", "side", T.tokens("text").alias("t"))
-    # long texts go in stretches that share their last tokens with the next, and no row carries its text
-    starts = F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)), F.lit(STRETCH))
-    t = t.select("pair_id", "side", F.explode(F.transform(starts, lambda s: F.slice("t", s + 1, F.lit(STRETCH + max(sizes) - 1)))).alias("t"))
-    own = F.least(F.size("t"), F.lit(STRETCH))
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(own - 1, F.lit(0))), lambda i: F.array(*[F.when(i + n <= F.size("t"), F.struct(F.lit(n).alias("size"), F.concat_ws(" ", *[F.get("t", i + k) for k in range(n)]).alias("pattern"))) for n in sizes]))
-    each = t.select("pair_id", "side", F.inline(F.filter(F.flatten(grams), lambda x: x.isNotNull())))
-    of = lambda s: F.count_if(F.col("side") == s).alias(s)
-    out = each.groupBy("pair_id", "size", "pattern").agg(of("before"), of("after")).withColumn("added", F.col("after") - F.col("before"))
+    storage.ship(pairs.sparkSession)
+    schema = StructType([pairs.schema["pair_id"]]).add("size", IntegerType()).add("pattern", StringType()).add("before", LongType()).add("after", LongType())
+
+    def work(batches):
+        lists = ((c.to_pylist() for c in b.slice(lo, ROWS).columns) for b in batches for lo in range(0, b.num_rows, ROWS))
+        found = _gained((row for columns in lists for row in zip(*columns, strict=True)), sizes)
+        while part := list(islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), to_arrow_schema(schema), strict=True)], names=schema.names)
+
+    together = storage.dealt(pairs.select("pair_id", "source_text", "edited_text"), "pair_id", ["source_text", "edited_text"])
+    tokens = together.select("pair_id", *[T.tokens(T.normalize(c)).alias(c) for c in ("source_text", "edited_text")])
+    out = tokens.mapInArrow(work, schema).withColumn("added", F.col("after") - F.col("before"))
     one = (F.col("after") >= 3) & ~T.is_digits("pattern") & ~F.col("pattern").isin(*T.FUNCTION_WORDS)
-    return out.filter((F.col("added") >= 2) & F.when(F.col("size") == 1, one).otherwise(F.col("after") >= 2))
+    return out.filter(F.when(F.col("size") == 1, one).otherwise(F.lit(True)))
 
 
 def introduced(pairs: DataFrame, n: int) -> DataFrame:

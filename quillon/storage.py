@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDERS: list[str] = []
 
@@ -76,6 +77,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * ROW_GROUP else df
 
 
+#: Bytes of texts that one task takes of a table dealt out by a key.
+SHARE = 32 << 20
+
+
+def dealt(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """``df`` dealt out by ``key`` and sorted by it, over as many tasks as the bytes of ``texts`` ask for, so that none grows with the table."""
+    spark = df.sparkSession
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0)))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; works for file:, hdfs:, s3:, gs: alike."""
     from pyarrow import fs

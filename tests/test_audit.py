@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillon import sinks
+from quillon import sinks, storage
 from quillon.operators import audit, content
 from quillon.plans import fixtures
 from quillon.streaming import audit_stream, pairs_from_files, without_repeats
@@ -198,3 +198,25 @@ def test_themes_rank_like_a_window(spark):
         for place, (t, x) in enumerate(sorted(((t, x) for t, x in n.items() if x >= 2), key=lambda e: (-e[1], e[0])), 1):
             want[c, t] = (x, place)
     assert got == want
+
+
+def test_introduced_patterns_are_counted_where_the_texts_are(spark, monkeypatch):
+    """No n-gram is shuffled; rows that share a pair_id, null too, are one pair wherever they lie; tasks grow in number with the texts."""
+    rows = [(1, "", "a b"), (2, "x x", "x x x x"), (1, None, "a b"), (None, "", "c d"), (None, "", "c d")]
+    p = spark.createDataFrame(rows, "pair_id long, source_text string, edited_text string").repartition(4)
+    monkeypatch.setattr(storage, "SHARE", 1)
+    out = audit.introduced_patterns(p, (1, 2))
+    assert {tuple(r) for r in out.collect()} == {(2, 2, "x x", 1, 3, 2), (2, 1, "x", 2, 4, 2), (1, 2, "a b", 0, 2, 2), (None, 2, "c d", 0, 2, 2)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Generate" not in plan and out.rdd.getNumPartitions() > 4
+
+
+def test_pairs_are_found_without_their_texts(spark, monkeypatch):
+    """Keys are grouped by digests of texts; no text is an aggregate, which would be sorted whole."""
+    plans, whole = {}, storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name, base=None: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and whole(df, name, base))
+    head = "k" * fixtures.KEY
+    rows = [(3, head + "b", "en"), (1, head + "a", "en"), (2, head + "a", "de"), (4, "short", "en"), (5, "l" * fixtures.KEY, "en"), (6, "l" * fixtures.KEY, "en"), (7, None, "en")]
+    got = fixtures.pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {tuple(r) for r in got.collect()} == {(3, "en", head + "a", head + "b"), (2, "en", head + "a", head + "a")}
+    assert "min(text" not in plans["first"] and "SortAggregate" not in plans["first"]
