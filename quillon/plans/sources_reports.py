@@ -15,7 +15,8 @@ from quillon.sources import texts, xlsx
 
 
 def cells(spark, sf, order="workbook"):
-    return xlsx.from_binary(X.workbooks(load(spark, sf, "part")), order)
+    """Stored, since sheets are found, checked and read by several jobs."""
+    return storage.stored(xlsx.from_binary(X.workbooks(load(spark, sf, "part")), order), "cells")
 
 
 PARTS = "b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_ix FROM part)"

@@ -39,6 +39,8 @@ SCHEMA = "file string, sheet_ix int, sheet string, part string, row_ix int, col_
 #: Files whose directories the driver reads; cells of a batch.
 DIRECTORIES = 10_000
 BATCH = 10_000
+#: Tasks for each core that sheets of files in memory are dealt to.
+SHEETS = 4
 
 
 def _inner_text(node) -> str:
@@ -270,15 +272,29 @@ def register(spark: SparkSession) -> None:
 
 
 def from_binary(files: DataFrame, order: str = "workbook") -> DataFrame:
-    """Cells of the workbooks in ``files`` (path, content), as binaryFile reads them."""
-    storage.ship(files.sparkSession)
+    """Cells of the workbooks in ``files`` (path, content), as binaryFile reads them; a sheet is parsed by a task of its own."""
+    spark = files.sparkSession
+    storage.ship(spark)
+
+    def listed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, content = batch.slice(k, 1), batch.column(1)[k].as_py()
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    for sheet in sheets_of(book, order):
+                        yield pa.RecordBatch.from_arrays([*one.columns, *[pa.array([x], t) for x, t in zip(sheet, (pa.int32(), pa.string(), pa.string()), strict=True)]], names=["path", "content", "sheet_ix", "sheet", "part"])
 
     def work(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _arrow((path, *r) for r in cells_of(content, order))
+            for k in range(batch.num_rows):
+                path, content, *sheet = (c[k].as_py() for c in batch.columns)
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    yield from _arrow((path, *sheet, *cell) for cell in sheet_cells(book, sheet[2]))
 
-    return files.select("path", "content").mapInArrow(work, SCHEMA)
+    sheets = files.select("path", "content").mapInArrow(listed, "path string, content binary, sheet_ix int, sheet string, part string")
+    return sheets.repartition(SHEETS * spark.sparkContext.defaultParallelism, "path", "sheet_ix").mapInArrow(work, SCHEMA)
 
 
 def written(files: DataFrame, folder: str) -> DataFrame:
