@@ -14,8 +14,9 @@ links are folded into components, a posting keeps one line for each member whose
 differs from another's in the posting, and the next round takes another hub. Shingles that only
 one of the documents in question has can't be shared; what they leave bounds the size of any
 partner, and most members of a loose group then have none. After ``HUB_ROUNDS`` rounds the rest of
-the pairs between different components is joined outright, each at its first common token, if its
-parts inside and outside a common hub allow for enough common shingles. Pairs
+the pairs between different components is joined outright. A member is then written as what it lacks of
+a hub and has beside it; of two with the same hub these short lists give the common shingles exactly,
+so only links come out of that join, and two with different hubs meet at their first common token. Pairs
 inside one component need no look: they can't change any component_id. Nothing is capped; a pair
 at the threshold is lost with a probability below ``MISS`` by its signature.
 
@@ -42,7 +43,11 @@ from . import shared
 SHINGLE = 5
 COORDINATES = 64
 MISS = 1e-7
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: Edges whose components are found in one task, without an exchange.
+FEW = 50_000
+#: Members of a hub that one task joins with all others of it.
+GROUP = 256
 
 
 def match_threshold(num: int, den: int, k: int = COORDINATES, miss: float = MISS) -> int:
@@ -102,10 +107,12 @@ def components(edges: DataFrame, base: str, tag: str) -> DataFrame:
     """(node, comp): smallest node reachable, for each node of ``edges`` (a, b).
 
     Alternates large-star and small-star steps, each a grouped minimum, until no edge changes;
-    the number of rounds grows with the logarithm of the longest path.
+    the number of rounds grows with the logarithm of the longest path. Few edges stay in one partition.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e = shared.stored(e, f"{tag}_0", base)
+    few = edges.count() <= FEW
+    together = lambda df: df.coalesce(1) if few else df
+    e = together(edges).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    e = together(shared.stored(e, f"{tag}_0", base))
     before = None
     for r in range(1, 60):
         # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
@@ -115,7 +122,7 @@ def components(edges: DataFrame, base: str, tag: str) -> DataFrame:
         # small star: smaller neighbours and u itself go to the smallest one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        e = shared.stored(small, f"{tag}_{r}", base)
+        e = together(shared.stored(small, f"{tag}_{r}", base))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -167,26 +174,14 @@ def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, b
     fits = lambda p, q: F.coalesce(F.col(f"{q}n") <= F.col(f"{p}most"), F.lit(True)) & F.coalesce(F.col(f"{p}n") <= F.col(f"{q}most"), F.lit(True))
     similar = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
     for r in range(HUB_ROUNDS + 1):
-        x = lines.alias("x")
         if r == HUB_ROUNDS:
-            # What is left: all pairs between different components, each at its first common token
-            # only, and if the signatures agree often enough.
-            own = lines.groupBy("rep").agg(F.collect_set("token").alias("tokens")).join(sig.select("rep", "signature"), "rep")
-            lines = lines.join(own, "rep").join(_against_hubs(lines, sets), "rep")
-            lines = shared.stored(lines, "rest", base)
-            x, y = lines.alias("x"), lines.alias("y")
+            pairs = _rest(lines, sig, sets, similar & fits("x.", "y."), t, num, den, base)
         else:
             # hubs differ by round and token, so a member meets many of its group
             order = F.struct(F.xxhash64("rep", "token", F.lit(r)) if r else F.col("rep").cast("long"), F.col("rep"))
             y = lines.groupBy("token").agg(F.min_by(F.struct("rep", "n", "comp", "most"), order).alias("hub")).select("token", "hub.*").alias("y")
-        apart = (F.col("x.comp") < F.col("y.comp")) if r == HUB_ROUNDS else (F.col("x.comp") != F.col("y.comp"))
-        if r == HUB_ROUNDS:
-            apart = apart & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")) & (_agree("x.signature", "y.signature") >= t)
-            # With one hub, a common shingle lies in both's parts of the hub or in both's own parts.
-            most = F.least("x.inside", "y.inside") + F.size(F.array_intersect("x.outside", "y.outside"))
-            apart = apart & ((F.col("x.hub") != F.col("y.hub")) | (most * (num + den) >= (F.col("x.n") + F.col("y.n")) * num))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & similar & fits("x.", "y."))
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            pairs = lines.alias("x").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & similar & fits("x.", "y."))
+            pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = shared.stored(pairs, f"pairs_{r}", base)
@@ -212,7 +207,7 @@ def linked_components(classes: DataFrame, docs: DataFrame, num: int, den: int, b
 
 
 #: Hub rounds after which the bound on partners' sizes is computed from what is left.
-BOUND_ROUNDS = (1, 3)
+BOUND_ROUNDS = (1,)
 
 
 def _open(lines: DataFrame) -> DataFrame:
@@ -236,13 +231,40 @@ def _largest_partner(lines: DataFrame, sets: DataFrame, num: int, den: int) -> D
     return of.join(alone, "rep", "left").select("rep", ((n - F.coalesce("u", F.lit(0))) * (num + den) / num - n).alias("most"))
 
 
-def _against_hubs(lines: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, hub, inside, outside): one hub of rep's postings, how many of rep's shingles it has, and the others."""
-    hubs = lines.join(lines.groupBy("token").agg(F.min("rep").alias("hub")), "token").groupBy("rep").agg(F.min("hub").alias("hub"))
+def _rest(lines: DataFrame, sig: DataFrame, sets: DataFrame, fit, t: int, num: int, den: int, base: str) -> DataFrame:
+    """(a, b): the links between different components of members with the same hub, and the pairs to look at of those with different ones.
+
+    A member's hub is, of the first members of its postings, the one that most others could have too.
+    """
+    firsts = lines.groupBy("token").agg(F.min("rep").alias("hub"))
+    could = lines.join(firsts, "token").select("rep", "hub").distinct()
+    often = could.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    own = could.join(often, "hub").groupBy("rep").agg(F.max_by("hub", F.struct("members", "hub")).alias("hub"))
+    own = shared.stored(own, "hubs", base)
+    size = own.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("deals"))
+    each = lines.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("most").alias("most"))
     theirs = sets.select(F.col("rep").alias("hub"), F.col("hashes").alias("_hub"))
-    both = hubs.join(sets, "rep").join(theirs, "hub")
-    outside = F.array_except("hashes", "_hub")
-    return both.select("rep", "hub", (F.size("hashes") - F.size(outside)).alias("inside"), outside.alias("outside"))
+    each = each.join(own, "rep").join(size, "hub").join(sets, "rep").join(theirs, "hub")
+    each = each.select("rep", "n", "comp", "most", "hub", "deals", F.size("_hub").alias("h"), F.array_except("_hub", "hashes").alias("lacks"), F.array_except("hashes", "_hub").alias("beside"))
+    each = shared.stored(each, "rest", base)
+    x = each.withColumn("deal", F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int")).alias("x")
+    y = each.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).alias("y")
+    holds = lambda both: both * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
+    most = F.col("x.h") - F.greatest(F.size("x.lacks"), F.size("y.lacks")) + F.least(F.size("x.beside"), F.size("y.beside"))
+    both = F.col("x.h") - F.size("x.lacks") - F.size("y.lacks") + F.size(F.array_intersect("x.lacks", "y.lacks")) + F.size(F.array_intersect("x.beside", "y.beside"))
+    on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.deal") == F.col("y.deal"))
+    found = x.join(y, on & (F.col("x.comp") < F.col("y.comp")) & fit & holds(most) & holds(both)).select("x.rep", F.col("y.rep").alias("other"))
+    # Members of different hubs meet in postings that hold several, each pair at its first common token.
+    mixed = lines.join(own, "rep")
+    several = mixed.groupBy("token").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2")).filter("h1 <> h2").select("token")
+    mixed = mixed.join(several, "token")
+    tokens = mixed.groupBy("rep").agg(F.collect_set("token").alias("tokens")).join(sig.select("rep", "signature"), "rep")
+    mixed = shared.stored(mixed.join(tokens, "rep"), "mixed", base)
+    x, y = mixed.alias("x"), mixed.alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.hub") != F.col("y.hub")) & (F.col("x.comp") < F.col("y.comp")) & fit
+    apart = apart & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")) & (_agree("x.signature", "y.signature") >= t)
+    found = found.unionByName(x.join(y, apart).select("x.rep", F.col("y.rep").alias("other")))
+    return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
 
 
 def _sets(docs: DataFrame, sig: DataFrame, size: int) -> DataFrame:

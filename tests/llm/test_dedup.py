@@ -133,6 +133,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(map(tuple, near_dups.near_duplicates(df).drop("root").collect()), key=repr) == brute_components(docs)
 
 
+def test_last_join_of_a_loose_group_makes_links_only(spark, monkeypatch):
+    """Copies that are all a little too different from each other aren't looked at pair by pair."""
+    r, base = random.Random(8), [f"w{k}" for k in range(400)]
+    docs = []
+    for i in range(60):
+        w = list(docs[-1][1].split()) if i % 10 == 9 else list(base)
+        for k in r.sample(range(400), 1 if i % 10 == 9 else 6):
+            w[k] = f"e{r.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    made, stored = {}, shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, name, base=None: made.setdefault(name, stored(df, name, base)))
+    monkeypatch.setattr(near_dups, "HUB_ROUNDS", 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, near_dups.near_duplicates(df).drop("root").collect()), key=repr) == brute_components(docs)
+    looked, links = (set(map(tuple, made[k].collect())) for k in ("pairs_1", "links_1"))
+    assert looked == links
+
+
 def test_near_duplicates_odd_rows(spark, tmp_path):
     got = sorted(map(tuple, near_dups.op4_near_dups(spark, saved(odd(spark), tmp_path)).collect()), key=repr)
     assert got == brute_components([(r[0], r[1]) for r in ODD])
