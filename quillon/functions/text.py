@@ -13,8 +13,11 @@ TOKEN = rf"({WORD}(?:[\p{{L}}\p{{N}}_-]*{WORD})?)"
 # The letters of fact tokens, both cases, with those that fold to one of them; a token is
 # letters, digits of any script, then letters, plain digits and hyphens; or one of two signs.
 LETTERS = "a-zA-Zа-яА-ЯıİſKᲀ-ᲆ"
-FACT = rf"([{LETTERS}]*\p{{Nd}}+[{LETTERS}0-9-]*|[%₽])"
-DECIMAL_FACT = rf"(\p{{Nd}}+[.,]\p{{Nd}}+|[{LETTERS}]*\p{{Nd}}+[{LETTERS}0-9-]*|[%₽])"
+# What lies between tokens is passed over in long strides (group 1 is '' there), since trying a token at each letter of
+# each word costs several times as much. Letters that no digit follows begin no token, wherever in them one starts.
+_BETWEEN = rf"(?:[{LETTERS}]++(?!\p{{Nd}})|[^{LETTERS}\p{{Nd}}%₽]++){{1,64}}+"
+FACT = rf"{_BETWEEN}|([{LETTERS}]*+\p{{Nd}}++[{LETTERS}0-9-]*+|[%₽])"
+DECIMAL_FACT = rf"{_BETWEEN}|(\p{{Nd}}++[.,]\p{{Nd}}++|[{LETTERS}]*+\p{{Nd}}++[{LETTERS}0-9-]*+|[%₽])"
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
 
@@ -135,7 +138,7 @@ def bounded(form) -> Column:
 def fact_tokens(raw, decimal_aware: bool = False) -> Column:
     """Sorted distinct number-bearing tokens and the signs % and U+20BD: found in the raw text, then normalised."""
     found = F.regexp_extract_all(F.coalesce(_column(raw), F.lit("")), F.lit(DECIMAL_FACT if decimal_aware else FACT), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.replace(normalize(t), F.lit(","), F.lit(".")))))
+    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.array_distinct(found), ""), lambda t: F.replace(normalize(t), F.lit(","), F.lit(".")))))
 
 
 def letter_count(raw, letters: str = "Ёё") -> Column:

@@ -62,6 +62,12 @@ def counted_groups(pairs: DataFrame, groups: DataFrame, scope: str = "scope") ->
     return storage.stored(_counts(pairs, groups.select(scope, "breadth_rank", "forms"), ["breadth_rank"], scope), "counted")
 
 
+def unit_counts(pairs: DataFrame, units: DataFrame, scope: str = "scope") -> DataFrame:
+    """(pair_id, scope, unit, before, after) of each row of ``pairs`` and each unit (scope, unit, forms) of its scope, zeros too."""
+    grid = pairs.select("pair_id", scope).join(units.select(scope, "unit"), scope)
+    return grid.join(_counts(pairs, units, ["unit"], scope), ["pair_id", scope, "unit"], "left").fillna(0, ["before", "after"])
+
+
 def group_status(median="median", before="before", after="after"):
     m, b, a = F.col(median), F.col(before), F.col(after)
     with_median = F.when(a > m, "over").when(a == m, "at").otherwise("under")
@@ -75,8 +81,11 @@ def group_rows(pairs: DataFrame, groups: DataFrame, scope: str = "scope", counts
     Also the remainder to the median and the group's class if the groups have one. ``counts``: (pair_id,
     scope, breadth_rank, before, after), if they are known.
     """
-    out = _item_counts(pairs, groups, "breadth_rank", scope, counts).join(groups.drop("forms"), [scope, "breadth_rank"])
-    return out.withColumn("status", group_status()).withColumn("free", F.greatest(F.lit(0.0), F.col("median") - F.col("after")))
+    return _grouped(_item_counts(pairs, groups, "breadth_rank", scope, counts).join(groups.drop("forms"), [scope, "breadth_rank"]))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("status", group_status()).withColumn("free", F.greatest(F.lit(0.0), F.col("median") - F.col("after")))
 
 
 def depth_target(delta="delta", maximum="maximum", repeats="repeats", before="before"):
@@ -112,19 +121,28 @@ def _single(items: DataFrame, form: str) -> DataFrame:
 
 def phrase_rows(pairs: DataFrame, phrases: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
     """Phrases (scope, row_ix, phrase, median, ...) that occur on a side, with their status."""
-    out = _item_counts(pairs, _single(phrases, "phrase"), "row_ix", scope, counts).filter("before > 0 or after > 0").join(phrases, [scope, "row_ix"])
-    return out.withColumn("status", F.when(F.col("after") > F.col("median"), "over").when(F.col("after") == F.col("median"), "at").otherwise("under"))
+    return _phrased(_item_counts(pairs, _single(phrases, "phrase"), "row_ix", scope, counts).filter("before > 0 or after > 0").join(phrases, [scope, "row_ix"]))
+
+
+def _phrased(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("status", F.when(F.col("after") > F.col("median"), "over").when(F.col("after") == F.col("median"), "at").otherwise("under"))
 
 
 def irrelevant_rows(pairs: DataFrame, forms: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
     """Unwanted forms (scope, row_ix, form, reported_current, target) with their status."""
-    out = _item_counts(pairs, _single(forms, "form"), "row_ix", scope, counts).join(forms, [scope, "row_ix"])
-    return out.withColumn("status", F.when(F.col("after") <= F.col("target"), "at").otherwise("above"))
+    return _unwanted(_item_counts(pairs, _single(forms, "form"), "row_ix", scope, counts).join(forms, [scope, "row_ix"]))
+
+
+def _unwanted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("status", F.when(F.col("after") <= F.col("target"), "at").otherwise("above"))
 
 
 def width_rows(pairs: DataFrame, words: DataFrame, scope: str = "scope", counts: DataFrame | None = None) -> DataFrame:
-    out = _item_counts(pairs, _single(words, "word"), "row_ix", scope, counts).join(words, [scope, "row_ix"])
-    return out.withColumn("status", F.when(F.col("after") > 0, "covered").otherwise("uncovered"))
+    return _widths(_item_counts(pairs, _single(words, "word"), "row_ix", scope, counts).join(words, [scope, "row_ix"]))
+
+
+def _widths(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("status", F.when(F.col("after") > 0, "covered").otherwise("uncovered"))
 
 
 def coverage(rows: DataFrame, by: list[str], prefix: str = "", when=None) -> list:
@@ -232,24 +250,33 @@ def audit(pairs: DataFrame, groups: DataFrame, depth=None, phrases=None, irrelev
     """All result tables of an audit by name; summary has one row per pair."""
     config = config or AuditConfig(enforce_limit_range=False)
     groups = groups.filter(F.col("breadth_rank") <= config.breadth_limit)
-    # All lists of targets are counted together, so each text is cut into runs once for each shape of form.
-    lists = {"groups": (groups, "breadth_rank"), "depth": (depth, "row_ix"), "phrases": (phrases and _single(phrases, "phrase"), "row_ix"), "irrelevant": (irrelevant and _single(irrelevant, "form"), "row_ix"), "width": (width and _single(width, "word"), "row_ix")}
+    # All lists of targets are counted together, and forms that several items share once; a pair's counts of all of them are stored once.
+    lists = {"groups": groups, "depth": depth, "phrases": phrases and _single(phrases, "phrase"), "irrelevant": irrelevant and _single(irrelevant, "form"), "width": width and _single(width, "word")}
     base = storage.shared_dir(pairs.sparkSession)
-    tables = {k: storage.stored(df, k, base) for k, (df, _) in lists.items() if df is not None}
-    items = [df.select(scope, F.lit(k).alias("list"), F.col(lists[k][1]).cast("long").alias("item"), "forms") for k, df in tables.items()]
-    every = items[0]
-    for df in items[1:]:
-        every = every.unionByName(df)
-    counts = storage.stored(_counts(pairs, every, ["list", "item"], scope), "counts", base)
-    of = lambda k: counts.filter(F.col("list") == k).select("pair_id", scope, F.col("item").cast(tables[k].schema[lists[k][1]].dataType).alias(lists[k][1]), "before", "after")
-
-    out = {"groups": group_rows(pairs, tables["groups"], scope, of("groups"))}
-    g = out["groups"].withColumn("key", T.normalize_header("word"))
-    aggs = [*coverage(g, ["pair_id"], "raw_"), F.count_if(F.col("status") == "over").alias("lsi_over"), F.count_if(F.col("status") == "breadth-over").alias("breadth_over")]
+    tables = {k: storage.stored(df.withColumn("forms", F.coalesce("forms", F.array().cast("array<string>"))), k, base) for k, df in lists.items() if df is not None}
+    every = None
+    for df in tables.values():
+        part = df.select(scope, "forms")
+        every = part if every is None else every.unionByName(part)
+    units = storage.stored(every.distinct().withColumn("unit", F.monotonically_increasing_id()), "units", base)
+    grid = storage.stored(unit_counts(pairs, units, scope), "grid", base)
     if relevant is not None:
         relevant = storage.stored(relevant.select(scope, "key").distinct(), "relevant", base)
-        g = g.join(relevant.withColumn("_relevant", F.lit(True)), [scope, "key"], "left")
-        aggs += coverage(g, ["pair_id"], "filtered_", F.coalesce("_relevant", F.lit(False)))
+
+    def rows_of(k: str, key: str) -> DataFrame:
+        """The items of a list with before and after for each pair; words are compared with the relevant ones in the list, not in its rows."""
+        t = tables[k].join(units, [scope, "forms"]).drop("forms")
+        if relevant is not None and k in ("groups", "depth"):
+            t = t.withColumn("_key", T.normalize_header("word")).join(relevant.select(scope, F.col("key").alias("_key"), F.lit(True).alias("_relevant")), [scope, "_key"], "left")
+            t = t.withColumn("_relevant", F.coalesce("_relevant", F.lit(False))).drop("_key")
+        t = storage.stored(t, f"{k}_units", base)
+        return grid.join(t, [scope, "unit"]).select(scope, key, "pair_id", "before", "after", *[c for c in t.columns if c not in (scope, key, "unit")])
+
+    g = _grouped(rows_of("groups", "breadth_rank"))
+    out = {"groups": g.drop("_relevant")}
+    aggs = [*coverage(g, ["pair_id"], "raw_"), F.count_if(F.col("status") == "over").alias("lsi_over"), F.count_if(F.col("status") == "breadth-over").alias("breadth_over")]
+    if relevant is not None:
+        aggs += coverage(g, ["pair_id"], "filtered_", F.col("_relevant"))
 
     # Every other table adds rows (pair_id, name of a counter), which are counted in one aggregate.
     counted: list[tuple[DataFrame, dict]] = []
@@ -261,15 +288,15 @@ def audit(pairs: DataFrame, groups: DataFrame, depth=None, phrases=None, irrelev
     is_ = lambda s: F.col("status") == s
     each = F.lit(True)
     if depth is not None:
-        rows = counted_depth(pairs, tables["depth"], scope, of("depth"))
-        add("depth", depth_rows(rows), negative_groups=each, negative_above=is_("above"))
-        add("minimum", minimum_rows(rows, relevant, scope), minimum_groups=each, minimum_below=is_("below"))
+        rows = rows_of("depth", "row_ix")
+        add("depth", depth_rows(rows.drop("_relevant")), negative_groups=each, negative_above=is_("above"))
+        add("minimum", minimum_rows(rows if relevant is None else rows.filter("_relevant")).drop("_relevant"), minimum_groups=each, minimum_below=is_("below"))
     if phrases is not None:
-        out["phrases"] = phrase_rows(pairs, tables["phrases"].drop("forms"), scope, of("phrases"))
+        out["phrases"] = _phrased(rows_of("phrases", "row_ix").filter("before > 0 or after > 0"))
     if irrelevant is not None:
-        add("irrelevant", irrelevant_rows(pairs, tables["irrelevant"].drop("forms"), scope, of("irrelevant")), irrelevant_groups=each, irrelevant_above=is_("above"))
+        add("irrelevant", _unwanted(rows_of("irrelevant", "row_ix")), irrelevant_groups=each, irrelevant_above=is_("above"))
     if width is not None:
-        add("width", width_rows(pairs, tables["width"].drop("forms"), scope, of("width")), width_words=each, width_covered_before=F.col("before") > 0, width_covered_after=F.col("after") > 0)
+        add("width", _widths(rows_of("width", "row_ix")), width_words=each, width_covered_before=F.col("before") > 0, width_covered_after=F.col("after") > 0)
     patterns = storage.stored(introduced_patterns(pairs), "introduced", base)
     for n, name in ((1, "tokens"), (2, "bigrams"), (3, "trigrams")):
         add(name, patterns.filter(F.col("size") == n).drop("size"), **{"introduced_token_flags" if n == 1 else "introduced_frame_flags": each})
@@ -277,7 +304,7 @@ def audit(pairs: DataFrame, groups: DataFrame, depth=None, phrases=None, irrelev
     add("warnings", warnings(out["groups"], out.get("depth"), out.get("irrelevant"), lost), warnings=each)
 
     letter_counts = [T.letter_count("source_text", letters).alias("source_yo"), T.letter_count("edited_text", letters).alias("edited_yo")]
-    facts = fact_diff(pairs, keep=[scope, *letter_counts])
+    facts = storage.stored(fact_diff(pairs, keep=[scope, *letter_counts]), "facts", base)
     out["facts"] = facts.select("pair_id", "missing", "added")
     long = None
     for rows, counters in counted:
@@ -288,7 +315,7 @@ def audit(pairs: DataFrame, groups: DataFrame, depth=None, phrases=None, irrelev
     sums = long.groupBy("pair_id").agg(*[F.count_if(F.col("counter") == k).alias(k) for k in names])
     total = facts.select("pair_id", scope, F.size("missing").cast("long").alias("missing_fact_tokens"), F.size("added").cast("long").alias("added_fact_tokens"), "source_yo", "edited_yo")
     total = total.join(g.groupBy("pair_id").agg(*aggs), "pair_id", "left").join(sums, "pair_id", "left").fillna(0, list(names))
-    out["summary"] = total.withColumn("failed", verdict())
+    out["summary"] = storage.stored(total.withColumn("failed", verdict()), "summary", base)  # reports show it in several lines
     return out
 
 

@@ -1,11 +1,14 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import sinks, storage
+from quillon.functions import text as T
 from quillon.operators import audit, content
 from quillon.plans import fixtures
+from quillon.sinks import committed
 from quillon.streaming import audit_stream, pairs_from_files, without_repeats
 
 PAIR = "pair_id long, scope string, source_text string, edited_text string"
@@ -220,3 +223,30 @@ def test_pairs_are_found_without_their_texts(spark, monkeypatch):
     got = fixtures.pairs(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert {tuple(r) for r in got.collect()} == {(3, "en", head + "a", head + "b"), (2, "en", head + "a", head + "a")}
     assert "min(text" not in plans["first"] and "SortAggregate" not in plans["first"]
+
+
+def test_a_report_works_out_nothing_twice(spark, tmp_path, monkeypatch):
+    """Facts, counts and the summary are stored, items with equal forms are counted once, and lines are made once before they are dealt out."""
+    plans, whole = {}, storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name, base=None: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, name, base))
+    pairs, targets = small(spark)
+    targets["depth"] = targets["depth"].withColumn("forms", F.when(F.col("row_ix") == 2, F.array(F.lit("кран"))).otherwise(F.array(F.lit("душ"), F.lit("душа"))))
+    out = audit.audit(pairs, **targets)
+    assert all(len(plans[name]) == 1 for name in ("facts", "grid", "units", "summary"))
+    assert "₽" not in sinks.report(out)._jdf.queryExecution().optimizedPlan().toString()  # no text is searched for facts
+    both = {r.row_ix: (r.before, r.after) for r in out["minimum"].select("row_ix", "before", "after", "pair_id").unionByName(out["depth"].select("row_ix", "before", "after", "pair_id")).filter("pair_id = 1").collect()}
+    assert both == {1: (2, 4), 2: (1, 1)}
+    committed.write(sinks.report(out), sinks.exit_codes(out["summary"]), f"file://{tmp_path}/report")
+    lines, code = committed.read(spark, f"file://{tmp_path}/report")
+    assert len(plans["lines"]) == 1 and code == 1
+    assert lines.filter("pair_id = 1 and section_ord = 0").first().line.startswith("SUMMARY\tlsi_groups=3\tlsi_over=1\t")
+
+
+def test_facts_are_found_past_what_lies_between(spark):
+    """Words, signs and digits of other scripts beside tokens, and a text too long for a token to be tried at each letter."""
+    rows = [("ab1c-2 x%₽9 яя٣б é5 a-1 1२x", ["%", "1", "2x", "5", "9", "ab1c-2", "яя٣б", "₽"])]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(T.fact_tokens("t")).collect()
+    found = re.findall(r"[a-zA-Zа-яА-Я]*\d+[a-zA-Zа-яА-Я0-9-]*|[%₽]", rows[0][0])
+    assert got[0][0] == sorted(set(found))
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("a"), 300_000), F.lit("% "), F.repeat(F.lit("b. "), 100_000), F.lit("c7")).alias("t"))
+    assert long.select(T.fact_tokens("t")).first()[0] == ["%", "c7"] and long.select(T.fact_tokens("t", True)).first()[0] == ["%", "c7"]
