@@ -81,12 +81,13 @@ def spread(df: DataFrame) -> DataFrame:
 SHARE = 32 << 20
 
 
-def dealt(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """``df`` dealt out by ``key`` and sorted by it, over as many tasks as the bytes of ``texts`` ask for, so that none grows with the table."""
+def dealt(df: DataFrame, key: str | list[str], texts: list[str]) -> DataFrame:
+    """``df`` dealt out by ``key`` (one column or several) and sorted by it, over as many tasks as the bytes of ``texts`` ask for, so that none grows with the table."""
     spark = df.sparkSession
     size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0)))).first()[0] or 0
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
-    return df.repartition(n, key).sortWithinPartitions(key)
+    keys = [key] if isinstance(key, str) else key
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 def filesystem(uri: str):

@@ -250,3 +250,26 @@ def test_facts_are_found_past_what_lies_between(spark):
     assert got[0][0] == sorted(set(found))
     long = spark.range(1).select(F.concat(F.repeat(F.lit("a"), 300_000), F.lit("% "), F.repeat(F.lit("b. "), 100_000), F.lit("c7")).alias("t"))
     assert long.select(T.fact_tokens("t")).first()[0] == ["%", "c7"] and long.select(T.fact_tokens("t", True)).first()[0] == ["%", "c7"]
+
+
+def test_runs_of_a_document_are_counted_in_one_pass(spark, monkeypatch):
+    """Rows of one language and doc_id are one document, wherever they lie; null keys and texts, texts without words and repeated ones count too."""
+    monkeypatch.setattr(fixtures, "DOCS", 2)
+    monkeypatch.setattr(storage, "SHARE", 1)
+    rows = [(1, "en", "sunny sun"), (1, "en", "sunny day"), (1, "de", "sunny"), (2, "en", "sunnier sunnier"), (3, "en", None), (4, "en", "..."), (None, "en", "sunny"), (None, "en", "sunny"), (5, None, "day"), (6, "en", "day day day"), (7, "en", "sunn")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = fixtures.run_counts(docs).collect()
+    runs, often, ends = {}, {}, {}
+    for r in got:
+        if r.run is not None:
+            runs[r.scope, r.run] = runs.get((r.scope, r.run), 0) + r.n
+        elif r.docs is not None:
+            often[r.scope, r.link, r.n] = often.get((r.scope, r.link, r.n), 0) + r.docs
+        else:
+            ends[r.scope, r.doc_id, r.link] = ends.get((r.scope, r.doc_id, r.link), 0) + r.n
+    for (s, _, link), n in ends.items():
+        often[s, link, n] = often.get((s, link, n), 0) + 1
+    assert runs == {("en", "sunny"): 4, ("en", "sun"): 1, ("en", "day"): 4, ("de", "sunny"): 1, ("en", "sunnier"): 2, (None, "day"): 1, ("en", "sunn"): 1}
+    assert often == {("en", "sunn", 2): 3, ("en", "sun", 1): 1, ("en", "day", 1): 1, ("de", "sunn", 1): 1, (None, "day", 1): 1, ("en", "day", 3): 1, ("en", "sunn", 1): 1}
+    g = {(r.scope, r.word): (r.median, r.forms) for r in fixtures.groups(docs).collect()}
+    assert g["en", "sunny"] == (2.0, ["sunn", "sunnier", "sunny"])
